@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module and function of each operator's query.
 QUERIES = {
+    "op1_mixing": ("mixing", "op1_mixing"),
+    "op2_fingerprints": ("simhash", "op2_fingerprints"),
     "op3_language": ("language", "op3_language"),
+    "op4_token_files": ("tokenfile", "op4_token_files"),
     "op5_sentencepiece": ("pieces", "op5_sentencepiece"),
+    "op6_near_dedup": ("neardup", "op6_near_dedup"),
     "op7_secrets": ("secrets", "op7_secrets"),
+    "op8_suffix_dedup": ("suffixes", "op8_suffix_dedup"),
+    "op9_toxicity": ("toxicity", "op9_toxicity"),
+    "op10_top_k": ("topk", "op10_top_k"),
 }
 
 
@@ -20,4 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can state: the others are tested against brute force."""
+    from loomgraph.llm.topk import OP10_SQL
+
+    return {"op10_top_k": OP10_SQL}
