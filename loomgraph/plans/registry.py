@@ -1,13 +1,358 @@
-"""Named queries of the code-graph engine."""
+"""Named queries of the code-graph engine over a scale-factor folder, and the same in SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from loomgraph.functions import schema as S
+from loomgraph.functions import text as X
+from loomgraph.operators import graph as G
+from loomgraph.operators import readmodel as R
+from loomgraph.operators import tree as T
+from loomgraph.operators import upsert as U
+from loomgraph.operators import validate as V
+from loomgraph.operators.extract import edges_of, extract_files, symbols_of, with_ids
+from loomgraph.session import shared_dir
+from loomgraph.sources.corpus import ROOT, WITH, Corpus
 
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+#: The file and folder that the parameterised queries ask for.
+ONE_FILE, ONE_FOLDER = "src/o/p2/f9.ts", "src/o"
+LANGUAGE_SQL = """case when relative_path like '%.ts' then 'typescript' when relative_path like '%.tsx' then 'typescriptreact'
+  when relative_path like '%.js' or relative_path like '%.mjs' or relative_path like '%.cjs' then 'javascript'
+  when relative_path like '%.jsx' then 'javascriptreact' when relative_path like '%.py' then 'python'
+  when relative_path like '%.md' then 'markdown' else 'plaintext' end"""
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its own name, with the derived views before an oracle that uses them."""
+
+    def register(function: Query) -> Query:
+        text = f"{WITH} {oracle}" if oracle and oracle.startswith("select") and "fx_" in oracle else oracle
+        _FOUND[function.__name__] = (function, text)
+        return function
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql is not None}
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def _files(c: Corpus) -> DataFrame:
+    return c.files().withColumn("language", X.language(F.col("relative_path")))
+
+
+def _symbols(c: Corpus) -> DataFrame:
+    """The derived symbols in the shape of the symbol table."""
+    zero = F.lit(0).cast("long")
+    line = F.col("start_line").cast("long")
+    named = c.symbols().join(c.files().select("file_key", F.col("id").alias("file_id"), "relative_path"), "file_key")
+    return named.select(
+        F.concat_ws("-", F.lit("symbol"), F.col("file_key").cast("string"), F.col("start_line").cast("string")).alias("id"),
+        F.concat("relative_path", F.lit(":"), "name").alias("fqn"),
+        "name",
+        "kind",
+        "file_id",
+        F.struct(line.alias("start_line"), zero.alias("start_col"), line.alias("end_line"), zero.alias("end_col")).alias("range"),
+        F.lit(S.SYMBOL_LANGUAGE).alias("language"),
+    )
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its number of symbols and the label of its first one."""
+    c = Corpus(spark, sf_dir)
+    return R.first_symbols(_files(c), _symbols(c)).orderBy("relative_path")
+
+
+# ---------------------------------------------------------------- scans, scalars, reads
+
+
+@query(f"select id, relative_path, {LANGUAGE_SQL} as language from fx_file")
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.all_files(_files(Corpus(spark, sf_dir)))
+
+
+@query(f"""select s.name, s.kind, f.id as file_id, concat(f.relative_path, ':', s.name) as fqn, cast(s.start_line as bigint) as start_line, 'typescript' as language
+from fx_symbol s join fx_file f on f.file_key = s.file_key where f.relative_path = '{ONE_FILE}'""")
+def symbols_for_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    found = R.symbols_for_file(_files(c), _symbols(c), ONE_FILE)
+    return found.select("name", "kind", "file_id", "fqn", F.col("range.start_line").alias("start_line"), "language")
+
+
+@query(f"select language, count(*) as n_files, sum(case when language in ('typescript', 'javascript', 'typescriptreact', 'javascriptreact') then 1 else 0 end)::bigint as n_scanned from (select {LANGUAGE_SQL} as language from fx_file) x group by language")
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(Corpus(spark, sf_dir))
+    return files.groupBy("language").agg(F.count("*").alias("n_files"), F.count_if(X.is_scanned(F.col("language"))).alias("n_scanned"))
+
+
+@query("select doc_id, cast(len(string_split(text, chr(10))) as bigint) as loc, sha256(text) as hash from documents")
+def loc_and_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = Corpus(spark, sf_dir).table("documents")
+    text = X.decoded(F.col("text").cast("binary"))
+    return docs.select("doc_id", X.line_count(text).alias("loc"), X.content_hash(text).alias("hash"))
+
+
+@query(f"""select id, relative_path, regexp_extract(relative_path, '[^/]*$') as base_name, lower(regexp_extract(relative_path, '[.][^.]*$')) as extension,
+concat('{ROOT}/', relative_path) as path from fx_file""")
+def relative_path_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Corpus(spark, sf_dir).files().select("id", X.absolute_path(F.lit(ROOT), F.col("relative_path")).alias("path"))
+    return files.select("id", X.relative_path(F.lit(ROOT), F.col("path"), outside=False).alias("relative_path"), X.base_name(F.col("path")).alias("base_name"), F.lower(X.extension(F.col("path"))).alias("extension"), "path")
+
+
+@query("select f.relative_path, count(s.name) as n_symbols from fx_file f left join fx_symbol s on s.file_key = f.file_key group by f.relative_path")
+def files_with_symbol_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    return R.first_symbols(_files(c), _symbols(c)).select("relative_path", "n_symbols")
+
+
+@query(f"""select concat('{ROOT}/', f.relative_path) as path, f.relative_path,
+coalesce(string_agg(s.name || '|' || s.kind || '|' || cast(s.start_line as varchar), ';' order by s.name, s.start_line), '') as symbols
+from fx_file f left join fx_symbol s on s.file_key = f.file_key group by f.relative_path""")
+def files_with_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    found = R.files_with_symbols(_files(c), _symbols(c), ROOT)
+    flat = F.array_join(F.transform("symbols", lambda s: F.concat_ws("|", s["name"], s["kind"], s["start_line"].cast("string"))), ";")
+    return found.select("path", "relative_path", flat.alias("symbols"))
+
+
+FIRST_SQL = """from fx_file f left join (select *, row_number() over (partition by file_key order by name, start_line) as n from fx_symbol) s on s.file_key = f.file_key and s.n = 1"""
+
+
+LABEL_SQL = "s.name || ' (' || upper(substring(s.kind, 1, 1)) || substring(s.kind, 2) || ')'"
+
+
+@query(f"""select f.relative_path, {LABEL_SQL} as label, coalesce('found: ' || {LABEL_SQL}, 'found 0 symbols in ' || f.relative_path || '.') as message {FIRST_SQL}""")
+def first_symbol_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    first = R.first_symbols(_files(c), _symbols(c))
+    return first.select("relative_path", "label", R.found_message(F.col("relative_path"), F.col("label")).alias("message"))
+
+
+@query("""select s.file_key, cast(s.start_line as bigint) as line, concat(s.name, ' (', s.kind, ')') as label,
+case s.kind when 'function' then 'symbol-function' when 'class' then 'symbol-class' when 'interface' then 'symbol-interface'
+ when 'type' then 'symbol-type-parameter' when 'enum' then 'symbol-enum' when 'variable' then 'symbol-variable' else 'symbol-misc' end as icon from fx_symbol s""")
+def kind_icon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Corpus(spark, sf_dir).symbols()
+    return s.select("file_key", X.line_of(F.col("start_line")).alias("line"), X.symbol_label(F.col("name"), F.col("kind")).alias("label"), X.icon(F.col("kind")).alias("icon"))
+
+
+# ---------------------------------------------------------------- trees
+
+NODES_SQL = """p as (select file_key, string_split(relative_path, '/') as parts, unnest(range(1, len(string_split(relative_path, '/')) + 1)) as depth from fx_file),
+nodes as (select array_to_string(parts[1:depth], '/') as node, case when depth = 1 then '' else array_to_string(parts[1:depth - 1], '/') end as parent,
+ parts[depth] as name, depth, depth = len(parts) as is_file, count(*) as n_files, min(file_key) as first from p group by all)"""
+ORDERS_SQL = "cast(row_number() over (partition by parent order by is_file, first, name) as integer) as folders_first, cast(row_number() over (partition by parent order by first, is_file, name) as integer) as as_seen"
+
+
+@query(f"{WITH}, {NODES_SQL} select node, parent, name, cast(depth as integer) as depth, is_file, n_files, {ORDERS_SQL} from nodes")
+def dir_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = T.nodes(Corpus(spark, sf_dir).files(), order="file_key")
+    both = T.ranked(T.ranked(tree).withColumnRenamed("ord", "folders_first"), False).withColumnRenamed("ord", "as_seen")
+    return both.select("node", "parent", "name", "depth", "is_file", "n_files", "folders_first", "as_seen")
+
+
+@query(f"{WITH}, {NODES_SQL} select case when is_file then 'file' else 'dir' end as kind, name, name as label, row_number() over (order by is_file, first, name) as ord from nodes where parent = '{ONE_FOLDER}'")
+def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    files = c.files()
+    return T.expand(T.nodes(files, order="file_key"), files, _symbols(c), ONE_FOLDER, "dir")
+
+
+@query(f"""select 'symbol' as kind, s.name, concat(s.name, ' (', s.kind, ')') as label, row_number() over (order by s.name, s.start_line) as ord
+from fx_symbol s join fx_file f on f.file_key = s.file_key where f.relative_path = '{ONE_FILE}'""")
+def tree_file_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    files = _files(c)
+    return T.expand(T.nodes(files, order="file_key"), files, _symbols(c), ONE_FILE, "file")
+
+
+# ---------------------------------------------------------------- extraction
+
+EXPECTED_SQL = """from fx_symbol s join fx_file f on f.file_key = s.file_key where f.file_key % 9 <= 5"""
+
+
+@query(f"""select f.relative_path, s.name, s.kind, concat(f.relative_path, ':', s.name) as fqn, cast(s.start_line as bigint) as start_line,
+cast(case s.kind when 'function' then 7 when 'class' then 7 when 'variable' then 13 else 0 end as bigint) as start_col,
+cast(case s.kind when 'function' then length(s.name) + 21 when 'class' then length(s.name) + 16 when 'interface' then length(s.name) + 13
+ when 'enum' then length(s.name) + 11 when 'type' then length(s.name) + 15 else length(s.name) + 17 end as bigint) as end_col {EXPECTED_SQL}""")
+def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols read out of the generated source texts; the oracle never reads a text."""
+    found = with_ids(extract_files(Corpus(spark, sf_dir).sources()))
+    symbols = symbols_of(found).join(found.select(F.col("id").alias("file_id"), "relative_path"), "file_id")
+    return symbols.select("relative_path", "name", "kind", "fqn", "range.start_line", "range.start_col", "range.end_col")
+
+
+@query(f"select relative_path, {LANGUAGE_SQL} as language, cast(0 as bigint) as n_symbols from fx_file where file_key % 9 > 5")
+def extract_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_files(Corpus(spark, sf_dir).sources()).where(~X.is_scanned(F.col("language")))
+    return found.select("relative_path", "language", F.size("found").cast("long").alias("n_symbols"))
+
+
+TEXT_SQL = "t as (select file_key, string_agg(line, chr(10) order by start_line) as text from fx_line group by file_key)"
+
+
+@query(f"""{WITH}, {TEXT_SQL} select f.relative_path, {LANGUAGE_SQL} as language, sha256(coalesce(t.text, '')) as hash,
+cast(len(string_split(coalesce(t.text, ''), chr(10))) as bigint) as loc from fx_file f left join t on t.file_key = f.file_key""")
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_files(Corpus(spark, sf_dir).sources()).select("relative_path", "language", "hash", "loc")
+
+
+@query("select url, not regexp_matches(url, '/(node_modules|dist|[.]git|out|build)/') as kept, relative_path, not relative_path like '%.txt' as wanted from (select url, row_number() over (order by page_id) as n from pages) p join (select relative_path, file_key + 1 as n from fx_file) f using (n)")
+def workspace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    pages = c.sql("select url, row_number() over (order by page_id) as n from pages")
+    files = c.files().select("relative_path", (F.col("file_key") + 1).alias("n"))
+    paths = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/x.ts"))
+    return pages.join(files, "n").select("url", X.in_workspace(paths).alias("kept"), "relative_path", X.in_workspace(F.col("relative_path")).alias("wanted"))
+
+
+@query("select count(*) as indexed, cast(0 as bigint) as failed, concat('Indexed ', cast(count(*) as varchar), ' files.') as summary from fx_file")
+def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.summary(extract_files(Corpus(spark, sf_dir).sources()))
+
+
+# ---------------------------------------------------------------- tables and transactions
+
+
+@query("""select cast(user_id as varchar) as path, 'e' || cast(min(event_id) as varchar) as id, max_by(event_type, event_id) as hash, count(*) as n
+from events group by user_id""")
+def replace_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of re-indexed files: the first occurrence's id with the last one's content."""
+    events = Corpus(spark, sf_dir).table("events")
+    log = events.select(F.col("user_id").cast("string").alias("path"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("hash"))
+    latest = U.latest_per_path(log, S.empty(spark, "file"))
+    return latest.select("path", "id", "hash").join(log.groupBy("path").agg(F.count("*").alias("n")), "path")
+
+
+@query("""select src, dst from fx_call where not (src % 7 = 3 or dst in (select p_partkey from part where p_partkey % 10 = 4))""")
+def edge_keep_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    edges = c.calls().select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"))
+    parts = c.table("part").select(F.col("p_partkey").alias("id"))
+    kept = U.keep_edges(edges, parts.where("id % 7 = 3"), parts.where("id % 10 = 4"))
+    return kept.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+
+
+@query(f"""select id, relative_path, {LANGUAGE_SQL} as language, cast(1 as bigint) as schema_version, false as is_core, cast(0 as bigint) as n_tags, cast(0 as bigint) as n_labels,
+'{{}}' as metadata, cast(null as varchar) as last_author, true as stamped from fx_file""")
+def insert_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(Corpus(spark, sf_dir)).withColumns({"path": F.concat(F.lit(ROOT + "/"), "relative_path"), "loc": F.lit(1), "hash": F.lit("")})
+    rows = S.conform(files, "file")
+    return rows.select("id", "relative_path", "language", F.col("_schema_version").alias("schema_version"), "is_core", F.size("tags").cast("long").alias("n_tags"), F.size("labels").cast("long").alias("n_labels"), "metadata", "last_author", F.col("last_indexed").isNotNull().alias("stamped"))
+
+
+@query("""select concat('file-', cast(file_key as varchar)) as source_id, concat('symbol-', cast(file_key as varchar), '-', cast(start_line as varchar)) as target_id,
+'structural' as kind, '{}' as metadata, true as unweighted from fx_symbol""")
+def structural_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = edges_of(_symbols(Corpus(spark, sf_dir)))
+    return edges.select("source_id", "target_id", "kind", "metadata", F.col("weight").isNull().alias("unweighted"))
+
+
+@query("""select relative_path, count(s.name) as n_symbols, count(s.name) as n_edges from fx_file f left join fx_symbol s on s.file_key = f.file_key and f.file_key % 9 <= 5
+group by relative_path""")
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes all files, then half of them again, in two transactions of a snapshot store, and reads it back."""
+    sources = Corpus(spark, sf_dir).sources()
+    store = U.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.initialize()
+    for rows in (sources, sources.where("length(path) % 2 = 0")):
+        store.replace_files(extract_files(rows).where("error is null").withColumn("seq", F.lit(0)))
+    now = store.snapshot()
+    symbols = now["symbol"].groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_symbols"))
+    edges = now["edge"].groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_edges"))
+    joined = now["file"].select("id", "relative_path").join(symbols, "id", "left").join(edges, "id", "left")
+    return joined.select("relative_path", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+@query("select unnest(['call_site', 'diagnostic', 'edge', 'file', 'import_ref', 'symbol']) as name, cast(0 as bigint) as n_violations")
+def schema_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of a fresh store, and the rules that their (no) rows break."""
+    store = U.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.initialize()
+    store.initialize()
+    counts = [S.violations(df, name).agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("name"), "n_violations") for name, df in sorted(store.snapshot().items())]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+# ---------------------------------------------------------------- messages
+
+
+@query("""select event_id, coalesce(event_type = 'click' and user_id % 3 <> 0 and value >= 0 and floor(value) = value, false) as valid,
+coalesce(event_type = 'view', false) as from_host, coalesce(event_type = 'click', false) as from_view from
+(select event_id, event_type, user_id, case when event_id % 2 = 0 then floor(value) when event_id % 5 = 0 then -1 else value end as value from events) e""")
+def navigate_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages: clicks navigate, views come from the host; paths, lines and types vary by id."""
+    e = Corpus(spark, sf_dir).table("events")
+    kind = F.when(F.col("event_type") == "click", "navigate").when(F.col("event_type") == "view", "symbols").otherwise(F.col("event_type"))
+    inside = F.concat(F.lit("/workspace/app/u"), F.col("user_id").cast("string"), F.lit(".ts"))
+    path = F.when(F.col("user_id") % 3 != 0, inside).when(F.col("user_id") % 2 == 0, F.concat(F.lit("/workspace/app/../u"), F.col("user_id").cast("string"))).otherwise(F.lit("/elsewhere/x.ts"))
+    line = F.when(F.col("event_id") % 2 == 0, F.floor("value").cast("double")).when(F.col("event_id") % 5 == 0, F.lit(-1.0)).otherwise(F.col("value"))
+    message = F.to_json(F.struct(kind.alias("type"), path.alias("filePath"), line.alias("line")))
+    return e.select("event_id", V.navigate_message(message, F.lit("/workspace/app")).alias("valid"), V.is_from_host(kind).alias("from_host"), V.is_from_view(kind).alias("from_view"))
+
+
+@query("""select user_id as panel, case when count(*) filter (event_type = 'view') = 0 then 'loading' when max_by(event_id % 3, event_id) filter (event_type = 'view') = 0 then 'empty' else 'loaded' end as state
+from events group by user_id""")
+def view_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Corpus(spark, sf_dir).table("events")
+    messages = e.select(F.col("user_id").alias("panel"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "symbols").otherwise(F.col("event_type")).alias("type"), (F.col("event_id") % 3).alias("n_files"))
+    return R.view_state(messages, "panel").select("panel", "state")
+
+
+@query("""select user_id as panel, event_id as seq, props as payload from (select *, row_number() over (partition by user_id order by event_id desc) as n from events where event_type in ('view', 'error')) e
+where n = 1 and event_type = 'view'""")
+def replay_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Corpus(spark, sf_dir).table("events")
+    kind = F.when(F.col("event_type") == "view", "symbols").when(F.col("event_type") == "error", "closed").otherwise(F.col("event_type"))
+    return R.last_payloads(e.select(F.col("user_id").alias("panel"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("props").alias("payload")), "panel")
+
+
+# ---------------------------------------------------------------- extensions on the same tables
+
+
+@query("select dst as node, count(*) as fan_in from fx_call group by dst")
+def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.fan_in(Corpus(spark, sf_dir).calls())
+
+
+@query("select p_partkey as node from part where p_partkey not in (select dst from fx_call)")
+def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark, sf_dir)
+    return G.dead_code(c.table("part").select(F.col("p_partkey").alias("node")), c.calls())
+
+
+@query(f"""with recursive {WITH.removeprefix('with ')}, walk(node, hops) as (select cast(7 as bigint), 0 union select fx_call.src, walk.hops + 1 from walk join fx_call on fx_call.dst = walk.node where walk.hops < 5)
+select node, min(hops) as hops, 1.0::double / (1 + min(hops)) as score from walk group by node""")
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.blast_radius(Corpus(spark, sf_dir).calls(), spark.range(7, 8).select(F.col("id").alias("node")), 5)
+
+
+@query(f"""with recursive {WITH.removeprefix('with ')}, walk(start, node, hops) as (select src, dst, 1 from fx_call union select walk.start, fx_call.dst, walk.hops + 1 from walk join fx_call on fx_call.src = walk.node where walk.hops < 4 and walk.start <> walk.node)
+select start as node, min(hops) as length from walk where start = node group by start""")
+def short_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.cycles(Corpus(spark, sf_dir).calls(), 4)
+
+
+@query("""select cast(user_id as varchar) as path, max(ts) as last_modified, max_by(event_type, (ts, event_type)) as last_author, count(*) filter (ts > timestamp '2024-01-31 00:00:00' - interval 30 days) as change_count_30d
+from events group by user_id""")
+def git_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Corpus(spark, sf_dir).table("events")
+    return G.recency(e.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("author"), "ts"), "2024-01-31 00:00:00")
