@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from loomgraph.llm.common import documents, segment_sums, steps, texts_of
 from loomgraph.session import ship
@@ -113,21 +114,19 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
     return Model(languages, np.log(grams_of / grams_of.sum(axis=1, keepdims=True)).astype(np.float32), prior)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents' own columns with lang_pred and score; a column of either name is replaced."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents' own columns with the predicted language and its score under these names; columns that had them are replaced."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS x 4 bytes
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             pred, score = shared.value.predict(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType()))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
