@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import STEP_BYTES, WORD_BREAKS, documents, id_key
 from loomgraph.llm.hashing import Rolling, mix64, word_spans
-from loomgraph.session import ship, shuffle_width
+from loomgraph.session import cut, ship, shuffle_width
 
 BITS = 128
 _BREAKS = np.array([chr(b) in WORD_BREAKS for b in range(256)])
@@ -96,6 +96,7 @@ def _edit(text: str, following: str) -> str:
 
 
 PARTS = "doc_id long, text string, part int, guest boolean, sort_id long"
+RADIUS, STRIDE = 3, 100
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -142,10 +143,68 @@ def _part_of(bounds: list[int]) -> Column:
     return F.expr(build(0, len(bounds))).cast("int")
 
 
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    """First digit (from 1) and number of hex digits of each of radius + 1 blocks."""
+    edges = np.linspace(0, BITS // 4, radius + 2).astype(int).tolist()
+    return [(a + 1, b - a) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _tables(prints: DataFrame, radius: int, prefix: str) -> DataFrame:
+    """Each distinct fingerprint once in each table, keyed by the block that the table brings to the front."""
+    lanes = [F.conv(F.substring("fingerprint", 1 + 16 * k, 16), 16, -10).cast("long").alias(f"{prefix}{k}") for k in range(BITS // 64)]
+    blocks = F.array(*[F.substring("fingerprint", a, n) for a, n in _blocks(radius)])
+    rows = prints.select("fingerprint").distinct().select(F.col("fingerprint").alias(f"{prefix}fp"), *lanes, blocks.alias(f"{prefix}blocks"))
+    return rows.select("*", F.posexplode(f"{prefix}blocks").alias("table", "key"))
+
+
+def near_prints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """q_fp, p_fp, distance: every distinct fingerprint of prints within the radius of one of queries.
+
+    A pair that several tables bring together counts in the first of them only. Hot keys are left to
+    the join's skew handling: each row of prints meets the queries of its key, and no other print.
+    """
+    q, p = _tables(queries, radius, "q_"), _tables(prints, radius, "p_")
+    distance = F.lit(0)
+    for k in range(BITS // 64):
+        distance = distance + F.bit_count(F.col(f"q_{k}").bitwiseXOR(F.col(f"p_{k}")))
+    first = F.lit(True)
+    for t in range(radius):
+        first = first & ((q["table"] <= t) | (F.col("q_blocks")[t] != F.col("p_blocks")[t]))
+    met = p.join(q, (q["table"] == p["table"]) & (q["key"] == p["key"]) & first & (distance <= radius))
+    return met.select("q_fp", "p_fp", distance.alias("distance"))
+
+
+def search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """query_id, doc_id, distance of all pairs of a query and another row within the radius; both hold doc_id and fingerprint (hex)."""
+    near = near_prints(queries, prints, radius)
+    asked = queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q_fp"))
+    found = near.join(asked, "q_fp").join(prints.select("doc_id", F.col("fingerprint").alias("p_fp")), "p_fp")
+    return found.where("query_id <> doc_id").select("query_id", "doc_id", "distance")
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fingerprint of each query and the number of rows of prints within the radius of it, its own rows included."""
+    rows = prints.groupBy(F.col("fingerprint").alias("p_fp")).agg(F.count("*").alias("n"))
+    return near_prints(queries, prints, radius).join(rows, "p_fp").groupBy(F.col("q_fp").alias("fingerprint")).agg(F.sum("n").alias("n_within"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, with their likenesses."""
+    """Fingerprints of every document and of its edited text, with their likenesses.
+
+    For every doc_id divisible by STRIDE, n_near is the number of other documents within RADIUS bits, found through the block tables.
+    """
+    rows = cut(edited_fingerprints(documents(spark, sf_dir)), "fingerprints")
+    asked = rows.where(F.col("doc_id") % STRIDE == 0)
+    counts = near_counts(rows.select("fingerprint"), asked.select("fingerprint"))
+    near = F.when(F.col("doc_id") % STRIDE == 0, F.col("n_within") - 1)
+    return rows.join(counts, "fingerprint", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", near.alias("n_near"))
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """Of every row: its own and its edited text's fingerprint, and how alike they and the next document's are."""
+    spark = docs.sparkSession
     ship(spark)
-    parts = with_parts(documents(spark, sf_dir))
+    parts = with_parts(docs)
     dealt = parts.repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "guest", "sort_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
