@@ -146,7 +146,13 @@ def _derive(items) -> list[frozenset[frozenset[str]]]:
         elif name == "SUBPATTERN":
             got.all_of(_derive(arg[3]))
         elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            got.all_of(_derive(arg[2]) if arg[0] else [])
+            least = _strings(list(arg[2]) * min(arg[0], 4)) if arg[0] else None
+            if least is None:
+                got.all_of(_derive(arg[2]) if arg[0] else [])
+            else:  # what comes before meets the first repeats, what follows meets the last ones
+                got.extend(least)
+                got.close()
+                got.extend(least)
         elif name == "BRANCH":
             each = [_derive(x) for x in arg[1]]
             # each branch gives its first part: one of them holds in every match
