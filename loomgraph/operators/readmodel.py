@@ -54,6 +54,10 @@ def summary(results: DataFrame) -> DataFrame:
     return counts.withColumn("summary", text)
 
 
+def summary_line(indexed: int, failed: int) -> str:
+    return f"Indexed {indexed} files ({failed} failed)." if failed else f"Indexed {indexed} files."
+
+
 def symbol_items(symbols: DataFrame) -> DataFrame:
     """Label, icon and line of every symbol as a tree shows it."""
     return symbols.select("file_id", "name", X.symbol_label(F.col("name"), F.col("kind")).alias("label"), X.icon(F.col("kind")).alias("icon"), X.line_of(F.col("range.start_line")).alias("line"))

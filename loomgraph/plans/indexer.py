@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,9 @@ class WorkspaceResult:
 class Indexer:
     """Opens its store at the first use; a failed opening is tried again at the next one."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self._store = spark, path, None
+    def __init__(self, spark: SparkSession, path: str, on_indexed: Callable[[], None] | None = None) -> None:
+        """on_indexed is called after each successful run, for views that show the store."""
+        self.spark, self.path, self.on_indexed, self._store = spark, path, on_indexed, None
 
     def initialize(self) -> None:
         if self._store is None:
@@ -61,37 +63,58 @@ class Indexer:
 
     # -- writing
 
-    def _index(self, sources: DataFrame) -> tuple[DataFrame, int]:
+    def _index(self, sources: DataFrame) -> DataFrame | None:
+        """The extracted files, committed; None if there are none."""
         extracted = cut(extract_files(sources).withColumn("seq", F.monotonically_increasing_id()), "extracted")
-        good = extracted.where("error is null")
-        self.store.replace_files(good.drop("error"))
-        return extracted, extracted.where("error is not null").count()
+        if extracted.isEmpty():
+            return None
+        self.store.replace_files(extracted.where("error is null").drop("error"))
+        return extracted
 
     def index_file(self, path: str, root: str) -> IndexResult:
         began = time.time()
         self.initialize()
-        extracted, failed = self._index(W.single_files(self.spark, [path], root))
-        if failed:
-            raise ValueError(extracted.select("error").first()[0])
-        relative = extracted.select("relative_path").first()[0]
+        extracted = self._index(W.single_files(self.spark, [path], root))
+        first = extracted.select("relative_path", "error").first()
+        if first["error"] is not None:
+            raise ValueError(first["error"])
+        relative = first["relative_path"]
         symbols = self.get_symbols(relative).collect()
         label = None if not symbols else f"{symbols[0]['name']} ({symbols[0]['kind'][:1].upper()}{symbols[0]['kind'][1:]})"
         message = f"found 0 symbols in {relative}." if label is None else f"found: {label}"
         LOG.debug("indexed %s: %d symbols", relative, len(symbols))
+        if self.on_indexed is not None:
+            self.on_indexed()
         return IndexResult(relative, len(symbols), int(1000 * (time.time() - began)), symbols, message)
 
-    def index_sources(self, sources: DataFrame) -> WorkspaceResult:
-        """Indexes all sources in one batch; a file that fails is counted and leaves the others alone."""
+    def index_sources(self, sources: DataFrame, batches: int = 1, progress: Callable[[int, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> WorkspaceResult:
+        """Indexes all sources; a file that fails is counted and leaves the others alone.
+
+        Each of `batches` parts (by a hash of the path) is a transaction of its own. Before each, progress
+        is told the part and the parts, and cancelled may stop the run: what was committed stays.
+        """
         began = time.time()
         self.initialize()
-        extracted, failed = self._index(sources)
-        for row in extracted.where("error is not null").select("path", "error").limit(100).collect():
-            LOG.error("failed to index %s: %s", row["path"], row["error"])
-        told = R.summary(extracted).first()
-        return WorkspaceResult(told["indexed"], told["failed"], told["summary"], int(1000 * (time.time() - began)))
-
-    def index_workspace(self, root: str) -> WorkspaceResult:
-        return self.index_sources(W.workspace(self.spark, root))
+        indexed = failed = 0
+        for part in range(batches):
+            if cancelled is not None and cancelled():
+                break
+            if progress is not None:
+                progress(part + 1, batches)
+            own = sources if batches == 1 else sources.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == part)
+            extracted = self._index(own)
+            if extracted is None:
+                continue
+            for row in extracted.where("error is not null").select("path", "error").limit(100).collect():
+                LOG.error("failed to index %s: %s", row["path"], row["error"])
+            told = R.summary(extracted).first()
+            indexed, failed = indexed + told["indexed"], failed + told["failed"]
+        if self.on_indexed is not None:
+            self.on_indexed()
+        return WorkspaceResult(indexed, failed, R.summary_line(indexed, failed), int(1000 * (time.time() - began)))
+
+    def index_workspace(self, root: str, **options) -> WorkspaceResult:
+        return self.index_sources(W.workspace(self.spark, root), **options)
 
     def index_incremental(self, sources: DataFrame) -> WorkspaceResult:
         """Indexes only the files whose text isn't the stored one."""
@@ -105,6 +128,16 @@ class Indexer:
     def get_all_files(self) -> DataFrame:
         return R.all_files(self.store.read("file"))
 
+    def find_file_id(self, path: str) -> str | None:
+        row = self.store.read("file").where(F.col("path") == F.lit(path)).select("id").limit(1).first()
+        return None if row is None else row["id"]
+
+    def views(self, prefix: str = "") -> list[str]:
+        """Makes the current snapshot's tables temporary views for SQL; their names."""
+        for name, df in self.store.snapshot().items():
+            df.createOrReplaceTempView(f"{prefix}{name}")
+        return [f"{prefix}{name}" for name in self.store.tables()]
+
     def get_symbols(self, relative_path: str) -> DataFrame:
         tables = self.store.snapshot()
         return R.symbols_for_file(tables["file"], tables["symbol"], relative_path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from loomgraph.operators import tree as T
 from loomgraph.operators import upsert as U
 from loomgraph.operators import validate as V
 from loomgraph.operators.extract import edges_of, extract_files, symbols_of, with_ids
-from loomgraph.session import shared_dir
+from loomgraph.session import scratch
 from loomgraph.sources.corpus import ROOT, WITH, Corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,7 +267,7 @@ group by relative_path""")
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexes all files, then half of them again, in two transactions of a snapshot store, and reads it back."""
     sources = Corpus(spark, sf_dir).sources()
-    store = U.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = U.Store(spark, scratch(spark, "store"))
     store.initialize()
     for rows in (sources, sources.where("length(path) % 2 = 0")):
         store.replace_files(extract_files(rows).where("error is null").withColumn("seq", F.lit(0)))
@@ -282,7 +281,7 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select unnest(['call_site', 'diagnostic', 'edge', 'file', 'import_ref', 'symbol']) as name, cast(0 as bigint) as n_violations")
 def schema_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of a fresh store, and the rules that their (no) rows break."""
-    store = U.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = U.Store(spark, scratch(spark, "store"))
     store.initialize()
     store.initialize()
     counts = [S.violations(df, name).agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("name"), "n_violations") for name, df in sorted(store.snapshot().items())]

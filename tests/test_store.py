@@ -71,6 +71,36 @@ def test_rollback_and_rules(spark, tmp_path):
     assert store.read("file").count() == 1
 
 
+def test_batches_progress_and_cancelling(spark, tmp_path, workspace):
+    seen, told = [], []
+    indexer = Indexer(spark, str(tmp_path / "db"), lambda: told.append(1))
+    done = indexer.index_workspace(str(workspace), batches=3, progress=lambda *p: seen.append(p))
+    assert (done.indexed, done.failed, seen, told) == (3, 0, [(1, 3), (2, 3), (3, 3)], [1])
+    assert sorted(indexer.views("v_")) == sorted(f"v_{t}" for t in S.TABLES)
+    assert spark.sql("select count(*) as n from v_symbol s join v_edge e on e.target_id = s.id").first()["n"] == 2
+    assert indexer.find_file_id(f"{workspace}/notes.md") and indexer.find_file_id("/none") is None
+    other = Indexer(spark, str(tmp_path / "db2"))
+    assert other.index_workspace(str(workspace), cancelled=lambda: True).summary == "Indexed 0 files."
+    (tmp_path / "bare").mkdir()
+    assert other.index_workspace(str(tmp_path / "bare")).indexed == 0
+
+
+def test_a_failing_file_fails_alone(spark, tmp_path):
+    indexer = Indexer(spark, str(tmp_path / "db"))
+    sources = spark.createDataFrame([("/w/a.ts", "/w", bytearray(b"class A {}")), ("/w/b.md", "/w", None)], "path string, root string, content binary")
+    done = indexer.index_sources(sources)
+    assert (done.indexed, done.failed, done.summary) == (1, 1, "Indexed 1 files (1 failed).")
+    assert [r["relative_path"] for r in indexer.get_all_files().collect()] == ["a.ts"]
+
+
+def test_one_writer(spark, tmp_path):
+    store = U.Store(spark, str(tmp_path / "db"))
+    store.initialize()
+    with store._locked(), pytest.raises(RuntimeError, match="another writer"):
+        store.transaction(lambda tables: {})
+    store.transaction(lambda tables: {})
+
+
 def test_last_content_under_first_id(spark):
     log = spark.createDataFrame([("a", 1, "x", "i1"), ("a", 2, "y", "i2"), ("b", 3, "z", "i3")], "path string, seq long, hash string, id string")
     stored = spark.createDataFrame([("old", "b")], "id string, path string")
