@@ -355,3 +355,58 @@ from events group by user_id""")
 def git_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Corpus(spark, sf_dir).table("events")
     return G.recency(e.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("author"), "ts"), "2024-01-31 00:00:00")
+
+
+@query("select dst as node, count(*) as fan_in from fx_call group by dst having count(*) >= 2")
+def core_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.core_nodes(Corpus(spark, sf_dir).calls(), 2)
+
+
+@query(f"""with recursive {WITH.removeprefix('with ')}, both_(src, dst) as (select src, dst from fx_call union select dst, src from fx_call),
+walk(node, hops) as (select cast(7 as bigint), 0 union select b.dst, walk.hops + 1 from walk join both_ b on b.src = walk.node where walk.hops < 2)
+select src, dst from fx_call where src in (select node from walk) and dst in (select node from walk)""")
+def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.subgraph(Corpus(spark, sf_dir).calls(), spark.range(7, 8).select(F.col("id").alias("node")), 2)
+
+
+@query("""select concat('symbol-', cast(s.file_key as varchar), '-', cast(s.start_line as varchar)) as node from fx_symbol s where s.file_key % 5 = 0 and s.start_line between 1 and 2""")
+def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that lines 1 to 2 of every fifth file touch."""
+    c = Corpus(spark, sf_dir)
+    lines = c.files().where("file_key % 5 = 0").select(F.col("id").alias("file_id"), F.lit(1).alias("from_line"), F.lit(2).alias("to_line"))
+    return G.changed_symbols(_symbols(c), lines)
+
+
+@query("""select f.id, f.relative_path, count(*) filter (e.event_type = 'error') as errors, count(*) filter (e.event_type = 'click') as warnings, count(e.event_id) as total
+from fx_file f left join events e on e.user_id = f.file_key group by f.id, f.relative_path""")
+def diagnostics_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as diagnostics: errors, clicks as warnings."""
+    c = Corpus(spark, sf_dir)
+    severity = F.when(F.col("event_type") == "click", "warning").otherwise(F.col("event_type"))
+    found = c.table("events").select(F.concat(F.lit("file-"), F.col("user_id").cast("string")).alias("file_id"), severity.alias("severity"))
+    return G.diagnostics_per_file(c.files(), found)
+
+
+SEARCHED = "red_1"
+
+
+@query(f"""select file_key, start_line, name from (select *, len(list_intersect(string_split(lower(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g')), ' '), ['1', 'red'])) as hits,
+ levenshtein(lower(name), '{SEARCHED}') as distance from fx_symbol) x where hits > 0 order by hits desc, distance, name, file_key, start_line limit 20""")
+def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Corpus(spark, sf_dir).symbols()
+    padded = F.struct("file_key", "start_line")
+    return G.search_symbols(s.withColumn("id", padded), SEARCHED, 20).select("file_key", "start_line", "name")
+
+
+@query("""select vec_id from embeddings order by list_cosine_similarity([cast(x as double) for x in embedding], [cast(i % 7 - 3 as double) for i in range(1, 65)]) desc, vec_id limit 10""")
+def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.similar_vectors(Corpus(spark, sf_dir).table("embeddings"), [float(i % 7 - 3) for i in range(1, 65)], 10).select("vec_id")
+
+
+@query(f"""select f.relative_path from fx_file f join fx_symbol s on s.file_key = f.file_key where s.kind = 'class' and f.relative_path like '%.tsx' group by f.relative_path having count(*) >= 2""")
+def many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one glob with several classes."""
+    c = Corpus(spark, sf_dir)
+    files = c.files().where(F.col("relative_path").rlike(G.glob_pattern("**/*.tsx")))
+    counts = _symbols(c).where("kind = 'class'").groupBy("file_id").count().where("count >= 2")
+    return files.join(counts, F.col("id") == F.col("file_id"), "left_semi").select("relative_path")
