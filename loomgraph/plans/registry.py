@@ -395,7 +395,7 @@ SEARCHED = "red_1"
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Corpus(spark, sf_dir).symbols()
     padded = F.struct("file_key", "start_line")
-    return G.search_symbols(s.withColumn("id", padded), SEARCHED, 20).select("file_key", "start_line", "name")
+    return G.search_symbols(s.withColumn("id", padded), SEARCHED, 20).select("file_key", F.col("start_line").cast("long").alias("start_line"), "name")
 
 
 @query("""select vec_id from embeddings order by list_cosine_similarity([cast(x as double) for x in embedding], [cast(i % 7 - 3 as double) for i in range(1, 65)]) desc, vec_id limit 10""")
