@@ -67,3 +67,12 @@ def test_near_search_is_exact(spark):
         got = {(r["query_id"], r["doc_id"], r["distance"]) for r in S.search(df.where("doc_id % 10 = 0"), df, radius).collect()}
         d = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2)
         assert got == {(i, j, int(d[i, j])) for i in range(0, len(prints), 10) for j in range(len(prints)) if i != j and d[i, j] <= radius}
+
+
+def test_parts_of_few_and_many_bounds(spark):
+    import bisect
+
+    ids = spark.range(-50, 60_000, 997).withColumnRenamed("id", "sort_id")
+    for bounds in ([], [-(2**63), -3, 0, 500, 40_000], list(range(0, 50_000, 10))):
+        got = ids.select("sort_id", S._part_of(bounds).alias("part")).collect()
+        assert all(r["part"] == bisect.bisect_right(bounds, r["sort_id"]) for r in got)
