@@ -24,7 +24,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import documents, steps, texts_of
-from loomgraph.session import shared_dir, ship, shuffle_width
+from loomgraph.session import scratch, ship, shuffle_width
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 2
@@ -60,12 +59,11 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
-    """Of ascending positions of pairs, every second one in each run of neighbours, so none overlap."""
-    if not len(at):
-        return at
-    new = np.r_[True, at[1:] != at[:-1] + 1]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - start) % 2 == 0]
+    """Marks, of ascending positions of pairs, every second one in each run of neighbours, so none overlap."""
+    n = np.arange(len(at))
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = at[1:] != at[:-1] + 1
+    return (n - np.maximum.accumulate(np.where(new, n, 0))) % 2 == 0
 
 
 def compress(ids: np.ndarray, first: int, passes: int = PASSES, least: int = LEAST_COUNT, most_rules: int = MOST_RULES) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +75,8 @@ def compress(ids: np.ndarray, first: int, passes: int = PASSES, least: int = LEA
             break
         pairs = _pairs(seq)
         slots = _slots(pairs)
+        busy = np.flatnonzero((np.bincount(slots, minlength=1 << SLOTS_BITS) >= least)[slots])
+        pairs, slots = pairs[busy], slots[busy]
         table = np.zeros(1 << SLOTS_BITS, dtype=np.uint64)
         table[slots] = pairs  # one pair of each slot is a candidate
         same = table[slots] == pairs
@@ -88,9 +88,13 @@ def compress(ids: np.ndarray, first: int, passes: int = PASSES, least: int = LEA
             chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:room]])
         number = np.full(1 << SLOTS_BITS, -1, dtype=np.int64)
         number[chosen] = np.arange(len(chosen))
-        at = _apart(np.flatnonzero(same & (number[slots] >= 0)))
-        used, which = np.unique(number[slots[at]], return_inverse=True)
-        made = table[chosen[used]]
+        taken = same & (number[slots] >= 0)
+        at = busy[taken]
+        apart = _apart(at)
+        which = number[slots[taken]][apart]
+        at = at[apart]
+        used = np.bincount(which, minlength=len(chosen)) > 0
+        which, made = (np.cumsum(used) - 1)[which], table[chosen[used]]
         base = first + sum(map(len, rules))
         rules.append(np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         seq[at] = base + which
@@ -200,8 +204,10 @@ def read_block(payload: bytes) -> Block:
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ſ]*")
 #: The words of such a text once it is in lower case, as the tokenizer's own pattern cuts them.
 _LETTERS = "a-z\xdf-\xf6\xf8-ſ"
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
-MOST_WORDS = 400_000
+#: The commonest kind comes first: no other begins with a letter.
+_WORDS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_LETTERS}]+")
+#: Words that an encoder remembers, and characters of new words that it encodes at once.
+MOST_WORDS, JOINED = 900_000, 1 << 16
 
 
 class Encoder:
@@ -215,32 +221,59 @@ class Encoder:
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = spec["model"].get("end_of_word_suffix")
         #: The word rule above holds for this normaliser and this pattern only.
-        self.by_words = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.by_words = bool(suffix) and [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        #: Whether a token ends a word.
+        self.ends = np.zeros(self.size, dtype=bool)
+        for token, number in self.lib.get_vocab(with_added_tokens=True).items():
+            self.ends[number] = bool(suffix) and token.endswith(suffix)
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Encodings of words: many at once, between blanks, cut where a token ends a word."""
+        out: dict[str, bytes] = {}
+        at = 0
+        while at < len(words):
+            size, end = 0, at
+            while end < len(words) and size < JOINED:
+                size += len(words[end]) + 1
+                end += 1
+            part, ids = words[at:end], self._ids(" ".join(words[at:end]))
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) == len(part) and edges[-1] == len(ids):
+                out.update(zip(part, (ids[a:b].tobytes() for a, b in zip([0, *edges[:-1].tolist()], edges.tolist()))))
+            else:
+                out.update((w, self._ids(w).tobytes()) for w in part)
+            at = end
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them."""
-        plain = [self.by_words and _PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        out: list[bytes] = [b""] * len(texts)
-        for i, p in enumerate(plain):
-            if not p:
-                out[i] = self._ids([texts[i]])[0]
-        for i, p in enumerate(plain):
-            if p:
-                found = _WORDS.findall(texts[i].lower())
-                try:
-                    out[i] = b"".join(map(self.known.__getitem__, found))
-                except KeyError:
-                    if len(self.known) > MOST_WORDS:
-                        self.known.clear()
-                    new = list(set(found) - self.known.keys())
-                    self.known.update(zip(new, self._ids(new)))
-                    out[i] = b"".join(map(self.known.__getitem__, found))
-        return [np.frombuffer(x, "<u4") for x in out]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        cut_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        new: dict[str, bytes] = {}
+        known = self.known.get
+        for i, text in enumerate(texts):
+            if self.by_words and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                words = _WORDS.findall(text.lower())
+                ids = list(map(known, words))
+                holes = [k for k, x in enumerate(ids) if x is None]
+                new.update(dict.fromkeys(map(words.__getitem__, holes), b""))
+                cut_.append((i, words, ids, holes))
+            else:
+                out[i] = self._ids(text)
+        new = self._words(list(new))
+        for i, words, ids, holes in cut_:
+            for k in holes:
+                ids[k] = new[words[k]]
+            out[i] = np.frombuffer(b"".join(ids), "<u4")
+        if len(self.known) + len(new) <= MOST_WORDS:
+            self.known.update(new)
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -259,12 +292,12 @@ BLOCKS = "shard int, block int, before long, n_ids long, payload binary"
 
 
 def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str = DEFAULT_TOKENIZER, end_id: int | None = END_ID) -> str:
-    """Encodes docs in ascending doc_id order to blocks under `path` (by default in shared storage); returns it."""
+    """Encodes docs in ascending doc_id order to blocks under `path` (by default a scratch folder of shared storage); returns it."""
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer, "rb") as file:
         model = spark.sparkContext.broadcast(file.read())  # one tokenizer file: its size doesn't follow the data
-    path = path or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
