@@ -410,3 +410,11 @@ def many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = c.files().where(F.col("relative_path").rlike(G.glob_pattern("**/*.tsx")))
     counts = _symbols(c).where("kind = 'class'").groupBy("file_id").count().where("count >= 2")
     return files.join(counts, F.col("id") == F.col("file_id"), "left_semi").select("relative_path")
+
+
+@query("""select distinct concat(cast(src as varchar), '-', cast(dst as varchar)) as id, src, dst, case when src % 3 = 0 then 'call' else 'structural' end as kind from fx_call""")
+def edge_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural edges of which a later pass upgrades every third source's to calls, by id."""
+    edges = Corpus(spark, sf_dir).calls().distinct()
+    rows = edges.select(F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string")).alias("id"), "src", "dst", F.lit(S.EDGE_KIND).alias("kind"))
+    return U.upsert_rows(rows, rows.where("src % 3 = 0").withColumn("kind", F.lit("call")))
