@@ -40,9 +40,9 @@ from loomgraph.session import cut, ship, shuffle_width
 SIZE, GRAM = 100, 32
 #: Low bits of a gram's hash that give way to its position; pieces of text are shorter than this.
 POSITION_BITS = 28
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 3 << 19
 #: Text whose runs are sent together, and documents that the driver samples for splitters.
-BATCH_BYTES, SAMPLE_DOCS = 12 << 20, 3000
+BATCH_BYTES, SAMPLE_DOCS = 8 << 20, 3000
 REMOVED, OPEN, FREQUENT = 0, 1, 2
 _ROLLING: list[Rolling] = []
 
@@ -209,7 +209,7 @@ def sample_buckets(texts: DataFrame, n: int, size: int) -> Bucketing:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            for _, _, parts in pieces([(t or "")[:PIECE_BYTES].encode() for t in batch.column(0).to_pylist()], size):
+            for _, _, parts in pieces([(t or "").encode() for t in batch.column(0).to_pylist()], size):
                 found = runs(parts, size)
                 _, kept = np.unique(np.stack([found["piece"].astype(np.uint64), found["gram"]], axis=1), axis=0, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found["gram"][kept].view(np.int64)), pa.array(found["lead"][kept].view(np.int64))], ["gram", "lead"])
@@ -391,7 +391,7 @@ def removal(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = _texts(docs)
-    buckets = sample_buckets(texts, shuffle_width(spark), size)
+    buckets = sample_buckets(texts, 2 * shuffle_width(spark), size)  # two a partition even out what one holds
     first = cut(screen(texts, buckets, size), "runs")
     again = first.where(f"(code & 15) = {REMOVED}").unionByName(compare(texts, first, buckets, size))
     listed = again.groupBy("doc", "mark").agg(F.collect_list("code").alias("codes"))
