@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, steps, texts_of
+from loomgraph.llm.common import documents, id_key, steps, texts_of
 from loomgraph.llm.simhash import column_sums
-from loomgraph.session import cut, ship, shuffle_width
+from loomgraph.session import cut, ship
 
 SHINGLE = 4
 RADIUS = 4
@@ -297,6 +297,6 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents' own columns, of each component only its smallest doc_id (of rows that repeat it, one)."""
-    found = near_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = near_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("_kept")).distinct()
+    # one key for the join and for what follows it: the texts are shuffled once
+    return docs.withColumn("_kept", id_key()).join(found, "_kept").dropDuplicates(["_kept"]).select(*docs.columns)
