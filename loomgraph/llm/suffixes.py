@@ -6,8 +6,8 @@ window of `size` bytes has an anchor: the gram of GRAM bytes in it with the leas
 have equal anchors at equal offsets, and windows that start side by side mostly share theirs, so the
 windows of a document are a few dozen bytes' worth of runs, one an anchor.
 
-1. Runs are range-partitioned by the leading bytes of the suffix at their anchor, with splitters from
-   a sample. In a bucket, runs that are equal as a whole leave their first occurrence; a run whose
+1. Runs are range-partitioned by the leading bytes of the suffix at their anchor (the gram: its first
+   bytes, then a hash of the rest, so that a common beginning can be parted), with splitters from a sample. In a bucket, runs that are equal as a whole leave their first occurrence; a run whose
    anchor no other text shares is settled as well. The few others go on, with their text.
 2. These are range-partitioned by leading bytes again; each bucket sorts the suffixes at all their
    windows by multikey quicksort (eight bytes to a character) and, of equal windows, keeps the first.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import documents, id_key, steps
-from loomgraph.llm.hashing import Rolling
+from loomgraph.llm.hashing import Rolling, mix64
 from loomgraph.session import cut, ship, shuffle_width
 
 SIZE, GRAM = 100, 32
@@ -119,7 +119,7 @@ def runs(parts: list[bytes], size: int = SIZE, gram: int = GRAM) -> dict[str, np
     first, last = first[real], last[real]
     at = anchor[first]
     piece = np.searchsorted(ends, first, side="right")
-    return {"piece": piece, "start": first - starts[piece], "count": last - first, "offset": at - first, "gram": hashes[at], "run": roll.ranges(prefix, first, last + size - 1), "lead": words_at(data, at)}
+    return {"piece": piece, "start": first - starts[piece], "count": last - first, "offset": at - first, "gram": hashes[at], "run": roll.ranges(prefix, first, last + size - 1), "lead": leading(data, at, gram)}
 
 
 def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -130,6 +130,19 @@ def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def leading(data: np.ndarray, at: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A range key of the grams at these positions: their first five bytes, then a hash of all of them.
+
+    Many suffixes begin with the same few words; the hash lets splitters part them, and never parts equal grams.
+    """
+    words = [words_at(data, at + k) for k in [*range(0, gram - 7, 8), gram - 8]] if gram >= 8 else [words_at(data, at) >> np.uint64(64 - 8 * gram)]
+    mixed = np.zeros(len(at), dtype=np.uint64)
+    for word in words:
+        mixed = mix64(mixed + word)
+    first = words[0] if gram >= 8 else words[0] << np.uint64(64 - 8 * gram)
+    return (first & ~np.uint64((1 << 24) - 1)) | (mixed >> np.uint64(40))
+
+
 def code(start: np.ndarray, count: np.ndarray, offset: np.ndarray, kind: int) -> np.ndarray:
     return (start.astype(np.int64) << 20) | (count.astype(np.int64) << 12) | (offset.astype(np.int64) << 4) | kind
 
@@ -188,7 +201,7 @@ def merge_runs(doc: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Bucketing:
-    """Splitters on leading bytes, and the hashes of frequent grams."""
+    """Splitters on range keys of grams, and the hashes of frequent grams."""
 
     def __init__(self, splitters: np.ndarray, frequent: np.ndarray, n: int) -> None:
         self.splitters, self.frequent, self.n = splitters, frequent, n
@@ -328,7 +341,7 @@ def compare(texts: DataFrame, runs_: DataFrame, buckets: Bucketing, size: int) -
                 start, count, offset, kind = decode(np.sort(np.array(codes, dtype=np.int64)))
                 length = count + size - 1
                 at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
-                lead = own.of(words_at(data, start + offset))
+                lead = own.of(leading(data, start + offset))
                 bucket = np.where(kind == FREQUENT, own.n + (start * 31 + doc) % own.n, lead)
                 held.append((np.full(len(start), doc), np.full(len(start), mark), start, count, length, bucket, data[at]))
             doc, mark, start, count, length, bucket, text = (np.concatenate(c) for c in zip(*held))
