@@ -2,8 +2,8 @@
 
 Vectors are keyed by their nearest pivot and their distance to it. The inner product becomes a
 distance by one more coordinate, sqrt(M - |x|^2) with M the largest squared length (0 for queries):
-then |q - x|^2 = |q|^2 + M - 2 q.x, and the triangle inequality bounds scores. A query first searches
-the cell that it lies in, which gives it a k-th best score to beat; it then visits only the cells
+then |q - x|^2 = |q|^2 + M - 2 q.x, and the triangle inequality bounds scores. A query first looks at
+a sample of rows and at the cell that it lies in, which give it a k-th best score to beat; it then visits only the cells
 whose ring of distances may hold a better one, and in each expands annuli outwards from its own
 distance to the pivot until the bound falls below its k-th best.
 
@@ -31,6 +31,8 @@ from loomgraph.session import cut, ship
 K, SCALE = 20, 64
 #: Vectors of a piece of a cell, pivots at most, and the query's stride.
 CELL_ROWS, MOST_PIVOTS, STRIDE = 2048, 256, 20
+#: Rows that every query is scored against first, at most, and the components that they may have in all.
+SAMPLE_ROWS, SAMPLE_CELLS = 8192, 1 << 19
 #: Vectors that one annulus adds.
 ANNULUS = 256
 #: Relative slack of bounds that are computed in floating point.
@@ -111,11 +113,15 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
         return spark.createDataFrame([], out_schema)
     dim, largest = int(shape["dim"]), float(shape["largest"])
     n_pivots = int(np.clip(shape["n"] // 256, 1, MOST_PIVOTS))
-    sample = rows.orderBy(F.xxhash64("vec_id", "vector")).limit(n_pivots).collect()  # MOST_PIVOTS vectors at most
-    pivots = np.array([list(r["vector"]) + [0] * (dim - len(r["vector"])) for r in sample], dtype=np.float64)
+    n_sample = max(n_pivots, min(SAMPLE_ROWS, SAMPLE_CELLS // dim))
+    sample = rows.orderBy(F.xxhash64("vec_id", "vector")).limit(n_sample).collect()  # SAMPLE_CELLS components, or MOST_PIVOTS vectors
+    sample_ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
+    sampled = np.array([list(r["vector"]) + [0] * (dim - len(r["vector"])) for r in sample], dtype=np.int64)
+    pivots = sampled[:n_pivots].astype(np.float64)
     lift = lambda x: np.sqrt(np.maximum(0.0, largest - (x * x).sum(axis=-1)))
     raised = np.column_stack([pivots, lift(pivots)])
     shared = spark.sparkContext.broadcast(raised)
+    seen = spark.sparkContext.broadcast((sample_ids, sampled))
 
     def distances(x: np.ndarray, extra: np.ndarray) -> np.ndarray:
         full, at = np.column_stack([x, extra]), shared.value
@@ -145,13 +151,16 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
     celled = index.withColumn("cell", split)
 
     def own_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Each query's k-th best score in the piece it lies in, or None."""
+        """A score that each query's k-th best can't be below: its k-th best in the piece it lies in, and in the sample."""
         ids, x = pdf["vec_id"].to_numpy(), unpack(pdf["vector"].tolist(), dim)
         asked = np.flatnonzero(ids % stride == 0)
         cell, marks = Cell(ids, x, pdf["distance"].to_numpy(), largest), []
         for i in asked.tolist():
-            got = cell.search(int(ids[i]), x[i], float(pdf["distance"].iloc[i]), -(2**62), k)[1]
-            marks.append(int(got[-1]) if len(got) == k else -(2**62))
+            others, mark = scores(seen.value[1], x[i])[seen.value[0] != ids[i]], -(2**62)
+            if len(others) >= k:
+                mark = int(np.partition(others, len(others) - k)[len(others) - k])
+            got = cell.search(int(ids[i]), x[i], float(pdf["distance"].iloc[i]), mark, k)[1]
+            marks.append(int(got[-1]) if len(got) == k else mark)
         return pd.DataFrame({"query_id": ids[asked], "query": pdf["vector"].to_numpy()[asked], "beat": np.array(marks, dtype=np.int64)})
 
     queries = celled.groupBy("cell").applyInPandas(own_cell, "query_id long, query binary, beat long")
