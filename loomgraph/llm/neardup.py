@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, id_key, steps, texts_of
+from loomgraph.llm.common import documents, steps, texts_of
 from loomgraph.llm.simhash import column_sums
 from loomgraph.session import cut, ship
 
@@ -56,16 +56,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * column_sums(bits) > len(hashes)).tobytes(), "big")
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a (signed) long of every row."""
+def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, carry: str | None = None) -> DataFrame:
+    """doc_id and the fingerprint as a (signed) long of every row, and one string column to carry along."""
+    more = [carry] if carry else []
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             prints = np.array([fingerprint(t, shingle) for t in texts_of(batch)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} string" for c in more]]))
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -295,8 +296,20 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A never-null name of a row: rows of one name are equal in all columns, so any of them may stand for the others."""
+    compared = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]  # these have no hash
+    parts = [F.col("doc_id").cast("string"), F.md5("text"), F.xxhash64(*compared).cast("string")]
+    return F.concat_ws("|", *[F.coalesce(part, F.lit("-")) for part in parts])
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents' own columns, of each component only its smallest doc_id (of rows that repeat it, one)."""
-    found = near_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("_kept")).distinct()
+    """The documents' own columns, of each component one row: that of the smallest doc_id, null ids last, then of the least hash of the text."""
+    keyed = docs.withColumn("_kept", row_key(docs))
+    prints = cut(fingerprint_documents(keyed, carry="_kept"), "fingerprints")
+    points = cut(prints.select("fp").distinct(), "points")
+    rooted = points.join(components(links(points)), F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_kept")
+    found = prints.join(rooted, "fp").groupBy("root").agg(F.min(order).alias("first")).select("first._kept")
     # one key for the join and for what follows it: the texts are shuffled once
-    return docs.withColumn("_kept", id_key()).join(found, "_kept").dropDuplicates(["_kept"]).select(*docs.columns)
+    return keyed.join(found, "_kept").dropDuplicates(["_kept"]).select(*docs.columns)

@@ -37,6 +37,14 @@ def test_odd(spark, saved, saved_none, odd, none):
     assert N.keep_first(none).collect() == []
 
 
+def test_null_and_repeated_ids_lose_no_component(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(30)) for name in ("ash", "birch", "cedar", "elm", "fir")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (5, texts[2]), (5, texts[3]), (7, texts[4]), (3, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in N.keep_first(docs).collect()), key=lambda r: r[1])
+    assert kept == [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (3, texts[4])]
+
+
 def clustered(rng, n, groups, flips):
     base = rng.integers(0, 1 << 63, groups, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, groups, dtype=np.uint64)
     out = base[rng.integers(0, groups, n)]
