@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import documents, steps, texts_of
+from loomgraph.llm.resemblance import alike_components
 from loomgraph.llm.simhash import column_sums
 from loomgraph.session import cut, ship
 
@@ -56,17 +57,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * column_sums(bits) > len(hashes)).tobytes(), "big")
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, carry: str | None = None) -> DataFrame:
-    """doc_id and the fingerprint as a (signed) long of every row, and one string column to carry along."""
-    more = [carry] if carry else []
+def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and the fingerprint as a (signed) long of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             prints = np.array([fingerprint(t, shingle) for t in texts_of(batch)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} string" for c in more]]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -304,12 +304,9 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents' own columns, of each component one row: that of the smallest doc_id, null ids last, then of the least hash of the text."""
+    """The documents' own columns, of each component of `resemblance` one row: that of the smallest doc_id, null ids last, then of the least hash of the text."""
     keyed = docs.withColumn("_kept", row_key(docs))
-    prints = cut(fingerprint_documents(keyed, carry="_kept"), "fingerprints")
-    points = cut(prints.select("fp").distinct(), "points")
-    rooted = points.join(components(links(points)), F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_kept")
-    found = prints.join(rooted, "fp").groupBy("root").agg(F.min(order).alias("first")).select("first._kept")
+    found = alike_components(keyed, "_kept").groupBy("root").agg(F.min(order).alias("first")).select("first._kept")
     # one key for the join and for what follows it: the texts are shuffled once
     return keyed.join(found, "_kept").dropDuplicates(["_kept"]).select(*docs.columns)
