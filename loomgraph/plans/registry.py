@@ -220,6 +220,16 @@ def workspace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(files, "n").select("url", X.in_workspace(paths).alias("kept"), "relative_path", X.in_workspace(F.col("relative_path")).alias("wanted"))
 
 
+@query("select 'page' as source, url as path, not regexp_matches(url, '/(node_modules|dist|[.]git|out|build)/') as taken from pages union all select 'file' as source, relative_path as path, not relative_path like '%.txt' as taken from fx_file")
+def workspace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The discovery filter's verdict on every url and every relative path; workspace_filter pairs the two and ends with the shorter table."""
+    c = Corpus(spark, sf_dir)
+    urls = F.concat(F.regexp_replace("path", "^[a-z]+://", ""), F.lit("/x.ts"))
+    pages = c.table("pages").select(F.lit("page").alias("source"), F.col("url").alias("path")).withColumn("taken", X.in_workspace(urls))
+    files = c.files().select(F.lit("file").alias("source"), F.col("relative_path").alias("path")).withColumn("taken", X.in_workspace(F.col("path")))
+    return pages.unionByName(files)
+
+
 @query("select count(*) as indexed, cast(0 as bigint) as failed, concat('Indexed ', cast(count(*) as varchar), ' files.') as summary from fx_file")
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.summary(extract_files(Corpus(spark, sf_dir).sources()))
