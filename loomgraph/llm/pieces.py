@@ -204,32 +204,20 @@ def read_model(path: str) -> bytes:
 
 
 ENCODED = "ids array<int>, begins array<long>, ends array<long>, decoded string"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long"
+DIGESTS = ("n_tokens long", "ids_sha256 string", "decoded_sha256 string", "n_bytes long", "spans_crc32 long")
 
 
-def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, ids, begins, ends (source bytes of each id) and the decoded text of every row."""
-    spark = docs.sparkSession
-    ship(spark)
-    model = spark.sparkContext.broadcast(read_model(model_path))  # one model file: its size doesn't follow the data
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model.value)
-        for batch in steps(batches):
-            found = codec.encode(texts_of(batch))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([e.ids for e in found], pa.list_(pa.int32())), pa.array([e.begins for e in found], pa.list_(pa.int64())), pa.array([e.ends for e in found], pa.list_(pa.int64())), pa.array(codec.decode([e.ids for e in found]), pa.string())],
-                ["doc_id", "ids", "begins", "ends", "decoded"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {ENCODED}")
+def _listed(rows: list[np.ndarray], kind: type) -> pa.ListArray:
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.asarray(r, dtype=kind) for r in rows])))
 
 
-def digest_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """The digests of each row's ids, decoded text and spans, without sending the ids to the JVM."""
+def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+    """doc_id, ids, begins, ends (source bytes of each id), the decoded text, and the digests of these, of every row."""
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(read_model(model_path))
+    model = spark.sparkContext.broadcast(read_model(model_path))  # one model file: its size doesn't follow the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
@@ -237,20 +225,22 @@ def digest_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFr
             texts = texts_of(batch)
             found = codec.encode(texts)
             decoded = codec.decode([e.ids for e in found])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([len(e.ids) for e in found], pa.int64()),
-                    pa.array([hashlib.sha256(codec.id_string(e.ids).encode()).hexdigest() for e in found]),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array([zlib.crc32(np.concatenate([e.begins, e.ends]).astype("<i8").tobytes()) for e in found], pa.int64()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "spans_crc32"],
-            )
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, DIGESTS)
+            columns = {
+                "doc_id": batch.column(0).cast(pa.int64()),
+                "ids": _listed([e.ids for e in found], np.int32),
+                "begins": _listed([e.begins for e in found], np.int64),
+                "ends": _listed([e.ends for e in found], np.int64),
+                "decoded": pa.array(decoded, pa.string()),
+                "n_tokens": pa.array([len(e.ids) for e in found], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(codec.id_string(e.ids).encode()).hexdigest() for e in found]),
+                "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+                "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),
+                "spans_crc32": pa.array([zlib.crc32(np.concatenate([e.begins, e.ends]).astype("<i8").tobytes()) for e in found], pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(["doc_id long", ENCODED, *DIGESTS]))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_documents(documents(spark, sf_dir))
+    return encode_documents(documents(spark, sf_dir)).select("doc_id", *[d.split()[0] for d in DIGESTS])
