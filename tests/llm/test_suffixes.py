@@ -86,3 +86,44 @@ def test_multikey_quicksort(text, size):
 def test_deduplicated_texts(spark, odd):
     got = {r["doc_id"]: r["text"] for r in X.deduplicate(odd).collect()}
     assert got[31] == "" and got[33] == "" and len(got[37]) < 200
+
+
+def test_small_limits(spark):
+    """Many small buckets, cut grams on most boundaries, sub-buckets, and all streams compacted again and again."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 9))))
+    passage = " ".join(word() for _ in range(60))
+    rows = []
+    for i in range(150):
+        own = " ".join(word() for _ in range(60))
+        rows.append({"doc_id": i if i % 7 else None, "text": f"{own[:150]} {passage[i % 11 :]} {own[150:]}" if i % 3 == 0 else own})
+    rows += [{"doc_id": 400 + i, "text": rows[i]["text"]} for i in range(20)]
+    rows += [{"doc_id": 500, "text": "ab" * 400}, {"doc_id": 500, "text": "x" * 950}, dict(rows[3]), dict(rows[3]), {"doc_id": 501, "text": passage * 3}]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(6)
+    want = [{k: r[k] for k in ("doc_id", "n_bytes", "n_removed")} for r in expected(spark, rows)]
+    for limits in (X.Limits(piece=400, batch=3000, bucket=1500, compact=600, ranges=16, sample=200, windows=300), X.Limits(bucket=4000, sample=400)):
+        got = []
+        for r in X.removal(docs, limits=limits).collect():
+            n = len(r["text"].encode())
+            gone = int(X.covered(n, np.array(r["codes"], dtype=np.int64), X.SIZE).sum()) if r["codes"] else 0
+            got.append({"doc_id": None if r["doc"] == -(2**63) else r["doc"], "n_bytes": n, "n_removed": gone})
+        assert counted(want, "doc_id", "n_bytes", "n_removed") == counted(got, "doc_id", "n_bytes", "n_removed")
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.text(alphabet="ab", min_size=20, max_size=90), st.sampled_from([8, 11, 16]))
+def test_multikey_quicksort_orders(text, size):
+    data = np.frombuffer(text.encode() + bytes(8), dtype=np.uint8)
+    at = np.arange(len(text) - size + 1)
+    part = X.multikey_quicksort(data, at, size)
+    strings = [text[i : i + size] for i in at]
+    assert part.tolist() == [sum(t < s for t in strings) for s in strings]
+
+
+def test_cut_grams():
+    grams = np.frombuffer(b"".join(bytes([65 + i]) * X.GRAM for i in range(4)), np.uint8).reshape(-1, X.GRAM)
+    for subs in (1, 3):
+        buckets = X.Bucketing(grams[1:3], np.array([5, 9], dtype=np.uint64), subs)
+        bucket, cut = buckets.of(grams[[0, 1, 1, 2, 2, 3]], np.array([7, 4, 6, 9, 8, 0], dtype=np.uint64))
+        assert (bucket // subs).tolist() == [0, 0, 1, 2, 1, 2] and cut.tolist() == [False, True, True, True, True, False]
+        assert bucket.max() < buckets.n
