@@ -47,15 +47,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session that runs in this process (master local or local[...]) gets a folder of its own;
+    any other must name one, as its executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_loomgraph_shared", None)
         if found is None:
             found = spark.sparkContext._loomgraph_shared = f"file://{tempfile.mkdtemp(prefix='loomgraph-shared-')}"
     return found.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in shared storage; its folder is deleted when the application ends."""
     folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -71,7 +82,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomgraph_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that `cut` wrote for this DataFrame, once nothing reads it any more."""
+    path = getattr(df, "_loomgraph_path", None)
+    if path is not None:
+        drop_path(df.sparkSession, path.rsplit("/", 1)[0])
 
 
 def shuffle_width(spark: SparkSession) -> int:
