@@ -70,13 +70,13 @@ class Limits:
     piece: int = PIECE_BYTES
     batch: int = 8 << 20
     #: Bytes of text of a bucket, about, and bytes of packed runs after which equal ones are dropped.
-    bucket: int = 16 << 20
+    bucket: int = 24 << 20
     compact: int = 12 << 20
     #: Ranges that splitters part, and sampled suffixes for each.
     ranges: int = 1 << 16
     sample: int = 64
     #: Windows that are sorted at once.
-    windows: int = 1 << 19
+    windows: int = 1 << 18
 
 
 def rollings() -> list[Rolling]:
@@ -326,7 +326,9 @@ def _split(bucket: np.ndarray, most: int = PACK_RUNS) -> Iterator[tuple[int, np.
 def dealt(packed: DataFrame, n: int) -> DataFrame:
     """Packed rows in tasks that each read whole buckets, of n, in bucket order."""
     width = shuffle_width(packed.sparkSession)
-    return packed.repartitionById(width, F.expr(f"cast(cast(bucket as long) * {width} div {max(1, n)} as int)")).sortWithinPartitions("bucket")
+    if n <= width:  # a bucket a task
+        return packed.repartitionById(width, "bucket")
+    return packed.repartitionById(width, F.expr(f"cast(cast(bucket as long) * {width} div {n} as int)")).sortWithinPartitions("bucket")
 
 
 class Bucket:
@@ -471,14 +473,16 @@ class OpenRuns:
             before = ends[edges[begin] - 1] if edges[begin] else 0
             end = max(begin + 1, int(np.searchsorted(ends[edges[1:] - 1], before + most, side="right")))
             some = order[edges[begin] : edges[end]]
-            which = np.repeat(some, self.count[some])
-            step = np.arange(len(which)) - np.repeat(np.cumsum(self.count[some]) - self.count[some], self.count[some])
-            if end == begin + 1 and len(which) > most:
-                place = self.columns["offset"][which].astype(np.int64) - step
-                for p in np.unique(place).tolist():
-                    yield which[place == p], step[place == p]
+            if end == begin + 1 and ends[edges[end] - 1] - before > most:
+                offset = self.columns["offset"][some].astype(np.int64)
+                for place in range(int((offset - self.count[some]).min()) + 1, int(offset.max()) + 1):
+                    step = offset - place
+                    own = (step >= 0) & (step < self.count[some])
+                    if own.any():
+                        yield some[own], step[own]
             else:
-                yield which, step
+                which = np.repeat(some, self.count[some])
+                yield which, np.arange(len(which)) - np.repeat(np.cumsum(self.count[some]) - self.count[some], self.count[some])
             begin = end
 
 
@@ -498,7 +502,8 @@ def compare(texts: DataFrame, runs_: DataFrame, buckets: Bucketing, size: int, l
     n_parts = max(1, -(-held.get(CUT, 0) // limits.bucket))
     n_firsts = max(shuffle_width(texts.sparkSession), -(-held.get(CUT, 0) * WINDOW.itemsize // limits.bucket))
     listed = runs_.where(f"code % 16 <> {REMOVED}").groupBy("doc", "mark").agg(F.collect_set("code").alias("codes"))
-    joined = texts.join(listed, ["doc", "mark"]).select("doc", "mark", "text", "codes")
+    # a hash table of codes, so that texts aren't sorted
+    joined = texts.join(listed.hint("shuffle_hash"), ["doc", "mark"]).select("doc", "mark", "text", "codes")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text of every open run, packed for the bucket of its suffix or, if that is cut, for a part."""
@@ -592,7 +597,7 @@ def removal(docs: DataFrame, size: int = SIZE, limits: Limits = Limits()) -> Dat
     first = cut(screen(texts, buckets, size, limits), "runs")
     again = first.where(f"code % 16 = {REMOVED}").unionByName(compare(texts, first, buckets, size, limits))
     listed = again.groupBy("doc", "mark").agg(F.collect_list("code").alias("codes"))
-    return texts.join(listed, ["doc", "mark"], "left").select("doc", "mark", "text", "codes")
+    return texts.join(listed.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc", "mark", "text", "codes")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
