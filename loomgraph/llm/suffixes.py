@@ -47,7 +47,7 @@ from loomgraph.session import cut, ship, shuffle_width
 SIZE, GRAM = 100, 32
 #: Low bits of a gram's hash that give way to its position; pieces of text are shorter than this.
 POSITION_BITS = 28
-PIECE_BYTES = 3 << 19
+PIECE_BYTES = 1 << 19
 #: Bytes of text to a run, about; runs of one packed row.
 RUN_BYTES, PACK_RUNS = 35, 4096
 REMOVED, OPEN, CUT = 0, 1, 2
@@ -486,6 +486,19 @@ class OpenRuns:
             begin = end
 
 
+def window_hashes(data: np.ndarray, at: np.ndarray, size: int, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window; `most` windows are spread out at a time."""
+    view = np.lib.stride_tricks.sliding_window_view(data, size)
+    ends = np.arange(1, most + 1) * size
+    out = np.empty((2, len(at)), dtype=np.uint64)
+    for k in range(0, len(at), most):
+        text = view[at[k : k + most]].reshape(-1)
+        end = ends[: len(text) // size]
+        for row, r in zip(out, rollings()):
+            row[k : k + most] = r.ranges(r.prefix(text), end - size, end)
+    return out[0], out[1]
+
+
 def _windows_removed(doc: np.ndarray, mark: np.ndarray, position: np.ndarray) -> Columns:
     """Windows as REMOVED runs."""
     keys = np.stack([doc, mark], axis=1)
@@ -550,9 +563,7 @@ def compare(texts: DataFrame, runs_: DataFrame, buckets: Bucketing, size: int, l
                 rows = [(now % n_firsts, REMOVED, pack(SETTLED, done, some)) for some in np.array_split(np.arange(len(done["doc"])), -(-len(done["doc"]) // PACK_RUNS))] if len(again) else []
                 if now >= n:
                     once = order[new]
-                    text = np.lib.stride_tricks.sliding_window_view(held_.data, size)[at[once]].reshape(-1)
-                    ends = np.arange(1, len(once) + 1) * size
-                    one, two = (r.ranges(r.prefix(text), ends - size, ends) for r in rollings())
+                    one, two = window_hashes(held_.data, at[once], size)
                     firsts = {"one": one, "two": two, "doc": doc[once], "mark": mark[once], "start": position[once]}
                     rows += [(b, OPEN, pack(WINDOW, firsts, some)) for b, some in _split((one % np.uint64(n_firsts)).astype(np.int64))]
                 if rows:
