@@ -78,6 +78,9 @@ UNIQUE = {"file": ("id", "path"), "symbol": ("id",), "edge": ("id",), "call_site
 #: What a table's rows are sorted by within files, so that row-group statistics serve as indexes.
 CLUSTERED = {"file": ("relative_path",), "symbol": ("file_id", "name"), "edge": ("source_id", "target_id")}
 
+#: What tells a row's bucket; `id` in the other tables.
+BUCKETED = {"file": "id", "symbol": "file_id", "edge": "source_id"}
+
 
 def empty_list() -> Column:
     return F.array().cast("array<string>")

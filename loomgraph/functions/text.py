@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import posixpath
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # fixed values: language of each file extension
 LANGUAGE_BY_EXTENSION = {
@@ -80,23 +76,37 @@ def line_count(text: Column) -> Column:
     return F.size(F.split(text, "\n", -1)).cast("long")
 
 
-@F.pandas_udf(T.StringType())
-def _relative(root: pd.Series, path: pd.Series) -> pd.Series:
-    out = [None if r is None or p is None else posixpath.relpath(p, r) for r, p in zip(root, path)]
-    return pd.Series(["" if o == "." else o for o in out])
+def _parts(path: Column) -> Column:
+    """The names along a path: empty ones and `.` go, `..` takes the name before it."""
+    names = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    up = lambda held: F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))
+    return F.aggregate(names, F.array().cast("array<string>"), lambda held, x: F.when(x == "..", up(held)).otherwise(F.concat(held, F.array(x))))
+
+
+def _plain(path: Column) -> Column:
+    """Whether a path is written without `.`, `..` and doubled slashes."""
+    return ~path.rlike("(^|/)[.]{1,2}(/|$)|//")
 
 
 def relative_path(root: Column, path: Column, outside: bool = True) -> Column:
-    """The path from root with forward slashes; with outside, also `../` paths (by a UDF that only such rows need)."""
+    """The path from root with forward slashes; with outside, also `../` paths of files that aren't under root."""
     base = F.regexp_replace(root, "/+$", "")
-    inside = F.when(path.startswith(F.concat(base, F.lit("/"))), path.substr(F.length(base) + F.lit(2), F.length(path)))
+    inside = F.when(path.startswith(F.concat(base, F.lit("/"))) & _plain(path), path.substr(F.length(base) + F.lit(2), F.length(path)))
     inside = inside.when(path == base, F.lit(""))
-    return inside.otherwise(_relative(root, path)) if outside else inside
+    if not outside:
+        return inside
+    there, here = _parts(path), _parts(root)
+    same = lambda n, i: F.when((n == i - 1) & (F.get(there, n) == F.get(here, n)), i).otherwise(n)
+    common = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(there), F.size(here)))), F.lit(0), same)
+    steps = F.concat(F.array_repeat(F.lit(".."), F.size(here) - common), F.slice(there, common + 1, F.size(there)))
+    return inside.when(root.isNotNull() & path.isNotNull(), F.array_join(steps, "/"))
 
 
 def absolute_path(root: Column, relative: Column) -> Column:
-    """root joined with a relative path; without root the relative path alone."""
-    return F.when(root.isNull() | (root == ""), relative).otherwise(F.concat_ws("/", F.regexp_replace(root, "/+$", ""), relative))
+    """root joined with a relative path, `..` resolved; without root the relative path alone."""
+    whole = F.concat_ws("/", F.regexp_replace(root, "/+$", ""), relative)
+    resolved = F.concat(F.when(whole.startswith("/"), "/").otherwise(""), F.array_join(_parts(whole), "/"))
+    return F.when(root.isNull() | (root == ""), relative).when(_plain(relative), whole).otherwise(resolved)
 
 
 def in_workspace(relative: Column) -> Column:

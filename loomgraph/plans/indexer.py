@@ -9,12 +9,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions import text as X
 from loomgraph.operators import readmodel as R
 from loomgraph.operators.extract import extract_files
 from loomgraph.operators.upsert import Store
-from loomgraph.session import cut
+from loomgraph.session import cut, scratch
 from loomgraph.sources import workspace as W
 
 LOG = logging.getLogger("loomgraph")
@@ -42,12 +43,15 @@ class WorkspaceResult:
 class Indexer:
     """Opens its store at the first use; a failed opening is tried again at the next one."""
 
-    def __init__(self, spark: SparkSession, path: str, on_indexed: Callable[[], None] | None = None) -> None:
-        """on_indexed is called after each successful run, for views that show the store."""
+    def __init__(self, spark: SparkSession, path: str | None = None, on_indexed: Callable[[], None] | None = None) -> None:
+        """Without a path the store goes when the application ends. on_indexed is called after each successful run, for views that show the store."""
         self.spark, self.path, self.on_indexed, self._store = spark, path, on_indexed, None
 
     def initialize(self) -> None:
         if self._store is None:
+            if self.path is None:
+                self._store = Store.in_memory(self.spark)
+                return
             store = Store(self.spark, self.path)
             store.initialize()
             self._store = store
@@ -64,8 +68,8 @@ class Indexer:
     # -- writing
 
     def _index(self, sources: DataFrame) -> DataFrame | None:
-        """The extracted files, committed; None if there are none."""
-        extracted = cut(extract_files(sources).withColumn("seq", F.monotonically_increasing_id()), "extracted")
+        """The extracted files, committed; None if there are none. Of files that sources name twice the last one by seq counts."""
+        extracted = cut(extract_files(sources), "extracted")
         if extracted.isEmpty():
             return None
         self.store.replace_files(extracted.where("error is null").drop("error"))
@@ -91,17 +95,22 @@ class Indexer:
         """Indexes all sources; a file that fails is counted and leaves the others alone.
 
         Each of `batches` parts (by a hash of the path) is a transaction of its own. Before each, progress
-        is told the part and the parts, and cancelled may stop the run: what was committed stays.
+        is told the part and the parts, and cancelled may stop the run: what was committed stays. Sources are read
+        once; with several parts they are staged in shared storage, a folder a part.
         """
         began = time.time()
         self.initialize()
         indexed = failed = 0
+        if batches > 1:
+            staged = scratch(self.spark, "parts")
+            sources.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(batches)).cast("int")).write.partitionBy("part").parquet(staged)
+            parts = self.spark.read.schema(T.StructType([*sources.schema.fields, T.StructField("part", T.IntegerType())])).parquet(staged)
         for part in range(batches):
             if cancelled is not None and cancelled():
                 break
             if progress is not None:
                 progress(part + 1, batches)
-            own = sources if batches == 1 else sources.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == part)
+            own = sources if batches == 1 else parts.where(F.col("part") == part).drop("part")
             extracted = self._index(own)
             if extracted is None:
                 continue
@@ -129,7 +138,7 @@ class Indexer:
         return R.all_files(self.store.read("file"))
 
     def find_file_id(self, path: str) -> str | None:
-        row = self.store.read("file").where(F.col("path") == F.lit(path)).select("id").limit(1).first()
+        row = self.store.read("file").where(F.col("path") == F.lit(path)).select("id").orderBy("id").first()
         return None if row is None else row["id"]
 
     def views(self, prefix: str = "") -> list[str]:

@@ -14,8 +14,8 @@ from loomgraph.operators import readmodel as R
 from loomgraph.operators import tree as T
 from loomgraph.operators import upsert as U
 from loomgraph.operators import validate as V
-from loomgraph.operators.extract import edges_of, extract_files, symbols_of, with_ids
-from loomgraph.session import scratch
+from loomgraph.operators.extract import edges_of, extract_files, extract_plain_files, read_sources, symbols_of, with_ids
+from loomgraph.session import cut, scratch
 from loomgraph.sources.corpus import ROOT, WITH, Corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,7 +198,7 @@ def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select relative_path, {LANGUAGE_SQL} as language, cast(0 as bigint) as n_symbols from fx_file where file_key % 9 > 5")
 def extract_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract_files(Corpus(spark, sf_dir).sources()).where(~X.is_scanned(F.col("language")))
+    found = extract_plain_files(Corpus(spark, sf_dir).sources())
     return found.select("relative_path", "language", F.size("found").cast("long").alias("n_symbols"))
 
 
@@ -208,21 +208,22 @@ TEXT_SQL = "t as (select file_key, string_agg(line, chr(10) order by start_line)
 @query(f"""{WITH}, {TEXT_SQL} select f.relative_path, {LANGUAGE_SQL} as language, sha256(coalesce(t.text, '')) as hash,
 cast(len(string_split(coalesce(t.text, ''), chr(10))) as bigint) as loc from fx_file f left join t on t.file_key = f.file_key""")
 def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_files(Corpus(spark, sf_dir).sources()).select("relative_path", "language", "hash", "loc")
+    return read_sources(Corpus(spark, sf_dir).sources()).select("relative_path", "language", "hash", "loc")
 
 
-@query("select url, not regexp_matches(url, '/(node_modules|dist|[.]git|out|build)/') as kept, relative_path, not relative_path like '%.txt' as wanted from (select url, row_number() over (order by page_id) as n from pages) p join (select relative_path, file_key + 1 as n from fx_file) f using (n)")
+@query("select url, not regexp_matches(url, '/(node_modules|dist|[.]git|out|build)/') as kept, relative_path, not relative_path like '%.txt' as wanted from (select url, page_id as n from pages) p full join (select relative_path, file_key as n from fx_file) f on p.n = f.n")
 def workspace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The discovery filter's verdict on every url and every relative path, side by side."""
     c = Corpus(spark, sf_dir)
-    pages = c.sql("select url, row_number() over (order by page_id) as n from pages")
-    files = c.files().select("relative_path", (F.col("file_key") + 1).alias("n"))
+    pages = c.table("pages").select("url", F.col("page_id").alias("n"))
+    files = c.files().select("relative_path", F.col("file_key").alias("n"))
     paths = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/x.ts"))
-    return pages.join(files, "n").select("url", X.in_workspace(paths).alias("kept"), "relative_path", X.in_workspace(F.col("relative_path")).alias("wanted"))
+    return pages.join(files, "n", "full").select("url", X.in_workspace(paths).alias("kept"), "relative_path", X.in_workspace(F.col("relative_path")).alias("wanted"))
 
 
 @query("select 'page' as source, url as path, not regexp_matches(url, '/(node_modules|dist|[.]git|out|build)/') as taken from pages union all select 'file' as source, relative_path as path, not relative_path like '%.txt' as taken from fx_file")
 def workspace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The discovery filter's verdict on every url and every relative path; workspace_filter pairs the two and ends with the shorter table."""
+    """The discovery filter's verdict on every url and every relative path, one below the other."""
     c = Corpus(spark, sf_dir)
     urls = F.concat(F.regexp_replace("path", "^[a-z]+://", ""), F.lit("/x.ts"))
     pages = c.table("pages").select(F.lit("page").alias("source"), F.col("url").alias("path")).withColumn("taken", X.in_workspace(urls))
@@ -230,6 +231,66 @@ def workspace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(files)
 
 
+NESTED_TEXT = """const f%d = () => { let inner = 1; for (let i = 0; i < 2; i++) {} }
+const { a, b%d } = obj;
+export const
+  multi = 1,
+  other%d = { x: 2 };
+export function g%d() {
+  const hidden = 1;
+}
+"""
+
+
+@query("""select concat('p', cast(p_partkey as varchar), '.ts') as relative_path, replace(name, '%', cast(p_partkey as varchar)) as name, kind, cast(start_line as bigint) as start_line,
+cast(start_col as bigint) as start_col, cast(end_line as bigint) as end_line, cast(end_col + k * len(cast(p_partkey as varchar)) as bigint) as end_col
+from part, (values ('f%', 'variable', 0, 6, 0, 65, 1), ('inner', 'variable', 0, 22, 0, 31, 1), ('i', 'variable', 0, 42, 0, 47, 1), ('{ a, b% }', 'variable', 1, 6, 1, 20, 1),
+ ('multi', 'variable', 3, 2, 3, 11, 0), ('other%', 'variable', 4, 2, 4, 18, 1), ('g%', 'function', 5, 7, 7, 1, 0)) as t(name, kind, start_line, start_col, end_line, end_col, k)""")
+def extract_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarators at any depth, patterns, and declarations over several lines: a text a part."""
+    parts = Corpus(spark, sf_dir).table("part")
+    text = F.replace(F.lit(NESTED_TEXT), F.lit("%d"), F.col("p_partkey").cast("string"))
+    sources = parts.select(F.concat(F.lit(ROOT + "/p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), F.lit(ROOT).alias("root"), text.cast("binary").alias("content"))
+    each = extract_files(sources).select("relative_path", F.explode("found").alias("s")).select("relative_path", "s.*")
+    shift = F.when((F.col("start_line") == 0) & (F.col("start_col") > 6), F.length("relative_path") - 4).otherwise(0)  # these stand behind the key
+    return each.withColumn("start_col", F.col("start_col") - shift)
+
+
+@query("""select doc_id, sha256(concat('a', chr(65533), chr(65533), '(', text)) as hash, cast(len(string_split(text, chr(10))) as bigint) as loc from documents""")
+def malformed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts behind bytes that aren't UTF-8: each maximal broken part becomes U+FFFD."""
+    docs = Corpus(spark, sf_dir).table("documents")
+    text = X.decoded(F.concat(F.lit(b"a\xff\xe2\x28"), F.col("text").cast("binary")))
+    return docs.select("doc_id", X.content_hash(text).alias("hash"), X.line_count(text).alias("loc"))
+
+
+@query(f"""select id, concat('../', relative_path) as relative_path, concat('{ROOT}/', relative_path) as path, case when file_key % 50 = 0 then '..' else '../../..' end || '/app' as up from fx_file""")
+def outside_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths outside a root and back, and the way up from each file to a sibling of its top folder."""
+    files = Corpus(spark, sf_dir).files()
+    root, path = F.lit(f"{ROOT}/app"), F.concat(F.lit(f"{ROOT}/./app/../"), F.col("relative_path"))
+    relative = X.relative_path(root, path)
+    folder = F.concat(F.lit(f"{ROOT}/x/"), F.regexp_replace("relative_path", "/?[^/]*$", ""))
+    folder = F.when(F.col("file_key") % 50 == 0, F.lit(f"{ROOT}/x")).otherwise(folder)
+    up = F.regexp_replace(X.relative_path(folder, root), "^../../..(/..)?/app", "../../../app")
+    return files.select("id", relative.alias("relative_path"), X.absolute_path(root, relative).alias("path"), up.alias("up"))
+
+
+@query("""select count(*) filter (file_key % 10 <> 0) as indexed, count(*) filter (file_key % 10 = 0) as failed,
+concat('Indexed ', cast(count(*) filter (file_key % 10 <> 0) as varchar), ' files (', cast(count(*) filter (file_key % 10 = 0) as varchar), ' failed).') as summary from fx_file""")
+def index_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a run in which every tenth file can't be read."""
+    files = Corpus(spark, sf_dir).files()
+    sources = files.select(F.concat(F.lit(ROOT + "/"), "relative_path").alias("path"), F.lit(ROOT).alias("root"), F.when(F.col("file_key") % 10 != 0, F.lit(b"class A {}")).alias("content"))
+    return R.summary(extract_files(sources))
+
+
+@query(f"select language, count(*) as n_files, language <> 'plaintext' as supported from (select {LANGUAGE_SQL} as language from fx_file) x group by language")
+def editor_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(Corpus(spark, sf_dir))
+    return files.groupBy("language").agg(F.count("*").alias("n_files")).select("language", "n_files", X.editor_supports(F.col("language")).alias("supported"))
+
+
 @query("select count(*) as indexed, cast(0 as bigint) as failed, concat('Indexed ', cast(count(*) as varchar), ' files.') as summary from fx_file")
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.summary(extract_files(Corpus(spark, sf_dir).sources()))
@@ -272,20 +333,50 @@ def structural_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("source_id", "target_id", "kind", "metadata", F.col("weight").isNull().alias("unweighted"))
 
 
-@query("""select relative_path, count(s.name) as n_symbols, count(s.name) as n_edges from fx_file f left join fx_symbol s on s.file_key = f.file_key and f.file_key % 9 <= 5
-group by relative_path""")
+@query(f"""{WITH}, {TEXT_SQL}, n as (select file_key, count(*) as n_symbols, string_agg(name || ':' || kind || ':' || cast(start_line as varchar), ',' order by start_line) as symbols
+from fx_symbol where file_key % 9 <= 5 group by file_key)
+select f.relative_path, sha256(concat('file', chr(0), '{ROOT}/', f.relative_path)) as id, sha256(coalesce(t.text, '')) as hash, coalesce(n.n_symbols, 0) as n_symbols, coalesce(n.n_symbols, 0) as n_edges,
+coalesce(n.symbols, '') as symbols, false as is_core from fx_file f left join t on t.file_key = f.file_key left join n on n.file_key = f.file_key""")
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexes all files, then half of them again, in two transactions of a snapshot store, and reads it back."""
-    sources = Corpus(spark, sf_dir).sources()
     store = U.Store(spark, scratch(spark, "store"))
     store.initialize()
-    for rows in (sources, sources.where("length(path) % 2 = 0")):
-        store.replace_files(extract_files(rows).where("error is null").withColumn("seq", F.lit(0)))
+    found = cut(extract_files(Corpus(spark, sf_dir).sources()).where("error is null"), "extracted")
+    for rows in (found, found.where("length(path) % 2 = 0")):
+        store.replace_files(rows)
     now = store.snapshot()
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range.start_line", "name", "kind"))), lambda x: F.concat_ws(":", x["name"], x["kind"], x["start_line"].cast("string"))), ",")
+    symbols = now["symbol"].groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_symbols"), listed.alias("symbols"))
+    edges = now["edge"].join(now["symbol"].select(F.col("id").alias("target_id")), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_edges"))
+    joined = now["file"].select("id", "relative_path", "hash", "is_core").join(symbols, "id", "left").join(edges, "id", "left")
+    return joined.select("relative_path", "id", "hash", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("symbols", F.lit("")).alias("symbols"), "is_core")
+
+
+@query(f"""select case when file_key % 3 = 0 then 'stored-' || id else id end as id, relative_path, case when file_key % 2 = 0 then 'new' else 'old' end as hash,
+file_key % 2 <> 0 and file_key % 3 = 0 as is_core, cast(case when file_key % 2 <> 0 and file_key % 3 = 0 then 2 else 0 end as bigint) as n_tags,
+case when file_key % 2 <> 0 and file_key % 3 = 0 then 'ann' end as last_author, cast(case when file_key % 2 = 0 then 1 else 0 end as bigint) as n_symbols
+from fx_file where file_key % 2 = 0 or file_key % 3 = 0""")
+def update_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third file is stored with enrichment, every second one comes anew: it keeps a stored id, and loses what enriched it."""
+    files = Corpus(spark, sf_dir).files()
+    path = F.concat(F.lit(ROOT + "/"), F.col("relative_path")).alias("path")
+    known = files.where("file_key % 3 = 0").select(F.concat(F.lit("stored-"), "id").alias("id"), path, "relative_path", F.lit("typescript").alias("language"), F.lit(1).alias("loc"), F.lit("old").alias("hash"), F.lit(True).alias("is_core"), F.array(F.lit("a"), F.lit("b")).alias("tags"), F.lit("ann").alias("last_author"))
+    place = F.struct(F.lit("f").alias("name"), F.lit("function").alias("kind"), *[F.lit(0).cast("long").alias(n) for n in S.RANGE_FIELDS])
+    new = files.where("file_key % 2 = 0").select("id", path, "relative_path", F.lit("typescript").alias("language"), F.lit(1).alias("loc"), F.lit("new").alias("hash"), F.array(place).alias("found"), F.lit(0).cast("long").alias("seq"))
+    tables = {"file": S.conform(known, "file"), "symbol": S.empty(spark, "symbol"), "edge": S.empty(spark, "edge")}
+    now = U.replace_file_graph(tables, new)
     symbols = now["symbol"].groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_symbols"))
-    edges = now["edge"].groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_edges"))
-    joined = now["file"].select("id", "relative_path").join(symbols, "id", "left").join(edges, "id", "left")
-    return joined.select("relative_path", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    joined = now["file"].join(symbols, "id", "left")
+    return joined.select("id", "relative_path", "hash", "is_core", F.size("tags").cast("long").alias("n_tags"), "last_author", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
+
+
+@query("""select 'hash is null' as "check", count(*) as n from fx_file where file_key % 4 = 1 union all
+select 'id is not unique' as "check", count(*) as n from (select file_key // 5 as k from fx_file group by k having count(*) > 1) x""")
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that a table of files breaks whose ids are shared by five and whose every fourth hash is null."""
+    files = Corpus(spark, sf_dir).files()
+    rows = files.select(F.expr("cast(file_key div 5 as string)").alias("id"), "relative_path", F.col("relative_path").alias("path"), F.lit("x").alias("language"), F.lit(1).alias("loc"), F.when(F.col("file_key") % 4 != 1, F.lit("h")).alias("hash"))
+    return S.violations(S.conform(rows, "file"), "file")
 
 
 @query("select unnest(['call_site', 'diagnostic', 'edge', 'file', 'import_ref', 'symbol']) as name, cast(0 as bigint) as n_violations")
@@ -367,6 +458,34 @@ def git_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.recency(e.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("author"), "ts"), "2024-01-31 00:00:00")
 
 
+def _symbol_edges(c: Corpus) -> DataFrame:
+    """Calls as edges from the file of the caller's key to the first symbol of the called one's."""
+    return c.calls().select(F.concat(F.lit("file-"), F.col("src").cast("string")).alias("src"), F.concat(F.lit("symbol-"), F.col("dst").cast("string"), F.lit("-0")).alias("dst"))
+
+
+@query("""select id, relative_path, relative_path like '%.py' or file_key in (select s.file_key from fx_symbol s join (select dst from fx_call group by dst having count(*) >= 2) c on c.dst = s.file_key where s.start_line = 0) as is_core from fx_file""")
+def core_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a symbol of fan-in 2 or more, or of one glob."""
+    c = Corpus(spark, sf_dir)
+    return G.core_files(_files(c), _symbol_edges(c), _symbols(c), 2, ("**/*.py",)).select("id", "relative_path", "is_core")
+
+
+@query("""select concat('symbol-', cast(file_key as varchar), '-', cast(start_line as varchar)) as id, name, file_key % 7 + 1 as lines from fx_symbol where kind = 'class' and file_key % 7 + 1 >= 5""")
+def large_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of five lines or more, where a class of the n-th file ends n mod 7 lines below its beginning."""
+    symbols = _symbols(Corpus(spark, sf_dir))
+    below = F.col("range.start_line") + F.regexp_extract("file_id", "[0-9]+", 0).cast("long") % 7
+    return G.large_classes(symbols.withColumn("range", F.col("range").withField("end_line", below)), 5)
+
+
+@query("""select distinct concat('symbol-', cast(s.file_key as varchar), '-0') as id, s.name from fx_symbol s join fx_call c on c.dst = s.file_key join fx_file t on t.file_key = c.src
+where s.start_line = 0 and t.relative_path like '%.tsx'""")
+def tested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that a file of the tests' glob points to."""
+    c = Corpus(spark, sf_dir)
+    return G.tested(_symbols(c), _symbol_edges(c), _files(c), "**/*.tsx").select("id", "name")
+
+
 @query("select dst as node, count(*) as fan_in from fx_call group by dst having count(*) >= 2")
 def core_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.core_nodes(Corpus(spark, sf_dir).calls(), 2)

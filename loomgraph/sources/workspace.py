@@ -2,35 +2,62 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 
 SOURCES = "path string, root string, content binary"
+#: The path of a listed file without its scheme, as roots are written.
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)"
 
 
-def _local(path: str) -> str:
-    """The path of a listed file without its scheme, as roots are written."""
-    return f"regexp_replace({path}, '^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)', '')"
+def local_path(path: str = "path"):
+    return F.regexp_replace(path, _SCHEME, "")
 
 
-def workspace(spark: SparkSession, root: str, included: tuple[str, ...] = X.INCLUDED) -> DataFrame:
-    """path, root, content of every file under root that discovery takes.
+def local_root(root: str) -> str:
+    base = root.split("://", 1)[-1] if "://" in root else root
+    return (base if base.startswith("/") else "/" + base.split("/", 1)[-1]).rstrip("/")
 
-    The listing filters by extension; excluded folders are filtered by path before any content is read.
-    """
+
+def listing(spark: SparkSession, root: str, included: tuple[str, ...] = X.INCLUDED) -> DataFrame:
+    """path (as the file system names it) and root of every file under root that discovery takes; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(included)}}}").load(root)
-    base = root.split("://", 1)[-1] if "://" in root else root
-    base = base if base.startswith("/") else "/" + base.split("/", 1)[-1]
-    named = files.select(F.expr(_local("path")).alias("path"), F.lit(base.rstrip("/")).alias("root"), "content")
-    return named.where(X.in_workspace(X.relative_path(F.col("root"), F.col("path"), outside=False)))
+    return taken(files.select("path"), local_root(root))
+
+
+def taken(paths: DataFrame, root: str) -> DataFrame:
+    named = paths.select("path", F.lit(root).alias("root"))
+    return named.where(X.in_workspace(X.relative_path(F.col("root"), local_path(), outside=False)))
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """path, root, content of listed files.
+
+    The driver holds their paths, as a file source's own listing does; only these files are opened.
+    """
+    spark = listed.sparkSession
+    rows = listed.distinct().collect()
+    out = spark.createDataFrame([], SOURCES)
+    for root in sorted({r["root"] for r in rows}):
+        paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["path"]) for r in rows if r["root"] == root]  # a path isn't a pattern
+        files = spark.read.format("binaryFile").load(sorted(paths))
+        out = out.unionByName(files.select(local_path().alias("path"), F.lit(root).alias("root"), "content"))
+    return out
+
+
+def workspace(spark: SparkSession, root: str, included: tuple[str, ...] = X.INCLUDED) -> DataFrame:
+    """path, root, content of every file under root that discovery takes: listed, filtered, and only then opened."""
+    return contents(listing(spark, root, included))
 
 
 def single_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     """path, root, content of the named files; they may lie outside root."""
     files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.expr(_local("path")).alias("path"), F.lit(root.rstrip("/")).alias("root"), "content")
+    return files.select(local_path().alias("path"), F.lit(root.rstrip("/")).alias("root"), "content")
 
 
 def table_of_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> DataFrame:

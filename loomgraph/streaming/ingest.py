@@ -10,15 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.functions import text as X
 from loomgraph.plans.indexer import Indexer
+from loomgraph.sources import workspace as W
 
 MESSAGES = "seq long, panel string, type string, n_files long, payload string"
 
 
-def file_stream(spark: SparkSession, root: str) -> DataFrame:
-    """path, root, content of every file that discovery takes, as it appears under root."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(X.INCLUDED)}}}").load(root)
-    named = files.select(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "").alias("path"), F.lit(root.rstrip("/")).alias("root"), "content")
-    return named.where(X.in_workspace(X.relative_path(F.col("root"), F.col("path"), outside=False)))
+def file_stream(spark: SparkSession, root: str, most_files: int = 10_000) -> DataFrame:
+    """path and root of every file that discovery takes, as it appears under root: at most most_files a micro-batch, and no content yet."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": f"*.{{{','.join(X.INCLUDED)}}}", "maxFilesPerTrigger": str(most_files)}
+    return W.taken(reader.options(**options).load(root).select("path"), W.local_root(root))
 
 
 def index_stream(indexer: Indexer, sources: DataFrame, checkpoint: str, after: Callable[[DataFrame], None] | None = None, incremental: bool = True) -> StreamingQuery:
@@ -29,6 +30,7 @@ def index_stream(indexer: Indexer, sources: DataFrame, checkpoint: str, after: C
     indexer.initialize()
 
     def batch(df: DataFrame, number: int) -> None:
+        df = df if "content" in df.columns else W.contents(df)
         if df.isEmpty():
             return
         (indexer.index_incremental if incremental else indexer.index_sources)(df)

@@ -26,11 +26,25 @@ def test_text(spark):
     assert one(spark, X.decoded(F.lit(b"a\xe2\x28\xa1"))) == b"a\xe2\x28\xa1".decode(errors="replace")
 
 
-@pytest.mark.parametrize("path, expected", [("/w/a/b.ts", "a/b.ts"), ("/w", ""), ("/v/c.ts", "../v/c.ts"), ("/wx/c.ts", "../wx/c.ts")])
+@pytest.mark.parametrize("path, expected", [("/w/a/b.ts", "a/b.ts"), ("/w", ""), ("/v/c.ts", "../v/c.ts"), ("/wx/c.ts", "../wx/c.ts"), ("/w/../v//./c.ts", "../v/c.ts"), ("/w/a/../b.ts", "b.ts"), ("/", "..")])
 def test_relative_path(spark, path, expected):
     assert one(spark, X.relative_path(F.lit("/w"), F.lit(path))) == expected
 
 
+@pytest.mark.parametrize("root, path", [("/a/b/c", "/a/x/y.ts"), ("/a/b", "/a/b/c/../../d.ts"), ("/a/b/", "/a"), ("/a", "/b"), ("/", "/x/y")])
+def test_relative_path_as_the_system_has_it(spark, root, path):
+    import posixpath
+
+    assert one(spark, X.relative_path(F.lit(root), F.lit(path))) == posixpath.relpath(path, root)
+    relative = posixpath.relpath(path, root)
+    assert one(spark, X.absolute_path(F.lit(root), F.lit(relative))) == posixpath.normpath(path)
+
+
+def test_paths_never_leave_the_jvm(spark):
+    plan = spark.createDataFrame([("/w", "/w/a.ts")], "root string, path string").select(X.relative_path(F.col("root"), F.col("path")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+
+
 @pytest.mark.parametrize("path, expected", [("a.ts", True), ("node_modules/a.ts", False), ("x/dist/a.js", False), ("distant/a.js", True), ("a.txt", False), ("b/.git/c.md", False)])
 def test_workspace(spark, path, expected):
     assert one(spark, X.in_workspace(F.lit(path))) is expected
@@ -55,6 +69,12 @@ def test_reads(spark):
     assert labels["r.md"] is None and labels["src/z.ts"] == "B (Class)"
 
 
+def test_symbol_items(spark):
+    _, symbols = tables(spark)
+    got = {(r["label"], r["icon"], r["line"]) for r in R.symbol_items(symbols).collect()}
+    assert got == {("b (function)", "symbol-function", 3), ("B (class)", "symbol-class", 1), ("a (enum)", "symbol-enum", 0), ("c (type)", "symbol-type-parameter", 0)}
+
+
 def test_tree_orders(spark):
     files = spark.createDataFrame([(0, "b.ts"), (1, "src/x/c.ts"), (2, "a.ts"), (3, "src/d.ts")], "n long, relative_path string")
     tree = T.nodes(files, order="n")

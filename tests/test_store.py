@@ -132,3 +132,76 @@ def test_view_stream(spark, tmp_path):
     query = ingest.view_states(stream).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {r["panel"]: r["state"] for r in spark.table("states").collect()} == {"a": "loaded", "b": "loading"}
+
+
+def test_excluded_folders_are_never_opened(spark, tmp_path, workspace):
+    from loomgraph.sources import workspace as W
+
+    (workspace / "node_modules/x/big.ts").write_text("x" * 5000)
+    (workspace / "src/a[1] {2}*.ts").write_text("enum Odd { A }")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")  # opening the large file would fail
+    try:
+        got = {r["path"]: bytes(r["content"]) for r in W.workspace(spark, str(workspace)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert sorted(p.removeprefix(f"{workspace}/") for p in got) == ["notes.md", "src/a[1] {2}*.ts", "src/empty.ts", "src/hello.ts"]
+    assert got[f"{workspace}/src/a[1] {{2}}*.ts"] == b"enum Odd { A }"
+    (tmp_path / "bare").mkdir()
+    assert W.workspace(spark, str(tmp_path / "bare")).collect() == []
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    store = U.Store(spark, str(tmp_path / "db"), buckets=8)
+    store.initialize()
+    from loomgraph.operators.extract import extract_files
+
+    files = lambda names, text: extract_files(spark.createDataFrame([(f"/w/{n}.ts", "/w", bytearray(text.encode())) for n in names], "path string, root string, content binary"))
+    names = [f"f{i}" for i in range(40)]
+    store.replace_files(files(names, "class A {}\nclass B {}"))
+    before = store.layout()
+    assert sum(v == 1 for v in before["file"]) == sum(v == 1 for v in before["symbol"]) > 4
+    # a call from another file's symbol into the file that comes next: its bucket is written as well
+    ids = {r["relative_path"]: r["id"] for r in store.read("file").collect()}
+    targets = [r["id"] for r in store.of_file("symbol", ids["f7.ts"]).collect()]
+    call = spark.createDataFrame([("call-1", "some-symbol", targets[0], "call"), ("call-2", "some-symbol", "elsewhere", "call")], "id string, source_id string, target_id string, kind string")
+    store.transaction(lambda t: {"edge": t["edge"].unionByName(S.conform(call, "edge"))})
+    before = store.layout()
+    store.replace_files(files(["f7"], "enum C { X }"))
+    after = store.layout()
+    changed = {name: [b for b in range(8) if before[name][b] != after[name][b]] for name in before}
+    assert len(changed["file"]) == 1 and changed["symbol"] == changed["file"] and 1 <= len(changed["edge"]) <= 2
+    assert store.read("file").count() == 40 and store.read("symbol").count() == 79 and store.read("edge").where("kind = 'structural'").count() == 79
+    assert [r["id"] for r in store.read("edge").where("kind = 'call'").collect()] == ["call-2"]
+    assert [(r["name"], r["kind"]) for r in store.of_file("symbol", ids["f7.ts"]).collect()] == [("C", "enum")]
+    assert store.of_file("edge", ids["f7.ts"]).count() == 1
+    store.vacuum()
+    assert store.read("symbol").count() == 79
+    store.replace_files(files([], ""))
+    assert store.layout() == after
+
+
+def test_a_lock_names_its_owner_and_grows_stale(spark, tmp_path):
+    store = U.Store(spark, str(tmp_path / "db"))
+    store.initialize()
+    with store._locked(), pytest.raises(RuntimeError, match=spark.sparkContext.applicationId):
+        store.transaction(lambda tables: {})
+    import os
+
+    lock = tmp_path / "db/_LOCK"
+    lock.write_text("a crashed writer")
+    os.utime(lock, (1, 1))
+    store.transaction(lambda tables: {})
+    assert not lock.exists()
+
+
+def test_in_memory(spark, workspace):
+    indexer = Indexer(spark)
+    assert indexer.index_workspace(str(workspace)).indexed == 3
+    assert {r["name"] for r in indexer.get_symbols("src/hello.ts").collect()} == {"hello", "edition"}
+
+
+def test_the_last_content_of_a_path_counts(spark, tmp_path):
+    rows = [("/w/a.ts", "/w", bytearray(b"class Old {}"), 1), ("/w/a.ts", "/w", bytearray(b"class New {}"), 2)]
+    indexer = Indexer(spark, str(tmp_path / "db"))
+    indexer.index_sources(spark.createDataFrame(rows, "path string, root string, content binary, seq long"))
+    assert [r["name"] for r in indexer.get_symbols("a.ts").collect()] == ["New"]
