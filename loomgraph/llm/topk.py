@@ -3,12 +3,17 @@
 Vectors are keyed by their nearest pivot and their distance to it. The inner product becomes a
 distance by one more coordinate, sqrt(M - |x|^2) with M the largest squared length (0 for queries):
 then |q - x|^2 = |q|^2 + M - 2 q.x, and the triangle inequality bounds scores. A query first looks at
-a sample of rows and at the cell that it lies in, which give it a k-th best score to beat; it then visits only the cells
+the pivots and at the cell that it lies in, which give it a k-th best score to beat; it then visits only the cells
 whose ring of distances may hold a better one, and in each expands annuli outwards from its own
-distance to the pivot until the bound falls below its k-th best.
+distance to the pivot until the bound falls below its k-th best. Queries of a cell go through its annuli in
+blocks, so that a block's scores with an annulus are one matrix product.
 
 Cells are split to pieces of bounded size, so a pivot that attracts a third of all vectors, or one
-vector that is a third of all, is shared out. Queries are shuffled to cells in packed blocks.
+vector that is a third of all, is shared out. A task holds a piece and the queries of one group
+(QUERY_GROUP), whatever the number of queries; vectors travel in the narrowest integers that hold them.
+
+The bound prunes as far as the vectors allow. Unrelated directions in many dimensions lie at nearly the
+same distance from every pivot, and then nearly every ring is open: work grows with queries x vectors.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components, and rows with
 a null vec_id, take no part; shorter vectors are taken as ending in zeros; rows that repeat a vec_id
@@ -26,73 +31,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.hashing import mix64
 from loomgraph.session import cut, ship
 
 K, SCALE = 20, 64
 #: Vectors of a piece of a cell, pivots at most, and the query's stride.
-CELL_ROWS, MOST_PIVOTS, STRIDE = 2048, 256, 20
-#: Rows that every query is scored against first, at most, and the components that they may have in all.
-SAMPLE_ROWS, SAMPLE_CELLS = 8192, 1 << 19
-#: Vectors that one annulus adds.
-ANNULUS = 256
+CELL_ROWS, MOST_PIVOTS, STRIDE = 4096, 4096, 20
+#: Vectors that one annulus adds, queries of a block, and of a group that meets a piece.
+ANNULUS, BLOCK, QUERY_GROUP = 512, 256, 8192
 #: Relative slack of bounds that are computed in floating point.
 SLACK = 1e-9
+#: Below any score.
+NOTHING = -(2**62)
 
 
-def unpack(blobs: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=np.int64).reshape(-1, dim)
+def unpack(blobs: list[bytes], dim: int, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=kind).reshape(-1, dim)
 
 
-def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in floating point where its integers suffice."""
-    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * len(query)
+def scores(queries: np.ndarray, vectors: np.ndarray, largest: float) -> np.ndarray:
+    """Exact integer inner products of rows: in floating point where its integers suffice. largest: the highest product that may come."""
     if largest < 2**53:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return (vectors * query).sum(axis=1)
+        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
+    return queries.astype(np.int64) @ vectors.astype(np.int64).T
+
+
+class Top:
+    """The k best so far of a block of queries, and the score that each must beat or equal."""
 
+    def __init__(self, beat: np.ndarray, k: int) -> None:
+        self.beat, self.k = beat.astype(np.int64).copy(), k
+        self.query, self.ids, self.got = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
-def best(found: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by score, then smaller id."""
-    if len(found) > 4 * k:
-        mark = np.partition(found, len(found) - k)[len(found) - k]
-        own = np.flatnonzero(found >= mark)
-        return own[np.lexsort((ids[own], -found[own]))[:k]]
-    return np.lexsort((ids, -found))[:k]
+    def add(self, query: np.ndarray, ids: np.ndarray, got: np.ndarray) -> None:
+        query, ids, got = np.concatenate([self.query, query]), np.concatenate([self.ids, ids]), np.concatenate([self.got, got])
+        order = np.lexsort((ids, -got, query))
+        query, ids, got = query[order], ids[order], got[order]
+        begin = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - begin
+        keep = rank < self.k
+        full = rank == self.k - 1
+        self.beat[query[full]] = np.maximum(self.beat[query[full]], got[full])
+        self.query, self.ids, self.got = query[keep], ids[keep], got[keep]
 
 
 class Cell:
-    """One piece of a cell: its vectors in ascending distance to the pivot."""
+    """One piece of a cell: its vectors in ascending distance to the pivot. largest: M; reach: the highest product."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, to_pivot: np.ndarray, largest: float) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, to_pivot: np.ndarray, largest: float, reach: float, annulus: int = ANNULUS) -> None:
         order = np.argsort(to_pivot, kind="stable")
-        self.ids, self.vectors, self.to_pivot, self.largest = ids[order], vectors[order], to_pivot[order], largest
-        self.exact = self.vectors.astype(np.float64) if len(vectors) and np.abs(vectors).max() < 2**23 else None
-
-    def search(self, query_id: int, query: np.ndarray, distance: float, beat: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of this piece's k best of at least `beat`, expanding annuli around the query's distance to the pivot."""
-        n = len(self.ids)
-        low = high = int(np.searchsorted(self.to_pivot, distance))
-        ids, got = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        length = float((query.astype(np.float64) ** 2).sum()) + self.largest
+        self.ids, self.vectors, self.to_pivot, self.largest, self.reach, self.annulus = ids[order], vectors[order], to_pivot[order], largest, reach, annulus
+        if reach < 2**53:
+            self.vectors = self.vectors.astype(np.float64)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, distance: np.ndarray, beat: np.ndarray, k: int) -> Top:
+        """This piece's k best of at least `beat` for a block of queries, expanding annuli around the queries' distances to the pivot."""
+        top, n = Top(beat, k), len(self.ids)
+        if self.reach < 2**53:
+            queries = queries.astype(np.float64)
+        length = (queries.astype(np.float64) ** 2).sum(axis=1) + self.largest
+        low = high = int(np.searchsorted(self.to_pivot, np.median(distance))) if len(distance) else 0
         while low > 0 or high < n:
-            left = distance - self.to_pivot[low - 1] if low > 0 else np.inf
-            right = self.to_pivot[high] - distance if high < n else np.inf
-            nearest = max(0.0, min(left, right))
-            # no vector that is left is nearer than this, so none scores more
-            if (length - nearest * nearest) / 2 + SLACK * (length + 1) < beat:
-                break
-            a, b = (max(0, low - ANNULUS), low) if left <= right else (high, min(n, high + ANNULUS))
-            low, high = (a, high) if left <= right else (low, b)
-            part = scores(self.vectors[a:b], query) if self.exact is None else (self.exact[a:b] @ query).astype(np.int64)
-            keep = (part >= beat) & (self.ids[a:b] != query_id)
-            if not keep.any():
-                continue
-            ids, got = np.concatenate([ids, self.ids[a:b][keep]]), np.concatenate([got, part[keep]])
-            top = best(got, ids, k)
-            ids, got = ids[top], got[top]
-            if len(ids) == k:
-                beat = max(beat, int(got[-1]))
-        return ids, got
+            # the nearer side first; no vector that is left on a side is nearer to a query than that side's edge
+            down = distance.min() - self.to_pivot[low - 1] if low > 0 else np.inf
+            up = self.to_pivot[high] - distance.max() if high < n else np.inf
+            a, b = (max(0, low - self.annulus), low) if down <= up else (high, min(n, high + self.annulus))
+            low, high = (a, high) if down <= up else (low, b)
+            near, far = self.to_pivot[a], self.to_pivot[b - 1]
+            apart = np.maximum(0.0, np.maximum(near - distance, distance - far))
+            asked = np.flatnonzero((length - apart * apart) / 2 + SLACK * (length + 1) >= top.beat)
+            if len(asked):
+                part = scores(queries[asked], self.vectors[a:b], self.reach)
+                row, col = np.nonzero((part >= top.beat[asked][:, None]) & (query_ids[asked][:, None] != self.ids[a:b][None, :]))
+                if len(row):
+                    top.add(asked[row], self.ids[a:b][col], part[row, col])
+            else:
+                rest = np.maximum(0.0, distance - far if down <= up else near - distance)
+                if ((length - rest * rest) / 2 + SLACK * (length + 1) < top.beat).all():  # and what lies beyond is farther still
+                    low, high = (0, high) if down <= up else (low, n)
+        return top
 
 
 def quantised(vectors: DataFrame, scale: int, column: str = "embedding") -> DataFrame:
@@ -107,14 +124,17 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
     spark = vectors.sparkSession
     ship(spark)
     rows = quantised(vectors, scale)
-    shape = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"), F.max(F.expr("aggregate(vector, 0D, (s, x) -> s + cast(x as double) * x)")).alias("largest")).first()
+    length = F.expr("aggregate(vector, 0D, (s, x) -> s + cast(x as double) * x)")
+    shape = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % stride == 0).alias("asked"), F.max(F.size("vector")).alias("dim"), F.max(length).alias("largest"), F.max(F.expr("array_max(transform(vector, x -> abs(x)))")).alias("component")).first()
     out_schema = "query_id long, rank int, vec_id long, score long"
     if not shape["n"]:
         return spark.createDataFrame([], out_schema)
-    dim, largest = int(shape["dim"]), float(shape["largest"])
-    n_pivots = int(np.clip(shape["n"] // 256, 1, MOST_PIVOTS))
-    n_sample = max(n_pivots, min(SAMPLE_ROWS, SAMPLE_CELLS // dim))
-    sample = rows.orderBy(F.xxhash64("vec_id", "vector")).limit(n_sample).collect()  # SAMPLE_CELLS components, or MOST_PIVOTS vectors
+    dim, largest, component = int(shape["dim"]), float(shape["largest"]), int(shape["component"])
+    kind = next(f"<i{b}" for b in (1, 2, 4, 8) if component < 2 ** (8 * b - 1) or b == 8)
+    reach, annulus, block = float(component) ** 2 * dim, ANNULUS, BLOCK
+    n_pivots = int(np.clip(shape["n"] // CELL_ROWS, 1, MOST_PIVOTS))
+    groups = max(1, -(-shape["asked"] // QUERY_GROUP))
+    sample = rows.orderBy(F.xxhash64("vec_id", "vector")).limit(max(n_pivots, k + 1)).collect()  # MOST_PIVOTS vectors, or a few more than k
     sample_ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
     sampled = np.array([list(r["vector"]) + [0] * (dim - len(r["vector"])) for r in sample], dtype=np.int64)
     pivots = sampled[:n_pivots].astype(np.float64)
@@ -130,8 +150,8 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
                 lists = batch.column(1)
                 sizes = np.diff(lists.offsets.to_numpy())
                 x = np.zeros((batch.num_rows, dim), dtype=np.int64)
@@ -139,7 +159,7 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
                 real = x.astype(np.float64)
                 d = distances(real, np.sqrt(np.maximum(0.0, largest - (real * real).sum(axis=1))))
                 pivot = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(pivot.astype(np.int32)), pa.array(d[np.arange(len(x)), pivot])], ["vec_id", "vector", "pivot", "distance"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(pivot.astype(np.int32)), pa.array(d[np.arange(len(x)), pivot])], ["vec_id", "vector", "pivot", "distance"])
 
     index = cut(rows.mapInArrow(assign, "vec_id long, vector binary, pivot int, distance double"), "pivots")
     rings = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high")).collect()  # a row a pivot
@@ -147,21 +167,21 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
     base, total = {}, 0
     for pivot in sorted(pieces):
         base[pivot], total = total, total + pieces[pivot]
-    split = F.expr("case pivot " + " ".join(f"when {p} then {base[p]} + pmod(xxhash64(vec_id, vector), {pieces[p]})" for p in pieces) + " end").cast("int")
-    celled = index.withColumn("cell", split)
+    named = spark.createDataFrame([(p, base[p], pieces[p]) for p in sorted(pieces)], "pivot int, base int, pieces int")
+    celled = index.join(F.broadcast(named), "pivot").select("vec_id", "vector", "distance", (F.col("base") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("pieces"))).cast("int").alias("cell"))
 
     def own_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A score that each query's k-th best can't be below: its k-th best in the piece it lies in, and in the sample."""
-        ids, x = pdf["vec_id"].to_numpy(), unpack(pdf["vector"].tolist(), dim)
-        asked = np.flatnonzero(ids % stride == 0)
-        cell, marks = Cell(ids, x, pdf["distance"].to_numpy(), largest), []
-        for i in asked.tolist():
-            others, mark = scores(seen.value[1], x[i])[seen.value[0] != ids[i]], -(2**62)
-            if len(others) >= k:
-                mark = int(np.partition(others, len(others) - k)[len(others) - k])
-            got = cell.search(int(ids[i]), x[i], float(pdf["distance"].iloc[i]), mark, k)[1]
-            marks.append(int(got[-1]) if len(got) == k else mark)
-        return pd.DataFrame({"query_id": ids[asked], "query": pdf["vector"].to_numpy()[asked], "beat": np.array(marks, dtype=np.int64)})
+        """A score that each query's k-th best can't be below: its k-th best among the pivots, and in the piece it lies in."""
+        ids, x, d = pdf["vec_id"].to_numpy(), unpack(pdf["vector"].tolist(), dim, kind), pdf["distance"].to_numpy()
+        cell = Cell(ids, x, d, largest, reach, annulus)
+        asked, marks = np.flatnonzero(ids % stride == 0), []
+        asked = asked[np.argsort(d[asked], kind="stable")]
+        for start in range(0, len(asked), block):
+            some = asked[start : start + block]
+            others = np.where(seen.value[0][None, :] != ids[some][:, None], scores(x[some], seen.value[1], reach), NOTHING)
+            mark = np.partition(others, others.shape[1] - k, axis=1)[:, others.shape[1] - k] if others.shape[1] >= k else np.full(len(some), NOTHING)
+            marks.append(cell.search(ids[some], x[some], d[some], mark, k).beat)
+        return pd.DataFrame({"query_id": ids[asked], "query": pdf["vector"].to_numpy()[asked], "beat": np.concatenate([np.zeros(0, np.int64), *marks])})
 
     queries = celled.groupBy("cell").applyInPandas(own_cell, "query_id long, query binary, beat long")
     queries = cut(queries.groupBy("query_id").agg(F.min(F.struct("query", "beat")).alias("q")).select("query_id", "q.query", "q.beat"), "queries")
@@ -169,39 +189,40 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs, for each piece, the queries whose bound lets them find something there."""
-        for batch in batches:
-            ids, blobs, beat = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            x = unpack(blobs, dim)
-            real = x.astype(np.float64)
-            d = distances(real, np.zeros(len(x)))[:, ring[:, 0].astype(int)]
-            nearest = np.maximum(0.0, np.maximum(d - ring[:, 2], ring[:, 1] - d))
-            length = (real * real).sum(axis=1)[:, None] + largest
-            open_ = (length - nearest**2) / 2 + SLACK * (length + 1) >= beat[:, None]
-            for j in np.flatnonzero(open_.any(axis=0)).tolist():
-                own = np.flatnonzero(open_[:, j])
-                for start in range(0, len(own), 512):
-                    some = own[start : start + 512]
-                    packed = [ids[some].tobytes(), x[some].tobytes(), d[some, j].tobytes(), beat[some].tobytes()]
-                    pivot = int(ring[j, 0])
-                    n = pieces[pivot]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(base[pivot], base[pivot] + n), pa.int32()), *(pa.array([p] * n, pa.binary()) for p in packed)], ["cell", "ids", "vectors", "distances", "beats"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                batch = whole.slice(first, 2048)
+                ids, x, beat = batch.column(0).to_numpy(), unpack(batch.column(1).to_pylist(), dim, kind), batch.column(2).to_numpy()
+                group = (mix64(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+                real = x.astype(np.float64)
+                d = distances(real, np.zeros(len(x)))[:, ring[:, 0].astype(int)]
+                nearest = np.maximum(0.0, np.maximum(d - ring[:, 2], ring[:, 1] - d))
+                length = (real * real).sum(axis=1)[:, None] + largest
+                open_ = (length - nearest**2) / 2 + SLACK * (length + 1) >= beat[:, None]
+                for j in np.flatnonzero(open_.any(axis=0)).tolist():
+                    own = np.flatnonzero(open_[:, j])
+                    own = own[np.lexsort((d[own, j], group[own]))]
+                    edges = [0, *(np.flatnonzero(np.diff(group[own])) + 1).tolist(), len(own)]
+                    for a, b in zip(edges[:-1], edges[1:]):
+                        for start in range(a, b, block):
+                            some = own[start : min(b, start + block)]
+                            packed = [ids[some].tobytes(), x[some].tobytes(), d[some, j].tobytes(), beat[some].tobytes()]
+                            n, at = pieces[int(ring[j, 0])], base[int(ring[j, 0])]
+                            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + n), pa.int32()), pa.array([int(group[own[a]])] * n, pa.int32()), *(pa.array([p] * n, pa.binary()) for p in packed)], ["cell", "part", "ids", "vectors", "distances", "beats"])
 
     def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        cell = Cell(own["vec_id"].to_numpy(), unpack(own["vector"].tolist(), dim), own["distance"].to_numpy(), largest)
-        out = []
-        for ids, x, d, beat in zip(*(asked[c] for c in ("ids", "vectors", "distances", "beats"))):
-            for query_id, query, distance, mark in zip(np.frombuffer(ids, np.int64).tolist(), unpack([x], dim), np.frombuffer(d).tolist(), np.frombuffer(beat, np.int64).tolist()):
-                found, got = cell.search(query_id, query, distance, mark, k)
-                if len(found):
-                    out.append((np.full(len(found), query_id), found, got))
-        if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        out = [(np.zeros(0, np.int64),) * 3]
+        if len(own) and len(asked):
+            cell = Cell(own["vec_id"].to_numpy(), unpack(own["vector"].tolist(), dim, kind), own["distance"].to_numpy(), largest, reach, annulus)
+            for ids, x, d, beat in zip(*(asked[c] for c in ("ids", "vectors", "distances", "beats"))):
+                ids = np.frombuffer(ids, np.int64)
+                top = cell.search(ids, unpack([x], dim, kind), np.frombuffer(d), np.frombuffer(beat, np.int64), k)
+                out.append((ids[top.query], top.ids, top.got))
         return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*out))})
 
-    visits = queries.mapInArrow(visit, "cell int, ids binary, vectors binary, distances binary, beats binary")
-    found = celled.groupBy("cell").cogroup(visits.groupBy("cell")).applyInPandas(search, "query_id long, vec_id long, score long")
+    visits = queries.mapInArrow(visit, "cell int, part int, ids binary, vectors binary, distances binary, beats binary")
+    parted = celled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))  # a piece meets each group of queries in a task of its own
+    found = parted.groupBy("cell", "part").cogroup(visits.groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

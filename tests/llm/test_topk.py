@@ -48,3 +48,42 @@ def test_odd(spark):
     assert found(K.top_k(df)) == brute(rows)
     assert K.top_k(df.where("false")).collect() == []
     assert found(K.top_k(df.where("vec_id = 0"))) == []
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_bounds_far_below_the_rows(spark, monkeypatch, spread):
+    """Clustered and unclustered vectors, 40 pivots and pieces of 25 rows, several groups of queries, small annuli and blocks."""
+    for name, value in {"CELL_ROWS": 25, "ANNULUS": 8, "BLOCK": 5, "QUERY_GROUP": 12}.items():
+        monkeypatch.setattr(K, name, value)
+    rng = np.random.default_rng(int(spread * 100))
+    centres = rng.normal(size=(12, 8))
+    vectors = centres[rng.integers(0, 12, 1000)] + spread * rng.normal(size=(1000, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    assert found(K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5)) == brute(rows, 5)
+
+
+def test_annuli_leave_out_what_cannot_win():
+    """Of a cell far away no vector is scored; and a block's queries get what each alone gets."""
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.normal(size=(600, 4)) * 3).astype(np.int64) + np.where(np.arange(600) < 300, 100, -100)[:, None] * np.array([1, 0, 0, 0])
+    largest = float((x * x).sum(axis=1).max())
+    real = np.column_stack([x, np.sqrt(largest - (x * x).sum(axis=1))])
+    pivot = real[0]
+    to_pivot = np.sqrt(((real - pivot) ** 2).sum(axis=1))
+    queries = x[:40]
+    d = np.sqrt(((np.column_stack([queries, np.zeros(40)]) - pivot) ** 2).sum(axis=1))
+    cell = K.Cell(np.arange(600), x, to_pivot, largest, float(np.abs(x).max()) ** 2 * 4, 16)
+    top = cell.search(np.arange(40), queries, d, np.full(40, K.NOTHING), 7)
+    for i in range(40):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(600) if j != i)[:7]
+        own = top.query == i
+        assert list(zip((-top.got[own]).tolist(), top.ids[own].tolist())) == want
+    scored = []
+    plain = K.scores
+    try:
+        K.scores = lambda q, v, r: scored.append(len(v)) or plain(q, v, r)
+        best = np.sort(x[:1] @ x.T, axis=1)[:, -2]
+        cell.search(np.arange(1), queries[:1], d[:1], best, 7)
+    finally:
+        K.scores = plain
+    assert sum(scored) <= 320  # of its own cluster
