@@ -80,3 +80,18 @@ def hex64(values: np.ndarray) -> list[str]:
 def id_key(name: str = "doc_id") -> Column:
     """A sortable, never-null form of an integer id: null ids come first."""
     return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of docs has it (names differ in more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def tokenizer_file(name: str) -> str:
+    """The path of a public tokenizer's file; only the driver asks for it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -8,7 +8,8 @@ then selects its blocks by a seeded shuffle, without hearing of other shards. Si
 what moves.
 
 Defined results: null text has size 0 and is never taken; a source without words has target 0; null
-source is a source of its own, last in order; repeated rows count each by themselves; an empty table
+source is a source of its own, last in order; repeated rows count each by themselves; sources of equal quotients go
+by code point; a text of any length is one row of words, of which any blocks may be taken; an empty table
 gives no row; other columns are never looked at.
 """
 
@@ -19,15 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, n_words
+from loomgraph.llm.common import documents, free_name, n_words
 from loomgraph.session import cut, ship, shuffle_width
 
 #: Most times that the mix may take the same word.
 MOST_ROUNDS = 3
-BLOCK_WORDS = 32
+BLOCK_WORDS = 16
 SEED = 20240611
-#: Documents that a shard holds at most, on average.
-SHARD_ROWS = 50_000
+#: Documents, and words, that a shard holds at most, on average.
+SHARD_ROWS, SHARD_WORDS = 50_000, 1 << 25
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float = MOST_ROUNDS) -> np.ndarray:
@@ -115,8 +116,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     names, sizes = [r["source"] for r in per_source], np.array([r["size"] for r in per_source], dtype=np.int64)
     own_weights = np.array([weights[i % len(weights)] for i in range(len(names))], dtype=float)
     goal = targets(sizes, own_weights, share * float(sizes.sum()), most)
-    shards = max(shuffle_width(spark), -(-sum(r["n"] for r in per_source) // SHARD_ROWS))
-    block = int(np.clip(sizes[sizes > 0].min() // 1000, 1, BLOCK_WORDS)) if (sizes > 0).any() else 1
+    shards = max(shuffle_width(spark), -(-sum(r["n"] for r in per_source) // SHARD_ROWS), -(-int(sizes.sum()) // SHARD_WORDS))
+    block = BLOCK_WORDS
     seats = apportion(goal, int(round(goal.sum() / block)), (most_rounds * -(-sizes // block)).astype(np.int64)) if len(names) else np.zeros(0, np.int64)
     table = spark.createDataFrame([(n, int(z), float(g), int(s)) for n, z, g, s in zip(names, sizes, goal, seats)], "source string, source_size long, target double, seats long")
 
@@ -128,7 +129,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
         group = group.sort_values("shard", ignore_index=True)
         size = group["size"].to_numpy(dtype=np.int64)
         blocks = np.where(size > 0, np.maximum(1, np.round(size / block)), 0).astype(np.int64)
-        quota = apportion(size, int(group["seats"].iloc[0]), most_rounds * blocks)
+        # a source of few words a shard has narrower blocks, and so takes more of them for its seats
+        seats = int(round(int(group["seats"].iloc[0]) * block * int(blocks.sum()) / max(1, int(size.sum()))))
+        quota = apportion(size, seats, most_rounds * blocks)
         return pd.DataFrame({"source": group["source"], "shard": group["shard"], "quota": quota, "blocks": blocks})
 
     # a group is one source's shards: a row each
@@ -162,10 +165,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resample(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The documents' own columns, each row as often as the mix takes it: taken / size copies, rounded up or down by a seeded draw.
 
-    Rows with the same doc_id get the same number of copies, that of their mean.
+    Whole rows stand for the words that the chosen blocks cover, so a source's words come near its quota and don't
+    meet it to the word. Rows with the same doc_id get the same number of copies, that of their mean. Rows without words
+    are never taken, as a mix deals out words.
     """
-    rate = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("mix_size"), F.sum("taken").alias("mix_taken"))
+    own, copies, copy = (free_name(docs, n) for n in ("mix_id", "mix_copies", "mix_copy"))
+    rate = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("all_size"), F.sum("taken").alias("all_taken"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = rate.select(F.col("doc_id").alias("mix_id"), F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size") + draw)).otherwise(0).cast("int").alias("mix_copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id"))).where("mix_copies > 0")
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*[docs[c] for c in docs.columns])
+    often = rate.select(F.col("doc_id").alias(own), F.when(F.col("all_size") > 0, F.floor(F.col("all_taken") / F.col("all_size") + draw)).otherwise(0).cast("int").alias(copies))
+    joined = docs.join(often, F.col("doc_id").eqNullSafe(F.col(own))).where(F.col(copies) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*[f"`{c}`" for c in docs.columns])
