@@ -7,12 +7,13 @@ probabilities are out-of-fold predictions, so a later model learns how far to tr
 Features are the presence of hashed words and word beginnings (4 to 8 bytes) of the lower-cased text,
 of which the ones that tell the categories apart best are kept. Presence, not frequency: a long text
 doesn't thin out what it says once. The models are fitted on a sample of at most `most_labelled`
-labelled rows (a parameter); every text is scored whole.
+labelled rows and have `most_features` weights at most (parameters); every text is scored whole.
 
 Defined results: null and empty texts have no feature and the probabilities that this implies; rows
 without label aren't learned from; a category with one value only, or no labelled row at all, gets
 its share of ones (0 without rows) as probability everywhere; repeated rows are scored each by
-themselves; a label row with a null in any category is left out of training.
+themselves; a label row with a null in any category is left out of training; features that tell equally much go by
+bucket; other columns of documents and labels are never looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from loomgraph.session import cut, ship
 
 BUCKETS_BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
-MOST_LABELLED, MOST_FEATURES, FOLDS = 8_000, 2048, 3
+#: Of 512 to 4096 features, 1024 and fewer find most in held-out thirds of 4,000 labelled rows.
+MOST_LABELLED, MOST_FEATURES, FOLDS = 8_000, 1024, 3
 #: Bytes that aren't part of a word: ASCII other than letters.
 _BREAKS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _ROLLING: list[Rolling] = []
@@ -120,12 +122,16 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits the chain. categories: name -> SQL expression of a 0/1 value over the columns of labels, in chain order."""
+    """Fits the chain. categories: name -> SQL expression of a 0/1 value over the columns of labels, in chain order.
+
+    A fold is told by a hash of the doc_id, so repeated rows are in one fold. What a fold's predictions come from,
+    features included, is chosen and fitted without that fold.
+    """
     spark = docs.sparkSession
     ship(spark)
     names = tuple(categories)
     values = [F.expr(e).cast("double").alias(f"category_{k}") for k, e in enumerate(categories.values())]
-    wanted = labels.select(F.col("doc_id").cast("long").alias("label_id"), *values).dropna().orderBy(F.xxhash64("label_id")).limit(most_labelled)
+    wanted = labels.select(F.col("doc_id").cast("long").alias("label_id"), *values).dropna().orderBy(F.xxhash64("label_id"), *[f"category_{k}" for k in range(len(names))]).limit(most_labelled)
     # at most most_labelled rows of a few numbers
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("label_id"))
 
@@ -138,18 +144,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most_l
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), held), *batch.columns[2:]], ["doc_id", "buckets", *batch.schema.names[2:]])
 
     kept = [f"category_{k}" for k in range(len(names))]
-    described = cut(found.select("doc_id", "text", *kept).mapInArrow(describe, "doc_id long, buckets array<int>, " + ", ".join(f"{k} double" for k in kept)), "labelled")
-    counted = described.select(F.explode("buckets").alias("bucket"), *kept).groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kept])
-    totals = described.agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kept]).first()
-    if not totals["n"]:
+    fold_of = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")
+    described = cut(found.select("doc_id", "text", fold_of, *kept).mapInArrow(describe, "doc_id long, buckets array<int>, fold int, " + ", ".join(f"{k} double" for k in kept)), "labelled")
+    totals = [described.where(F.col("fold") != f).agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kept]).first() for f in (-1, *range(folds))]
+    if not totals[0]["n"]:
         return Chain(np.zeros(0, np.int64), names, [Linear(np.zeros(0), np.zeros(k), -30.0) for k in range(len(names))])
-    n = float(totals["n"])
-    chi = [F.lit(n) * F.pow(F.col(k) * n - F.col("n") * F.lit(float(totals[k])), 2) / (F.col("n") * (F.lit(n) - F.col("n")) * F.lit(float(totals[k]) * (n - totals[k]))) for k in kept if 0 < totals[k] < n]
-    score = F.greatest(*chi, F.lit(0.0)) if chi else F.lit(0.0)
-    ranked = counted.where(f"n >= 2 and n < {n}").withColumn("chi", F.coalesce(score, F.lit(0.0))).where("chi > 0").orderBy(F.desc("chi"), "bucket").limit(most_features).select("bucket")
-    buckets = np.sort(np.array([r[0] for r in ranked.collect()], dtype=np.int64))
-    chain = Chain(buckets, names)
-    shared = spark.sparkContext.broadcast(chain.column)
+    # sums over all rows, and over those outside each fold
+    outside = [F.lit(1), *(F.when(F.col("fold") != f, 1).otherwise(0) for f in range(folds))]
+    sums = [F.sum(w * (F.lit(1) if c == "n" else F.col(c))).alias(f"{c}_{i}") for i, w in enumerate(outside) for c in ("n", *kept)]
+    counted = cut(described.select(F.explode("buckets").alias("bucket"), "fold", *kept).groupBy("bucket").agg(*sums), "features")
+    chosen = [np.sort(np.array([r[0] for r in telling(counted, i, totals[i], kept, most_features).collect()], dtype=np.int64)) for i in range(folds + 1)]
+    union = np.unique(np.concatenate(chosen))
+    column = Chain(union, names).column
+    shared = spark.sparkContext.broadcast(column)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,22 +166,42 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most_l
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(keep[offsets], pa.int32()), pa.array(cols[cols >= 0])), *batch.columns[2:]], batch.schema.names)
 
-    rows_of = described.mapInArrow(narrow, described.schema).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
+    rows_of = described.mapInArrow(narrow, described.schema).toPandas()
+    rows_of = rows_of.iloc[np.lexsort((rows_of["buckets"].map(lambda b: bytes(np.asarray(b))).to_numpy(), rows_of["doc_id"]))].reset_index(drop=True)
     cols = np.concatenate([np.zeros(0, np.int64), *rows_of["buckets"]]).astype(np.int64)
     rows = np.repeat(np.arange(len(rows_of)), rows_of["buckets"].map(len))
-    y = rows_of[kept].to_numpy(dtype=float)
-    fold = np.arange(len(y)) % folds
+    return chained(rows, cols, rows_of[kept].to_numpy(dtype=float), rows_of["fold"].to_numpy(), [np.searchsorted(union, c) for c in chosen], Chain(chosen[0], names))
+
+
+def telling(counted: DataFrame, i: int, total, kept: list[str], most: int) -> DataFrame:
+    """The buckets with the highest chi-square against any category, by the i-th sums."""
+    n, seen = float(total["n"] or 0), F.col(f"n_{i}")
+    chi = [F.lit(n) * F.pow(F.col(f"{k}_{i}") * n - seen * F.lit(float(total[k])), 2) / (seen * (F.lit(n) - seen) * F.lit(float(total[k]) * (n - total[k]))) for k in kept if 0 < (total[k] or 0) < n]
+    score = F.greatest(*chi, F.lit(0.0)) if chi else F.lit(0.0)
+    return counted.where((seen >= 2) & (seen < n)).withColumn("chi", F.coalesce(score, F.lit(0.0))).where("chi > 0").orderBy(F.desc("chi"), "bucket").limit(most).select("bucket")
+
+
+def chained(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: list[np.ndarray], chain: Chain) -> Chain:
+    """Fits the chain's models to rows of features. chosen: the columns of all rows' features, then those chosen outside each fold."""
+    place = [np.full(int(cols.max(initial=-1)) + 1 + max([0, *(int(c.max(initial=-1)) + 1 for c in chosen)]), -1) for _ in chosen]
+    for own, c in zip(place, chosen):
+        own[c] = np.arange(len(c))
+
+    def cells(i: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features by the i-th choice of the marked rows, which are numbered anew."""
+        mine = of[rows] & (place[i][cols] >= 0)
+        return (np.cumsum(of) - 1)[rows[mine]], place[i][cols[mine]]
+
     earlier = np.zeros((len(y), 0))
-    for k in range(len(names)):
-        chain.models.append(fit(rows, cols, y[:, k], earlier, len(buckets)))
-        if k + 1 < len(names):  # later categories learn from predictions for rows that the model hasn't seen
+    for k in range(y.shape[1]):
+        chain.models.append(fit(*cells(0, np.ones(len(y), dtype=bool)), y[:, k], earlier, len(chosen[0])))
+        if k + 1 < y.shape[1]:  # later categories learn from predictions for rows that the model hasn't seen
             out = np.zeros(len(y))
-            for f in range(folds):
+            for f in range(len(chosen) - 1):
                 seen, own = fold != f, fold == f
-                number = np.cumsum(seen) - 1
-                model = fit(number[rows[seen[rows]]], cols[seen[rows]], y[seen, k], earlier[seen], len(buckets))
-                place = np.cumsum(own) - 1
-                out[own] = model.score(place[rows[own[rows]]], cols[own[rows]], int(own.sum()), earlier[own])
+                if own.any():
+                    model = fit(*cells(f + 1, seen), y[seen, k], earlier[seen], len(chosen[f + 1]))
+                    out[own] = model.score(*cells(f + 1, own), int(own.sum()), earlier[own])
             earlier = np.column_stack([earlier, out])
     return chain
 
@@ -194,6 +221,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in columns))
 
 
+#: The table of labels has two values a text, toxic and quality, so the chain has two links, of which one is toxicity.
 #: Poor quality comes first: what makes a text poor also hides or explains some of its toxicity.
 CATEGORIES = {"poor": "1 - quality", "toxic": "toxic"}
 
