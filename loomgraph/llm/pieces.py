@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, steps, texts_of
+from loomgraph.llm.common import documents, steps, texts_of, tokenizer_file
 from loomgraph.session import ship
 
-DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL_FILE = "piece_bpe_32k.model"
 SPACE = "▁"
 BYTE_PIECE, UNKNOWN_PIECE = 6, 2
 
@@ -175,10 +175,13 @@ class Codec:
         return out
 
     def _edges(self, text: str, ids: list[int], normal: bytes) -> np.ndarray:
-        """Ends of the pieces from the pieces' own strings."""
+        """Ends of the pieces from the pieces' own strings, which tile the normalised text."""
         pieces = self.lib.encode(text, out_type=str)
         sizes = [1 if self.kinds[i] == BYTE_PIECE else len(p.encode()) for i, p in zip(ids, pieces)]
-        return np.minimum(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), len(normal))
+        edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        if edges[-1] != len(normal):
+            raise ValueError(f"{len(ids)} pieces of {edges[-1]} bytes don't tile a normalised text of {len(normal)} bytes")
+        return edges
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.lib.decode(ids, num_threads=1) if ids else []
@@ -213,8 +216,15 @@ def _listed(rows: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.asarray(r, dtype=kind) for r in rows])))
 
 
-def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+def __getattr__(name: str) -> str:
+    if name == "DEFAULT_MODEL":
+        return tokenizer_file(MODEL_FILE)
+    raise AttributeError(name)
+
+
+def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, ids, begins, ends (source bytes of each id), the decoded text, and the digests of these, of every row."""
+    model_path = model_path or tokenizer_file(MODEL_FILE)
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(read_model(model_path))  # one model file: its size doesn't follow the data

@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, steps, texts_of
+from loomgraph.llm.common import documents, steps, texts_of, tokenizer_file
 from loomgraph.session import scratch, ship, shuffle_width
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIQQQQQQ")
@@ -288,14 +288,21 @@ def encoder_of(model: bytes) -> Encoder:
 
 # ---------------------------------------------------------------- writing and reading
 
+
+def __getattr__(name: str) -> str:
+    if name == "DEFAULT_TOKENIZER":
+        return tokenizer_file(TOKENIZER_FILE)
+    raise AttributeError(name)
+
+
 BLOCKS = "shard int, block int, before long, n_ids long, payload binary"
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str = DEFAULT_TOKENIZER, end_id: int | None = END_ID) -> str:
+def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int | None = END_ID) -> str:
     """Encodes docs in ascending doc_id order to blocks under `path` (by default a scratch folder of shared storage); returns it."""
     spark = docs.sparkSession
     ship(spark)
-    with open(tokenizer, "rb") as file:
+    with open(tokenizer or tokenizer_file(TOKENIZER_FILE), "rb") as file:
         model = spark.sparkContext.broadcast(file.read())  # one tokenizer file: its size doesn't follow the data
     path = path or scratch(spark, "token-ids")
 

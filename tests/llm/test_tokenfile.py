@@ -61,3 +61,12 @@ def test_words_and_library_agree():
     texts = ["Don't DON'T it's 'stupid' !'s a1b22c --- É Straße ŒUVRE ŉ İstanbul ſ", "tabs\tand\x0bothers   x", "ª ² ③ 日本", "a<|endoftext|>b", "'s't're've'm'll'd", "été été", "a\x1cb\x85c"]
     assert [x.tolist() for x in encoder.encode(texts)] == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in encoder.encode(texts)] == [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_are_read_back(spark, small):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(T.DEFAULT_TOKENIZER)
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 30")
+    got = {r["doc_id"]: r["ids"] for r in T.read_ids(spark, T.write_token_files(docs)).collect()}
+    assert got == {r["doc_id"]: [*lib.encode(r["text"] or "", add_special_tokens=False).ids, T.END_ID] for r in docs.collect()}
