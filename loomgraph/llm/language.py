@@ -6,13 +6,16 @@ and are broadcast; a step of texts is scored in numpy, n-gram by n-gram, with se
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text when
 nothing could be learned; equal log-probabilities go to the language that sorts first; rows with
-null lang aren't learned from; repeated rows count as often as they are there.
+null lang aren't learned from; repeated rows count as often as they are there; texts are counted and
+scored whole, however long; other columns are left alone, but those that `identify` is told to name.
+The matrix has a row for each value of lang in the training rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from loomgraph.session import ship
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+#: Standard errors by which a text may fall short in its fit.
+SIGMAS = 3.0
 #: Odd multipliers of the characters of an n-gram.
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 #: What isn't a letter among ASCII counts as a blank.
@@ -65,19 +70,41 @@ class Model:
     log_p: np.ndarray
     prior: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its posterior probability."""
+    def describe(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The likeliest language of each text, its posterior probability, and how well the text fits it.
+
+        The posterior compares languages with one another: over a whole text it is nearly always 1, in junk
+        too. The fit compares the text with the language: the mean log-probability of its n-grams less the one that is
+        usual in the language, plus SIGMAS standard errors (n-grams overlap, so a third of them count).
+        """
         lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        total = np.tile(self.prior, (len(texts), 1))
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        gained, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for order in ORDERS:
             buckets, offsets = grams(texts, order)
+            n += np.diff(offsets)
             for k in range(len(self.languages)):
-                total[:, k] += segment_sums(self.log_p[k][buckets], offsets)
+                gained[:, k] += segment_sums(self.log_p[k][buckets], offsets)
+        total = gained + self.prior
         best = total.argmax(axis=1)
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), lettered)], np.where(lettered, score, 0.0)
+        usual, spread = self.usual
+        n = np.maximum(n, 1)
+        fit = gained[np.arange(len(texts)), best] / n - usual[best] + SIGMAS * spread[best] / np.sqrt(n / len(ORDERS))
+        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), lettered)], np.where(lettered, score, 0.0), np.where(lettered, fit, -np.inf)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its posterior probability."""
+        return self.describe(texts)[:2]
+
+    @cached_property
+    def usual(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and standard deviation of the log-probability of a language's own n-grams."""
+        log_p = self.log_p.astype(np.float64)
+        p = np.exp(log_p)
+        mean = (p * log_p).sum(axis=1)
+        return mean, np.sqrt((p * (log_p - mean[:, None]) ** 2).sum(axis=1))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -114,8 +141,8 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
     return Model(languages, np.log(grams_of / grams_of.sum(axis=1, keepdims=True)).astype(np.float32), prior)
 
 
-def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The documents' own columns with the predicted language and its score under these names; columns that had them are replaced."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The documents' own columns with the predicted language, its score and, with a third name, its fit; columns that had these names are replaced."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS x 4 bytes
@@ -123,10 +150,14 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            pred, score = shared.value.predict(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType()))
+            pred, *numbers = shared.value.describe(texts_of(batch))
+            found = [pa.array(pred, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)][: len(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *names])
+
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType())
+    for name in names[1:]:
+        schema = schema.add(name, DoubleType())
+    return docs.mapInArrow(run, schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

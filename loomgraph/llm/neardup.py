@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, steps, texts_of
+from loomgraph.llm.common import documents, free_name, steps, texts_of
+from loomgraph.llm.components import components
 from loomgraph.llm.resemblance import alike_components
 from loomgraph.llm.simhash import column_sums
 from loomgraph.session import cut, ship
@@ -252,34 +253,6 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.groupBy("leaf").applyInPandas(join, "u long, v long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(u, root): every node of the edges (u, v) with the least node of its component, by large-star and small-star steps."""
-    both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-    def star(pairs: DataFrame, upward: bool) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        joined = pairs.join(least, "u")
-        if upward:  # larger neighbours move to the least of the neighbourhood
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-
-    spark = edges.sparkSession
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            return spark.createDataFrame([], "u long, root long")
-        large = star(both(now), True)
-        now = cut(star(large, False), "links")
-        new = mark(now)
-        if new == seen:
-            break
-        seen = new
-    return now.select("u", F.col("v").alias("root"))
-
-
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     prints = cut(fingerprint_documents(docs, shingle), "fingerprints")
@@ -298,15 +271,21 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_key(docs: DataFrame) -> Column:
     """A never-null name of a row: rows of one name are equal in all columns, so any of them may stand for the others."""
-    compared = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]  # these have no hash
+    compared = [F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]  # these have no hash
     parts = [F.col("doc_id").cast("string"), F.md5("text"), F.xxhash64(*compared).cast("string")]
     return F.concat_ws("|", *[F.coalesce(part, F.lit("-")) for part in parts])
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents' own columns, of each component of `resemblance` one row: that of the smallest doc_id, null ids last, then of the least hash of the text."""
-    keyed = docs.withColumn("_kept", row_key(docs))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_kept")
-    found = alike_components(keyed, "_kept").groupBy("root").agg(F.min(order).alias("first")).select("first._kept")
+    """The documents' own columns, of each component of `resemblance` one row.
+
+    That of the smallest doc_id stays, null ids last, then of the least key (id, hash of the text, hash of all
+    columns); rows that are equal in all columns are one. Rows without doc_id, and different texts under one doc_id,
+    are each of their own component unless they resemble another text.
+    """
+    key = free_name(docs, "_kept")
+    keyed = docs.withColumn(key, row_key(docs))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key))
+    found = alike_components(keyed, key).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")[key].alias(key))
     # one key for the join and for what follows it: the texts are shuffled once
-    return keyed.join(found, "_kept").dropDuplicates(["_kept"]).select(*docs.columns)
+    return keyed.join(found, key).dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])

@@ -77,6 +77,13 @@ def test_components_of_long_chains(spark):
     assert N.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_go_on_until_nothing_changes(spark):
+    """A shuffled chain of 700 nodes takes many rounds."""
+    order = np.random.default_rng(6).permutation(700).tolist()
+    found = N.components(spark.createDataFrame(list(zip(order[:-1], order[1:])), "u long, v long"))
+    assert {r["u"]: r["root"] for r in found.collect()} == {k: 0 for k in range(1, 700)}
+
+
 def test_shards_of_several_leaves(spark, monkeypatch):
     monkeypatch.setattr(N, "SHARD_POINTS", 32)
     points = clustered(np.random.default_rng(5), 600, 150, 4)

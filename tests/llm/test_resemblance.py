@@ -41,3 +41,40 @@ def test_shingles():
     texts = ["", "One  two", "one two", "a b c d e f", "A b\tc d e F", " \n", "a b c d e"]
     sets = [s.tolist() for s in R.shingle_sets(texts)]
     assert sets[0] == sets[5] == [0] and sets[1] == sets[2] and sets[3] == sets[4] and len(sets[3]) == 2 and set(sets[6]) < set(sets[3])
+
+
+def families(rng, n, variants, words=60, changed=4):
+    """Texts of n families, whose members differ in a few words; and where each one's family is."""
+    out = []
+    for f in range(n):
+        base = [f"w{rng.integers(0, 5000)}" for _ in range(words)]
+        for _ in range(variants):
+            own = list(base)
+            for k in rng.integers(0, words, rng.integers(0, changed)):
+                own[k] = f"x{rng.integers(0, 5000)}"
+            out.append(" ".join(own))
+    return out
+
+
+def test_large_clusters_are_compared_in_blocks(spark):
+    """Clusters of more shingles than a task takes: the same components as by comparing all pairs, of all points of a band."""
+    texts = list(dict.fromkeys(families(np.random.default_rng(2), 4, 40)))
+    sets = R.shingle_sets(texts)
+    found = spark.createDataFrame([(0, i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "cluster long, point long, n long, shingles binary")
+    band = spark.createDataFrame([(i, i % 2) for i in range(len(sets))] + [(i, 7) for i in range(len(sets))], "point long, band long")
+    want = R.groups(sets)
+    for most in (300, 1500, 10**6):
+        got = {r["point"]: r["root"] for r in R.links(band, found, most).collect()}
+        mine, theirs = {}, {}
+        for i in range(len(sets)):
+            mine.setdefault(got.get(i, i), set()).add(i)
+            theirs.setdefault(int(want[i]), set()).add(i)
+        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values())), most
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_SHINGLES", 400)
+    texts = families(np.random.default_rng(5), 3, 60) + ["alone " + str(i) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = roots([shingles(t) for t in texts])
+    assert sorted(r["doc_id"] for r in N.keep_first(docs).collect()) == sorted(set(root))
