@@ -51,6 +51,8 @@ def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pairs = hashes.copy()
     if len(hashes) > 1:
         pairs[:-1] = mix64(hashes[:-1] * _PAIR + hashes[1:])
+        alone = edges[:-1][counts == 1]  # a text of one word: the word after it is another text's
+        pairs[alone] = hashes[alone]
     keep = np.ones(len(hashes), dtype=bool)
     last = edges[1:][counts > 1] - 1  # the last word of a text begins no pair, unless it is alone
     keep[last] = False

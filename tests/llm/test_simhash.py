@@ -1,5 +1,5 @@
 import numpy as np
-from brute import by_id, counted, read, sha
+from brute import WORD, by_id, counted, read, sha
 
 from loomgraph.llm import simhash as S
 
@@ -76,3 +76,46 @@ def test_parts_of_few_and_many_bounds(spark):
     for bounds in ([], [-(2**63), -3, 0, 500, 40_000], list(range(0, 50_000, 10))):
         got = ids.select("sort_id", S._part_of(bounds).alias("part")).collect()
         assert all(r["part"] == bisect.bisect_right(bounds, r["sort_id"]) for r in got)
+
+
+def plain_print(text):
+    """The fingerprint bit by bit: word pairs, each hashed from its words' hashes, vote as often as they occur."""
+    words = WORD.findall(text)
+    roll = S.rolling()
+
+    def hashed(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return roll.ranges(roll.prefix(data), np.array([0]), np.array([len(data)]))
+
+    one = [hashed(w) for w in words]
+    terms = [int(S.mix64(a * S._PAIR + b)[0]) for a, b in zip(one, one[1:])] if len(one) > 1 else [int(x[0]) for x in one]
+    out = []
+    for bit in range(S.BITS):
+        lane = int(S._LANES[bit // 64])
+        mixed = [int(S.mix64(np.array([t ^ lane], dtype=np.uint64))[0]).to_bytes(8, "little") for t in terms]
+        votes = sum(1 if m[bit % 64 // 8] >> (7 - bit % 8) & 1 else -1 for m in mixed)
+        out.append(votes > 0)
+    return np.packbits(out)
+
+
+def test_query_against_plain_fingerprints(spark, tmp_path):
+    """fingerprint, likenesses and n_near of the query, from one bit a time and all pairs."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 4)))
+    base = [" ".join(word() for _ in range(30)) for _ in range(8)]
+    rows = [(i * 25, base[i % 8] + (" tail" if i % 5 == 0 else "")) for i in range(40)] + [(1001, None), (1002, "one"), (1100, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in S.op2_fingerprints(spark, str(tmp_path)).collect()}
+    rows.sort()
+    texts = [t or "" for _, t in rows]
+    prints = [plain_print(t) for t in texts]
+    near = np.bitwise_count(np.array(prints)[:, None, :] ^ np.array(prints)[None, :, :]).sum(axis=2)
+    for i, (doc_id, _) in enumerate(rows):
+        after = (i + 1) % len(rows)
+        half = len(texts[i]) // 2
+        edited = plain_print(texts[i][: len(texts[i]) - half] + texts[after][:half])
+        alike = lambda a, b: max(0.0, np.cos(np.pi * np.bitwise_count(a ^ b).sum() / S.BITS))
+        r = got[doc_id]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (prints[i].tobytes().hex(), edited.tobytes().hex()), doc_id
+        assert abs(r["near_edited"] - alike(prints[i], edited)) < 1e-12 and abs(r["near_next"] - alike(prints[i], prints[after])) < 1e-12
+        assert r["n_near"] == (int((near[i] <= S.RADIUS).sum()) - 1 if doc_id % S.STRIDE == 0 else None)
