@@ -6,7 +6,7 @@ before. A hop's result is written to shared storage, so lineage stays one hop lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.session import cut
@@ -124,15 +124,50 @@ def tested(symbols: DataFrame, edges: DataFrame, files: DataFrame, test_glob: st
     return symbols.join(called, "id", "left_semi")
 
 
+def name_tokens(name) -> Column:
+    """The lower-case words of a name: camel case and other marks part them."""
+    return F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")), " ")
+
+
 def search_symbols(symbols: DataFrame, words: str, most: int = 20) -> DataFrame:
     """Symbols by the number of words their names share with the query, then by edit distance and name."""
-    wanted = F.lit(sorted(set(words.lower().replace("_", " ").split())))
-    tokens = F.split(F.lower(F.regexp_replace(F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")), " ")
-    hits = F.size(F.array_intersect(tokens, wanted))
-    scored = symbols.withColumn("hits", hits).where("hits > 0").withColumn("distance", F.levenshtein(F.lower("name"), F.lit(words.lower())))
+    hits = F.size(F.array_intersect(name_tokens("name"), F.lit(_wanted(words))))
+    return _ranked(symbols.withColumn("hits", hits).where("hits > 0"), words, most)
+
+
+def _wanted(words: str) -> list[str]:
+    return sorted(set(words.lower().replace("_", " ").split()))
+
+
+def _ranked(found: DataFrame, words: str, most: int) -> DataFrame:
+    scored = found.withColumn("distance", F.levenshtein(F.lower("name"), F.lit(words.lower())))
     return scored.orderBy(F.desc("hits"), "distance", "name", "id").limit(most)
 
 
+def token_index(symbols: DataFrame) -> DataFrame:
+    """The inverted index (token, id) of symbols' names: written clustered by token, a search reads the query's words only."""
+    return symbols.select("id", F.explode(F.array_distinct(name_tokens("name"))).alias("token")).where("token <> ''").select("token", "id")
+
+
+def search_index(index: DataFrame, symbols: DataFrame, words: str, most: int = 20) -> DataFrame:
+    """As `search_symbols`, through the index: only the symbols that share a word are joined and scored."""
+    hits = index.where(F.col("token").isin(*_wanted(words))).groupBy("id").agg(F.count("*").alias("hits"))
+    return _ranked(symbols.join(hits, "id"), words, most)
+
+
+def branch_points(text) -> Column:
+    """Places where a text's control flow may part, as complexity is counted: branch words, `&&`, `||` and `??`."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\b(if|for|while|case|catch)\b|&&|\|\||\?\?")), F.lit(0)).cast("long")
+
+
+def smells(files: DataFrame, symbols: DataFrame, most_lines: int = 400, most_symbols: int = 30) -> DataFrame:
+    """Files that are long, or that declare much: id, relative_path, and the smells' names."""
+    counts = symbols.groupBy("file_id").agg(F.count("*").alias("n_symbols"))
+    joined = files.select("id", "relative_path", "loc").join(counts, F.col("id") == F.col("file_id"), "left")
+    found = F.array_compact(F.array(F.when(F.col("loc") > most_lines, "long file"), F.when(F.col("n_symbols") > most_symbols, "many symbols")))
+    return joined.withColumn("smells", found).where(F.size("smells") > 0).select("id", "relative_path", "smells")
+
+
 def similar_vectors(vectors: DataFrame, query: list[float], most: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The most similar vectors by cosine: a scan with an ordered limit, exact."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -527,6 +527,28 @@ def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.search_symbols(s.withColumn("id", padded), SEARCHED, 20).select("file_key", F.col("start_line").cast("long").alias("start_line"), "name")
 
 
+@query(f"""select file_key, start_line, name from (select *, len(list_intersect(string_split(lower(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g')), ' '), ['1', 'red'])) as hits,
+ levenshtein(lower(name), '{SEARCHED}') as distance from fx_symbol) x where hits > 0 order by hits desc, distance, name, file_key, start_line limit 20""")
+def symbol_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through an inverted index of the names' words."""
+    s = Corpus(spark, sf_dir).symbols().withColumn("id", F.struct("file_key", "start_line"))
+    return G.search_index(G.token_index(s), s, SEARCHED, 20).select("file_key", F.col("start_line").cast("long").alias("start_line"), "name")
+
+
+@query(r"""select doc_id, cast(len(regexp_extract_all(text, '\b(if|for|while|case|catch)\b|&&|\|\||\?\?')) as bigint) as branches from documents""")
+def branch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Corpus(spark, sf_dir).table("documents").select("doc_id", G.branch_points(F.col("text")).alias("branches"))
+
+
+@query("""select f.id, f.relative_path, trim(case when f.file_key % 500 > 400 then 'long file' else '' end || case when f.file_key % 500 > 400 and count(s.name) > 5 then ',' else '' end
+|| case when count(s.name) > 5 then 'many symbols' else '' end) as smells from fx_file f left join fx_symbol s on s.file_key = f.file_key group by f.id, f.relative_path, f.file_key having f.file_key % 500 > 400 or count(s.name) > 5""")
+def smells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of over 400 lines (here: their number modulo 500) or over five symbols."""
+    c = Corpus(spark, sf_dir)
+    found = G.smells(c.files().withColumn("loc", F.col("file_key") % 500), _symbols(c), 400, 5)
+    return found.select("id", "relative_path", F.array_join("smells", ",").alias("smells"))
+
+
 @query("""select vec_id from embeddings order by list_cosine_similarity([cast(x as double) for x in embedding], [cast(i % 7 - 3 as double) for i in range(1, 65)]) desc, vec_id limit 10""")
 def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.similar_vectors(Corpus(spark, sf_dir).table("embeddings"), [float(i % 7 - 3) for i in range(1, 65)], 10).select("vec_id")
