@@ -141,3 +141,19 @@ def test_traversals(spark):
 @pytest.mark.parametrize("glob, path, expected", [("src/**/*.ts", "src/a/b.ts", True), ("src/**/*.ts", "src/b.ts", True), ("*.ts", "src/b.ts", False), ("**/*.test.*", "x/a.test.ts", True), ("a?.ts", "ab.ts", True)])
 def test_globs(spark, glob, path, expected):
     assert one(spark, F.lit(path).rlike(G.glob_pattern(glob))) is expected
+
+
+def test_tree_expansion(spark):
+    files, symbols = tables(spark)
+    tree = T.nodes(files.where("id <> '4'").withColumn("n", F.col("id").cast("long")), order="n")
+    opened = lambda node, kind: [(r["kind"], r["label"]) for r in T.expand(tree, files, symbols, node, kind).orderBy("ord").collect()]
+    assert opened("", "dir") == [("dir", "src"), ("file", "r.md")]
+    assert opened("src", "dir") == [("file", "z.ts"), ("file", "a.ts")]
+    assert opened("src/z.ts", "file") == [("symbol", "B (class)"), ("symbol", "b (function)")]
+    assert opened("r.md", "file") == [] and opened("b", "symbol") == []
+
+
+def test_blast_radius_tells_core_hits(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    seeds, core = spark.createDataFrame([(3,)], "node long"), spark.createDataFrame([(1,), (9,)], "node long")
+    assert {(r["node"], r["hops"], r["is_core"]) for r in G.blast_radius(edges, seeds, 5, core).collect()} == {(3, 0, False), (2, 1, False), (1, 2, True)}

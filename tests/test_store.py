@@ -1,5 +1,7 @@
 """The store, the indexer and the streams, end to end on files in a temporary folder."""
 
+import logging
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,13 @@ def test_the_last_content_of_a_path_counts(spark, tmp_path):
     indexer = Indexer(spark, str(tmp_path / "db"))
     indexer.index_sources(spark.createDataFrame(rows, "path string, root string, content binary, seq long"))
     assert [r["name"] for r in indexer.get_symbols("a.ts").collect()] == ["New"]
+
+
+def test_a_run_is_timed_and_logged(spark, tmp_path, workspace, caplog):
+    indexer = Indexer(spark, str(tmp_path / "db"))
+    with caplog.at_level(logging.DEBUG, "loomgraph"):
+        result = indexer.index_file(str(workspace / "src/hello.ts"), str(workspace))
+        bad = spark.createDataFrame([("/w/b.md", "/w", None)], "path string, root string, content binary")
+        told = indexer.index_sources(bad)
+    assert result.elapsed_ms > 0 and told.elapsed_ms > 0 and told.failed == 1
+    assert "indexed src/hello.ts: 2 symbols" in caplog.text and "failed to index /w/b.md: no content" in caplog.text
