@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -70,3 +71,31 @@ def test_ids_are_read_back(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 30")
     got = {r["doc_id"]: r["ids"] for r in T.read_ids(spark, T.write_token_files(docs)).collect()}
     assert got == {r["doc_id"]: [*lib.encode(r["text"] or "", add_special_tokens=False).ids, T.END_ID] for r in docs.collect()}
+
+
+def test_random_texts_as_the_library_has_them(monkeypatch):
+    with open(T.DEFAULT_TOKENIZER, "rb") as file:
+        encoder = T.Encoder(file.read())
+    rng = random.Random(5)
+    alphabet = "ab'sSTtrevmld09 .!\n\t'\"-_Éßàſŉİ×÷日 "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(600)] + ["", "'", "''s", "!'s", "a'sb", "'ll'll", "'re've", "9's9", "abba" * 400]
+    want = [encoder.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (1 << 20, 3000, 50):  # with room, and forgetting all words again and again
+        monkeypatch.setattr(T, "MOST_WORDS", most)
+        for k in range(0, len(texts), 150):
+            assert [x.tolist() for x in encoder.encode(texts[k : k + 150])] == want[k : k + 150]
+    assert encoder.encode([]) == []
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 4), max_size=400), st.integers(2, 6))
+def test_no_pair_is_left_that_is_frequent(ids, least):
+    seq, rules = T.compress(np.array(ids, dtype=np.uint32), 10, least=least)
+    block = T.Block(10, rules, T.expansion_lengths(rules, 10), seq, [], np.zeros(0))
+    assert block.ids().tolist() == ids
+    counts, last = {}, None
+    for i, pair in enumerate(zip(seq.tolist(), seq.tolist()[1:])):  # occurrences that don't overlap
+        if last == (i - 1, pair):
+            continue
+        counts[pair], last = counts.get(pair, 0) + 1, (i, pair)
+    assert all(n < least for n in counts.values())
