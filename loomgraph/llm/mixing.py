@@ -173,5 +173,6 @@ def resample(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     rate = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("all_size"), F.sum("taken").alias("all_taken"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     often = rate.select(F.col("doc_id").alias(own), F.when(F.col("all_size") > 0, F.floor(F.col("all_taken") / F.col("all_size") + draw)).otherwise(0).cast("int").alias(copies))
-    joined = docs.join(often, F.col("doc_id").eqNullSafe(F.col(own))).where(F.col(copies) > 0)
+    # a hash table of copies, so that texts aren't sorted
+    joined = docs.join(often.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own))).where(F.col(copies) > 0)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*[f"`{c}`" for c in docs.columns])

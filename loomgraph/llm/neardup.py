@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import documents, free_name, steps, texts_of
 from loomgraph.llm.components import components
+from loomgraph.llm.hashing import mix64
 from loomgraph.llm.resemblance import alike_components
 from loomgraph.llm.simhash import column_sums
 from loomgraph.session import cut, ship
@@ -38,6 +39,8 @@ RADIUS = 4
 SEED = 42
 #: Points that a shard calls its own, about, and points that the driver samples for each shard.
 SHARD_POINTS, SAMPLE_POINTS, MOST_SHARDS = 4096, 48, 1 << 16
+#: Guests that a task joins with a shard's own points, about: a shard with more is joined by several tasks.
+MOST_GUESTS = 1 << 22
 #: Pairs that are compared at once.
 CHUNK = 1 << 20
 
@@ -155,10 +158,11 @@ class Groups:
 class Join:
     """Unites all points of a shard within the radius: its own with each other, and with its guests."""
 
-    def __init__(self, points: np.ndarray, n_own: int, radius: int) -> None:
+    def __init__(self, points: np.ndarray, n_own: int, radius: int, within: bool = True) -> None:
         self.points, self.radius, self.groups, self.rng = points, radius, Groups(len(points)), np.random.default_rng(2)
         own, guests = np.arange(n_own), np.arange(n_own, len(points))
-        self.within(own)
+        if within:
+            self.within(own)
         if len(own) and len(guests):
             self.across(own, guests)
 
@@ -208,12 +212,12 @@ class Join:
         self.across(a[~inside], b[db > mu - self.radius])
 
 
-def shard_links(own: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(point, root) for every point of a shard that has company."""
+def shard_links(own: np.ndarray, guests: np.ndarray, radius: int, within: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(point, root) for every point of a shard that has company; without `within`, own points meet guests only."""
     points = np.concatenate([own, guests])
     if not len(own) or len(points) < 2:
         return points[:0], points[:0]
-    groups = Join(points, len(own), radius).groups
+    groups = Join(points, len(own), radius, within).groups
     root = groups.find(np.arange(len(points)))
     linked = root != np.arange(len(points))
     return points[linked], points[root[linked]]
@@ -231,26 +235,35 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     wanted = min(n, (1 << depth) * SAMPLE_POINTS)
     # the sample only shapes the tree: at most MOST_SHARDS * SAMPLE_POINTS longs
     sample = points.select("fp").orderBy(F.xxhash64("fp")).limit(wanted) if wanted else points.select("fp").limit(0)
-    tree = spark.sparkContext.broadcast(Tree(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64), depth, radius))
+    sampled = np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64)
+    built = Tree(sampled, depth, radius)
+    guests_of_a_shard = len(built.route(sampled[:4096])[1]) / max(1, min(4096, len(sampled))) * n / (1 << depth)
+    parts = max(1, int(np.ceil(guests_of_a_shard / MOST_GUESTS)))
+    tree = spark.sparkContext.broadcast(built)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy().view(np.uint64)
             home, which, leaf = tree.value.route(own)
-            leaves = np.unique(np.concatenate([home, leaf]))
-            a, b = np.argsort(home, kind="stable"), np.argsort(leaf, kind="stable")
-            at = [np.searchsorted(home[a], leaves), np.searchsorted(home[a], leaves, side="right"), np.searchsorted(leaf[b], leaves), np.searchsorted(leaf[b], leaves, side="right")]
-            homes = [own[a[i:j]].tobytes() for i, j in zip(at[0], at[1])]
-            guests = [own[which[b[i:j]]].tobytes() for i, j in zip(at[2], at[3])]
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(homes, pa.binary()), pa.array(guests, pa.binary())], ["leaf", "own", "guests"])
+            # a shard's own points go to all of its tasks, a guest to one
+            part = (mix64(own[which]) % np.uint64(parts)).astype(np.int64)
+            to = np.concatenate([*(home * parts + k for k in range(parts)), leaf * parts + part])
+            who = np.concatenate([*[np.arange(len(own))] * parts, which])
+            guest = np.arange(len(to)) >= len(own) * parts
+            order = np.lexsort((guest, to))
+            to, who, guest = to[order], own[who[order]], guest[order]
+            edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, dtype=int)
+            middle = np.concatenate([[0], np.cumsum(~guest)])
+            cuts = [(a, a + middle[b] - middle[a], b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(to[edges[:-1]], pa.int64()), pa.array([who[a:m].tobytes() for a, m, _ in cuts], pa.binary()), pa.array([who[m:b].tobytes() for _, m, b in cuts], pa.binary())], ["task", "own", "guests"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         own, guests = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint64) for c in ("own", "guests"))
-        u, v = shard_links(own, guests, radius)
+        u, v = shard_links(own, guests, radius, int(pdf["task"].iloc[0]) % parts == 0)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    shards = points.select("fp").mapInArrow(route, "leaf long, own binary, guests binary")
-    return shards.groupBy("leaf").applyInPandas(join, "u long, v long")
+    shards = points.select("fp").mapInArrow(route, "task long, own binary, guests binary")
+    return shards.groupBy("task").applyInPandas(join, "u long, v long")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -286,6 +299,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     key = free_name(docs, "_kept")
     keyed = docs.withColumn(key, row_key(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key))
-    found = alike_components(keyed, key).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")[key].alias(key))
-    # one key for the join and for what follows it: the texts are shuffled once
-    return keyed.join(found, key).dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])
+    alike = alike_components(keyed, key)
+    found = cut(alike.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")[key].alias(key)), "kept")
+    repeated = alike.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key).join(found, key, "left_semi")
+    own = [f"`{c}`" for c in docs.columns]
+    # a hash table of keys, so that texts aren't sorted; of the kept rows only those that repeat are
+    if repeated.isEmpty():
+        return keyed.join(found.hint("shuffle_hash"), key).select(*own)
+    repeated = cut(repeated, "repeated")
+    single = found.join(repeated, key, "left_anti")
+    return keyed.join(single.hint("shuffle_hash"), key).unionByName(keyed.join(repeated.hint("shuffle_hash"), key).dropDuplicates([key])).select(*own)

@@ -84,8 +84,10 @@ def test_components_go_on_until_nothing_changes(spark):
     assert {r["u"]: r["root"] for r in found.collect()} == {k: 0 for k in range(1, 700)}
 
 
-def test_shards_of_several_leaves(spark, monkeypatch):
+@pytest.mark.parametrize("most_guests", [1 << 22, 40])
+def test_shards_of_several_leaves(spark, monkeypatch, most_guests):
     monkeypatch.setattr(N, "SHARD_POINTS", 32)
+    monkeypatch.setattr(N, "MOST_GUESTS", most_guests)
     points = clustered(np.random.default_rng(5), 600, 150, 4)
     df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
     roots = {r["u"]: r["root"] for r in N.components(N.links(df)).collect()}
