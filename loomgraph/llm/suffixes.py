@@ -47,7 +47,7 @@ from loomgraph.session import cut, ship, shuffle_width
 SIZE, GRAM = 100, 32
 #: Low bits of a gram's hash that give way to its position; pieces of text are shorter than this.
 POSITION_BITS = 28
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 #: Bytes of text to a run, about; runs of one packed row.
 RUN_BYTES, PACK_RUNS = 35, 4096
 REMOVED, OPEN, CUT = 0, 1, 2
