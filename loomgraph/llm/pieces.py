@@ -206,7 +206,7 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-ENCODED = "ids array<int>, begins array<long>, ends array<long>, decoded string"
+ENCODED = ("ids array<int>", "begins array<int>", "ends array<int>", "decoded string")
 DIGESTS = ("n_tokens long", "ids_sha256 string", "decoded_sha256 string", "n_bytes long", "spans_crc32 long")
 
 
@@ -222,12 +222,16 @@ def __getattr__(name: str) -> str:
     raise AttributeError(name)
 
 
-def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, ids, begins, ends (source bytes of each id), the decoded text, and the digests of these, of every row."""
+def encode_documents(docs: DataFrame, model_path: str | None = None, kept: tuple[str, ...] = ENCODED + DIGESTS) -> DataFrame:
+    """doc_id, ids, begins, ends (source bytes of each id), the decoded text, and the digests of these, of every row.
+
+    kept: which of the columns leave the worker; a digest is always that of the list that is there.
+    """
     model_path = model_path or tokenizer_file(MODEL_FILE)
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(read_model(model_path))  # one model file: its size doesn't follow the data
+    names = ["doc_id", *(c.split()[0] for c in kept)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
@@ -236,21 +240,21 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
             found = codec.encode(texts)
             decoded = codec.decode([e.ids for e in found])
             columns = {
-                "doc_id": batch.column(0).cast(pa.int64()),
-                "ids": _listed([e.ids for e in found], np.int32),
-                "begins": _listed([e.begins for e in found], np.int64),
-                "ends": _listed([e.ends for e in found], np.int64),
-                "decoded": pa.array(decoded, pa.string()),
-                "n_tokens": pa.array([len(e.ids) for e in found], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(codec.id_string(e.ids).encode()).hexdigest() for e in found]),
-                "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-                "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),
-                "spans_crc32": pa.array([zlib.crc32(np.concatenate([e.begins, e.ends]).astype("<i8").tobytes()) for e in found], pa.int64()),
+                "doc_id": lambda: batch.column(0).cast(pa.int64()),
+                "ids": lambda: _listed([e.ids for e in found], np.int32),
+                "begins": lambda: _listed([e.begins for e in found], np.int32),
+                "ends": lambda: _listed([e.ends for e in found], np.int32),
+                "decoded": lambda: pa.array(decoded, pa.string()),
+                "n_tokens": lambda: pa.array([len(e.ids) for e in found], pa.int64()),
+                "ids_sha256": lambda: pa.array([hashlib.sha256(codec.id_string(e.ids).encode()).hexdigest() for e in found]),
+                "decoded_sha256": lambda: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+                "n_bytes": lambda: pa.array([len(t.encode()) for t in texts], pa.int64()),
+                "spans_crc32": lambda: pa.array([zlib.crc32(np.concatenate([e.begins, e.ends]).astype("<i8").tobytes()) for e in found], pa.int64()),
             }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            yield pa.RecordBatch.from_arrays([columns[n]() for n in names], names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(["doc_id long", ENCODED, *DIGESTS]))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *kept]))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir)).select("doc_id", *[d.split()[0] for d in DIGESTS])
+    return encode_documents(documents(spark, sf_dir), kept=DIGESTS)

@@ -1,6 +1,8 @@
 import hashlib
 import struct
+import zlib
 
+import numpy as np
 import pytest
 from brute import counted, read, sha
 
@@ -70,7 +72,7 @@ def compiled(mapping):
                 place([k for k in keys if len(k) > depth and k[depth] == e], depth + 1, child, e)
 
     place(list(mapping), 0, 0, 0)
-    array = [units.get(i, 0) for i in range(max(units) + 1)]
+    array = [units.get(i, 0) for i in range(-(-(max(units) + 1) // 256) * 256)]  # the library reads whole KB
     return struct.pack("<I", 4 * len(array)) + struct.pack(f"<{len(array)}I", *array) + blob
 
 
@@ -85,3 +87,72 @@ def test_character_map(codec):
     assert normal.decode() == "▁fix▁Xe" and len(align) == len(normal) + 1
     #        ▁        f  i  x  ▁        X  e  end
     assert align.tolist() == [0, 0, 0, 0, 0, 3, 4, 4, 4, 6, 8, len(source)]
+
+
+def with_character_map(model, table):
+    """The model with this character map, with blanks squeezed, as a serialised message of its own."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out, normalizer = b"", b""
+    at = 0
+    while at < len(model):
+        begin = at
+        key, at = P._varint(model, at)
+        if key & 7 == 2:
+            size, at = P._varint(model, at)
+            at += size
+        elif key & 7 == 0:
+            _, at = P._varint(model, at)
+        if key >> 3 != 3:
+            out += model[begin:at]
+    for number, value in ((2, table), (3, 1), (4, 1), (5, 1)):
+        normalizer += varint(number << 3 | (2 if isinstance(value, bytes) else 0)) + (varint(len(value)) + value if isinstance(value, bytes) else varint(value))
+    return out + varint(3 << 3 | 2) + varint(len(normalizer)) + normalizer
+
+
+def test_a_model_with_a_character_map(spark, tmp_path):
+    """End to end with a compiled character map: ids are the library's for that model, and every id has the source bytes that it came from."""
+    mapping = {"ﬁ".encode(): "fi", b"A": "a", b"AB": "x", "Ａ".encode(): "a", "é".encode(): "e", b"\t": " ", b"\n": " ", "½".encode(): "1/2"}
+    model = with_character_map(P.read_model(P.DEFAULT_MODEL), compiled(mapping))
+    codec = P.Codec(model)
+    assert codec.map.units and codec.squeeze
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model)
+    texts = ["ﬁnd  the A and AB\tcafé", " ½ of it ", "", "plain words", "Ａ\nB AA ABAB", "日本 é", "   "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.encode_documents(docs, str(path)).collect()}
+    spelled = lambda piece: piece.replace("▁", " ")
+    for i, text in enumerate(texts):
+        r = got[i]
+        assert r["ids"] == codec.lib.encode(text) and r["decoded"] == codec.lib.decode(r["ids"])
+        source = text.encode()
+        # spans follow one another, and what lies in each normalises to the piece
+        assert all(a <= b for a, b in zip(r["begins"], r["ends"])) and r["begins"] == sorted(r["begins"])
+        for k, a, b in zip(r["ids"], r["begins"], r["ends"]):
+            piece = spelled(codec.lib.id_to_piece(k)).strip()
+            if codec.kinds[k] != P.BYTE_PIECE and piece:
+                own = source[a:b].decode(errors="ignore")
+                for key, value in sorted(mapping.items(), key=lambda m: -len(m[0])):
+                    own = own.replace(key.decode(), value)
+                assert piece in own or own.strip() in piece, (text, piece, own)
+        assert r["n_tokens"] == len(r["ids"]) and r["n_bytes"] == len(source)
+
+
+def test_spans_of_the_query(spark, codec, small):
+    """spans_crc32 of op5 against the library's own offsets, which count characters."""
+    got = {r["doc_id"]: r["spans_crc32"] for r in P.op5_sentencepiece(spark, small).collect()}
+    for r in read(spark, small)[:60]:
+        text = r["text"] or ""
+        ids = codec.lib.encode(text)
+        if any(codec.kinds[k] == P.BYTE_PIECE for k in ids):
+            continue  # the library gives the bytes of one character one span
+        at = [0]
+        for c in text:
+            at.append(at[-1] + len(c.encode()))
+        offsets = codec.lib.encode_as_offset_mapping(text)["offsets"] if text else []
+        spans = [at[a] for a, _ in offsets] + [at[b] for _, b in offsets]
+        assert got[r["doc_id"]] == zlib.crc32(np.array(spans, dtype="<i8").tobytes())
