@@ -15,6 +15,8 @@ the next document of the last one is the first; other columns are never looked a
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +99,8 @@ def _edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Characters of a text that bounds between rows of one id look at.
+LEAD = 32
 PARTS = "doc_id long, text string, part int, guest boolean, sort_id long"
 RADIUS, STRIDE = 3, 100
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -106,41 +110,66 @@ def with_parts(docs: DataFrame, per_task: int = 8) -> DataFrame:
     """Rows of (doc_id, text) dealt to ranges of doc_id (`part`), with the first row of the next range as guest of each.
 
     The driver holds one boundary and one smallest id a range; ranges are per_task times the shuffle's partitions.
+    An id that more rows share than two ranges hold, as null ids may, is cut by the beginnings of its texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", id_key().alias("sort_id"))
     wanted = shuffle_width(spark) * per_task
     ids = rows.select("sort_id")
     marks = ids.stat.approxQuantile("sort_id", [k / wanted for k in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
-    bounds = sorted({int(m) for m in marks})
-    part = _part_of(bounds)
-    rows = rows.withColumn("part", part)
+    bounds = sorted({(int(m), "") for m in marks})
+    lead = F.substring(F.coalesce("text", F.lit("")), 1, LEAD).alias("lead")
+    if len(bounds) < len(marks):  # ids that are several quantiles are shared by many rows
+        bounds = sorted({*bounds, *_leads(rows.select("sort_id", lead), [m for m, times in Counter(map(int, marks)).items() if times > 1], marks)})
+    rows = rows.withColumn("lead", lead).withColumn("part", _part_of(bounds)).drop("lead")
     firsts = rows.groupBy("part").agg(F.min("sort_id").alias("first_id")).collect()
     order = sorted((r["part"], r["first_id"]) for r in firsts)
     # a part's guest is the first row of the part after it; the last part's is the first row of all
-    hosts = [(first, order[i - 1][0]) for i, (_, first) in enumerate(order)]
-    guests = spark.createDataFrame(hosts, "sort_id long, host int")
-    lowest = rows.join(F.broadcast(guests), "sort_id").groupBy("sort_id", "host").agg(F.min_by(F.struct("doc_id", "text"), F.coalesce("text", F.lit(""))).alias("row"))
+    hosts = [(first, part, order[i - 1][0]) for i, (part, first) in enumerate(order)]
+    guests = spark.createDataFrame(hosts, "sort_id long, part int, host int")
+    lowest = rows.join(F.broadcast(guests), ["sort_id", "part"]).groupBy("sort_id", "host").agg(F.min_by(F.struct("doc_id", "text"), F.coalesce("text", F.lit(""))).alias("row"))
     visiting = lowest.select("row.doc_id", "row.text", F.col("host").alias("part"), F.lit(True).alias("guest"), "sort_id")
     return rows.select("doc_id", "text", "part", F.lit(False).alias("guest"), "sort_id").unionByName(visiting)
 
 
-def _part_of(bounds: list[int]) -> Column:
-    """The number of bounds at or below sort_id: nested conditions of logarithmic depth, or bisection where they are many."""
+def _leads(rows: DataFrame, shared: list[int], marks: list[float]) -> list[tuple[int, str]]:
+    """For each shared id as many beginnings of its texts as it is quantiles, from about 32 sampled rows each."""
+    times = Counter(map(int, marks))
+    own = rows.where(F.col("sort_id").isin(shared))
+    counts = {r["sort_id"]: r["n"] for r in own.groupBy("sort_id").agg(F.count("*").alias("n")).collect()}  # a row a shared id
+    share = min(1.0, 32 * max(times[i] / n for i, n in counts.items()))
+    sample: dict[int, list[str]] = {}
+    for r in own.where(F.rand(5) < share).select("sort_id", "lead").collect():
+        sample.setdefault(r["sort_id"], []).append(r["lead"])
+    out = []
+    for number, leads in sample.items():
+        leads.sort(key=str.encode)  # as Spark compares strings
+        out += [(number, leads[len(leads) * k // times[number]]) for k in range(1, times[number])]
+    return out
+
+
+def _part_of(bounds: list[tuple[int, str]]) -> Column:
+    """The number of bounds at or below (sort_id, lead): nested conditions of logarithmic depth, or bisection where they are many."""
     if len(bounds) > 4096:
-        marks = np.array(bounds, dtype=np.int64)
+        marks, leads = [b[0] for b in bounds], [(i, t.encode()) for i, t in bounds]
+        plain = not any(t for _, t in bounds)
 
         @F.pandas_udf("int")
-        def bisected(ids: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(marks, ids.to_numpy(), side="right").astype(np.int32))
+        def bisected(ids: pd.Series, lead: pd.Series) -> pd.Series:
+            if plain:
+                return pd.Series(np.searchsorted(np.array(marks, dtype=np.int64), ids.to_numpy(), side="right").astype(np.int32))
+            return pd.Series([bisect_right(leads, (i, t.encode())) for i, t in zip(ids.tolist(), lead)], dtype="int32")
 
-        return bisected("sort_id")
+        return bisected("sort_id", "lead")
 
     def build(a: int, b: int) -> str:
         if a == b:
             return str(a)
         m = (a + b) // 2
-        return f"if(sort_id >= cast('{bounds[m]}' as bigint), {build(m + 1, b)}, {build(a, m)})"
+        number, lead = bounds[m]
+        at = f"cast('{number}' as bigint)"
+        above = f"sort_id >= {at}" if not lead else f"sort_id > {at} or sort_id = {at} and lead >= cast(X'{lead.encode().hex()}' as string)"
+        return f"if({above}, {build(m + 1, b)}, {build(a, m)})"
 
     return F.expr(build(0, len(bounds))).cast("int")
 

@@ -72,10 +72,30 @@ def test_near_search_is_exact(spark):
 def test_parts_of_few_and_many_bounds(spark):
     import bisect
 
-    ids = spark.range(-50, 60_000, 997).withColumnRenamed("id", "sort_id")
-    for bounds in ([], [-(2**63), -3, 0, 500, 40_000], list(range(0, 50_000, 10))):
-        got = ids.select("sort_id", S._part_of(bounds).alias("part")).collect()
-        assert all(r["part"] == bisect.bisect_right(bounds, r["sort_id"]) for r in got)
+    ids = spark.range(-50, 60_000, 997).selectExpr("id as sort_id", "substring('abcdéz', cast(pmod(id, 6) as int) + 1, 1) as lead")
+    few = [(i, "") for i in (-(2**63), -3, 0, 500, 40_000)]
+    for bounds in ([], few, [(i, "") for i in range(0, 50_000, 10)], sorted([*few, (947, "b"), (947, "é"), (1944, "'")]), sorted([*((i, "") for i in range(0, 50_000, 10)), (947, "c"), (947, "é")])):
+        got = ids.select("sort_id", "lead", S._part_of(bounds).alias("part")).collect()
+        marks = [(i, t.encode()) for i, t in bounds]
+        assert all(r["part"] == bisect.bisect_right(marks, (r["sort_id"], r["lead"].encode())) for r in got)
+
+
+def test_an_id_that_many_rows_share_is_cut(spark, tmp_path):
+    """Two thirds of the rows have no id: they are several parts, and each one's next document is still the next by text."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 4)))
+    rows = [(None if i % 3 else i, " ".join(word() for _ in range(rng.integers(1, 12)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    parts = S.with_parts(docs).where("not guest and doc_id is null").groupBy("part").count().collect()
+    assert len(parts) > 8 and max(r["count"] for r in parts) < 150
+    own = by_id(read(spark, str(tmp_path)))
+    want = []
+    for i, r in enumerate(own):
+        text, after = r["text"], own[(i + 1) % len(own)]["text"]
+        want.append({"doc_id": r["doc_id"], "edited_sha256": sha(text[: len(text) - len(text) // 2] + after[: len(text) // 2])})
+    got = [r.asDict() for r in S.op2_fingerprints(spark, str(tmp_path)).collect()]
+    assert counted(want, "doc_id", "edited_sha256") == counted(got, "doc_id", "edited_sha256")
 
 
 def plain_print(text):
