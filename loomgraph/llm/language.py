@@ -8,7 +8,7 @@ Defined results: null texts and texts without a letter are `und` with score 0, a
 nothing could be learned; equal log-probabilities go to the language that sorts first; rows with
 null lang aren't learned from; repeated rows count as often as they are there; texts are counted and
 scored whole, however long; other columns are left alone, but those that `identify` is told to name.
-The matrix has a row for each value of lang in the training rows.
+The matrix has a row for each value of lang in the training rows; more than MOST_LANGUAGES are an error.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 #: Standard errors by which a text may fall short in its fit.
 SIGMAS = 3.0
+#: Values of lang whose matrix is broadcast: a column with more doesn't hold languages.
+MOST_LANGUAGES = 1000
 #: Odd multipliers of the characters of an n-gram.
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 #: What isn't a letter among ASCII counts as a blank.
@@ -121,6 +123,8 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
             langs, texts = batch.column(1).to_pylist(), texts_of(batch)
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang]
+                if len(seen) > MOST_LANGUAGES:
+                    raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
                 counts = seen.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
                 counts[BUCKETS] += len(own)
                 for order in ORDERS:
@@ -133,6 +137,8 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
     # languages x (BUCKETS + 1) rows at most come back, however many documents there are
     found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique().tolist())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"lang has {len(languages)} values, more than {MOST_LANGUAGES}")
     counts = np.zeros((len(languages), BUCKETS + 1))
     number = {lang: k for k, lang in enumerate(languages)}
     counts[found["lang"].map(number).to_numpy(dtype=np.int64), found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()

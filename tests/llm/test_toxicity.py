@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomgraph.llm import toxicity as T
 
@@ -56,3 +57,69 @@ def test_features_are_words_and_beginnings():
     rows, buckets = T.features(["Hello hello", "", "HELLO, x", "help"])
     assert set(buckets[rows == 0]) == set(buckets[(rows == 2)]) - set(T.features(["x"])[1]) and not (rows == 1).any()
     assert len(set(buckets[rows == 0])) == 2  # the word, and its first four bytes
+
+
+def plain_chain(texts, y, fold, categories, folds, most):
+    """The same chain by dense matrices and plain loops: presence of words and beginnings, chi-square, logistic models, out-of-fold columns."""
+    present = [sorted(set(T.features([t])[1].tolist())) for t in texts]
+
+    def chosen(rows):
+        scores = {}
+        for k in range(len(categories)):
+            ones = sum(y[r][k] for r in rows)
+            if not 0 < ones < len(rows):
+                continue
+            seen, hits = {}, {}
+            for r in rows:
+                for b in present[r]:
+                    seen[b] = seen.get(b, 0) + 1
+                    hits[b] = hits.get(b, 0) + y[r][k]
+            for b, n in seen.items():
+                if 2 <= n < len(rows):
+                    chi = len(rows) * (hits[b] * len(rows) - n * ones) ** 2 / (n * (len(rows) - n) * ones * (len(rows) - ones))
+                    scores[b] = max(scores.get(b, 0), chi)
+        return sorted(sorted((b for b in scores if scores[b] > 0), key=lambda b: (-scores[b], b))[:most])
+
+    def matrix(rows, buckets, earlier):
+        own = np.array([[b in set(present[r]) for b in buckets] for r in rows], dtype=float).reshape(len(rows), len(buckets))
+        return np.column_stack([own, earlier[rows], np.ones(len(rows))])
+
+    def fitted(x, target):
+        w = np.zeros(x.shape[1])
+        if target.min() == target.max():
+            w[-1] = np.log(max(target.mean(), 1e-9) / max(1 - target.mean(), 1e-9))
+            return w
+        w[-1] = np.log(target.mean() / (1 - target.mean()))
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, 251):
+            g = x.T @ (1 / (1 + np.exp(-x @ w)) - target)
+            g[:-1] += 0.02 * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return w
+
+    everyone = list(range(len(texts)))
+    earlier, applied, models = np.zeros((len(texts), 0)), np.zeros((len(texts), 0)), []
+    for k in range(len(categories)):
+        buckets = chosen(everyone)
+        w = fitted(matrix(everyone, buckets, earlier), y[:, k])
+        column, out = 1 / (1 + np.exp(-matrix(everyone, buckets, applied) @ w)), np.zeros(len(texts))
+        for f in range(folds):
+            seen, own = [r for r in everyone if fold[r] != f], [r for r in everyone if fold[r] == f]
+            if own:
+                fewer = chosen(seen)
+                out[own] = 1 / (1 + np.exp(-matrix(own, fewer, earlier) @ fitted(matrix(seen, fewer, earlier), y[seen, k])))
+        earlier, applied = np.column_stack([earlier, out]), np.column_stack([applied, column])
+    return applied
+
+
+def test_against_a_plain_chain(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(90)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 or length(text) % 5 = 0 as int) as quality", "cast(instr(lower(text), 'on') > 0 and doc_id % 7 < 5 as int) as toxic")
+    rows = docs.join(labels, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))).orderBy("doc_id").collect()
+    y = np.array([[1 - r["quality"], r["toxic"]] for r in rows], dtype=float)
+    assert 0 < y[:, 1].sum() < len(y)
+    want = plain_chain([r["text"] or "" for r in rows], y, [r["fold"] for r in rows], list(T.CATEGORIES), 3, 40)
+    chain = T.train(docs, labels, T.CATEGORIES, most_features=40)
+    got = {r["doc_id"]: (r["p_poor"], r["p_toxic"]) for r in T.classify(docs, chain).collect()}
+    assert np.abs(np.array([got[r["doc_id"]] for r in rows]) - want).max() < 1e-6
