@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut, discard
+from loomgraph.session import cut, discard, shuffle_width
+
+EDGES_PER_FILE = 1 << 18
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, root): every node of the edges (u, v) with the least node of its component.
 
     Large-star and small-star steps go on until nothing changes: a number of rounds that grows with the
-    logarithm of a component's size. A round's table is deleted when the next one is written.
+    logarithm of a component's size. A round's table has a file for each EDGES_PER_FILE edges (steps never add
+    any), and is deleted when the next one is written.
     """
     both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -27,9 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(now)
+    files = max(1, min(shuffle_width(edges.sparkSession), -(-seen[0] // EDGES_PER_FILE)))
     while seen[0]:
         large = star(both(now), True)
-        before, now = now, cut(star(large, False), "links")
+        before, now = now, cut(star(large, False).coalesce(files), "links")
         new = mark(now)
         discard(before)
         if new == seen:

@@ -300,7 +300,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(key, row_key(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key))
     alike = alike_components(keyed, key)
-    found = cut(alike.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")[key].alias(key)), "kept")
+    found = alike.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")[key].alias(key))
     repeated = alike.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key).join(found, key, "left_semi")
     own = [f"`{c}`" for c in docs.columns]
     # a hash table of keys, so that texts aren't sorted; of the kept rows only those that repeat are

@@ -59,6 +59,34 @@ def test_take(sizes, blocks, data):
         assert abs(got.sum() - quota * total / blocks) <= blocks
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=10), st.integers(1, 15), st.integers(0, 40), st.integers(0, 5))
+def test_take_word_by_word(sizes, blocks, quota, seed):
+    """The words of whole rounds and of the seeded blocks, counted one at a time."""
+    total = sum(sizes)
+    blocks = max(1, min(blocks, total))
+    rounds, rest = divmod(quota, blocks)
+    chosen = set(np.random.default_rng(seed).permutation(blocks)[:rest].tolist())
+    edges = [k * total // blocks for k in range(blocks + 1)]
+    want, word = [], 0
+    for size in sizes:
+        inside = 0
+        for w in range(word, word + size):
+            inside += next(k for k in range(blocks) if edges[k] <= w < edges[k + 1]) in chosen
+        want.append(rounds * size + inside)
+        word += size
+    assert M.take(np.array(sizes), blocks, quota, seed).tolist() == want
+
+
+def test_a_tiny_source_leaves_the_others_blocks_alone(spark):
+    rows = [(i, "w " * 40, "big") for i in range(200)] + [(1000 + i, "x", "tiny") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    alone = {r["doc_id"]: r["taken"] for r in M.mix(docs.where("source = 'big'"), (1,)).collect()}
+    got = {r["doc_id"]: r for r in M.mix(docs, (1,)).collect()}
+    assert sum(got[i]["taken"] for i in range(200)) == sum(alone.values()) == 8000
+    assert abs(sum(got[1000 + i]["taken"] for i in range(3)) - got[1000]["target"]) <= 3
+
+
 def check(spark, folder):
     docs, got = read(spark, folder), [r.asDict() for r in M.op1_mixing(spark, folder).collect()]
     size = lambda r: len(WORD.findall(r["text"] or ""))
