@@ -80,7 +80,15 @@ def _parts(path: Column) -> Column:
     """The names along a path: empty ones and `.` go, `..` takes the name before it."""
     names = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
     up = lambda held: F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))
-    return F.aggregate(names, F.array().cast("array<string>"), lambda held, x: F.when(x == "..", up(held)).otherwise(F.concat(held, F.array(x))))
+    resolved = F.aggregate(names, F.array().cast("array<string>"), lambda held, x: F.when(x == "..", up(held)).otherwise(F.concat(held, F.array(x))))
+    return F.when(path.rlike("(^|/)[.][.](/|$)"), resolved).otherwise(names)
+
+
+def _steps(there: Column, here: Column) -> Column:
+    """The steps from the folder with the names `here` to `there`."""
+    same = lambda n, i: F.when((n == i - 1) & (F.get(there, n) == F.get(here, n)), i).otherwise(n)
+    common = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(there), F.size(here)))), F.lit(0), same)
+    return F.concat(F.array_repeat(F.lit(".."), F.size(here) - common), F.slice(there, common + 1, F.size(there)))
 
 
 def _plain(path: Column) -> Column:
@@ -95,10 +103,9 @@ def relative_path(root: Column, path: Column, outside: bool = True) -> Column:
     inside = inside.when(path == base, F.lit(""))
     if not outside:
         return inside
-    there, here = _parts(path), _parts(root)
-    same = lambda n, i: F.when((n == i - 1) & (F.get(there, n) == F.get(here, n)), i).otherwise(n)
-    common = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(there), F.size(here)))), F.lit(0), same)
-    steps = F.concat(F.array_repeat(F.lit(".."), F.size(here) - common), F.slice(there, common + 1, F.size(there)))
+    # an array of one struct, so that both lists of names are made once
+    both = F.array(F.struct(_parts(path).alias("there"), _parts(root).alias("here")))
+    steps = F.get(F.transform(both, lambda x: _steps(x["there"], x["here"])), 0)
     return inside.when(root.isNotNull() & path.isNotNull(), F.array_join(steps, "/"))
 
 
