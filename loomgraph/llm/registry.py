@@ -19,6 +19,9 @@ QUERIES = {
     "op8_suffix_dedup": ("suffixes", "op8_suffix_dedup"),
     "op9_toxicity": ("toxicity", "op9_toxicity"),
     "op10_top_k": ("topk", "op10_top_k"),
+    "op11_ranked_search": ("lexical", "op11_ranked_search"),
+    "op12_filter_audit": ("audit", "op12_filter_audit"),
+    "op13_decontamination": ("decontaminate", "op13_decontamination"),
 }
 
 
@@ -28,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can state: the others are tested against brute force."""
+    from loomgraph.llm.audit import OP12_SQL
+    from loomgraph.llm.decontaminate import OP13_SQL
+    from loomgraph.llm.lexical import OP11_SQL
     from loomgraph.llm.topk import OP10_SQL
 
-    return {"op10_top_k": OP10_SQL}
+    return {"op10_top_k": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_decontamination": OP13_SQL}
