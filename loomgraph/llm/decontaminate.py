@@ -62,7 +62,8 @@ def windows(items: DataFrame, size: int = SIZE) -> tuple[DataFrame, list[int]]:
     """WINDOWS of all items, and the lengths that are there (`size` at most)."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("length", F.least(F.size("words"), F.lit(size)))
     lengths = sorted(r[0] for r in rows.select("length").distinct().collect())  # `size` values at most
-    found = [winnow(hashed(rows.where(F.col("length") == n)), n).select("item_id", "length", "words", F.posexplode("least").alias("at", "hash")).select("hash", "length", text_at("at", "length").alias("window"), "item_id") for n in lengths]
+    # the outer form, as a filter inferred from the inner one would compute nested arrays anew for each of their elements
+    found = [winnow(hashed(rows.where(F.col("length") == n)), n).select("item_id", "length", "words", F.posexplode_outer("least").alias("at", "hash")).select("hash", "length", text_at("at", "length").alias("window"), "item_id") for n in lengths]
     if not found:
         return items.sparkSession.createDataFrame([], WINDOWS), []
     together = found[0]
@@ -135,7 +136,7 @@ dw as (
   select row, n, p, array_to_string(w[p:p + n - 1], ' ') as span from (
     select row, w, n, unnest(range(1, len(w) - n + 2)) as p from d join (select distinct n from iw) on len(w) >= n)),
 m as (select row, p, dw.n, item_id from dw join iw using (n, span)),
-h as (select row, count(distinct at) as n_hit from (select row, unnest(range(p, p + n)) as at from (select distinct row, p, n from m)) group by row),
+h as (select row, count(distinct place) as n_hit from (select row, unnest(range(p, p + n)) as place from (select distinct row, p, n from m)) group by row),
 g as (select row, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from (select distinct row, item_id from m where item_id is not null) group by row)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (row) left join g using (row)
