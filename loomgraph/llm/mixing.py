@@ -8,8 +8,8 @@ then selects its blocks by a seeded shuffle, without hearing of other shards. Si
 what moves.
 
 Defined results: null text has size 0 and is never taken; a source without words has target 0; null
-source is a source of its own, last in order; repeated rows count each by themselves; sources of equal quotients go
-by code point; a text of any length is one row of words, of which any blocks may be taken; an empty table
+source is a source of its own, last in order; repeated rows count each by themselves, whatever ids are null or repeated;
+sources of equal quotients go by code point; a text of any length is one row of words, of which any blocks may be taken; an empty table
 gives no row; other columns are never looked at.
 """
 
@@ -29,6 +29,8 @@ BLOCK_WORDS = 16
 SEED = 20240611
 #: Documents, and words, that a shard holds at most, on average.
 SHARD_ROWS, SHARD_WORDS = 50_000, 1 << 25
+#: Rows of equal id, source and text that travel as one.
+EQUAL_ROWS = 4096
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float = MOST_ROUNDS) -> np.ndarray:
@@ -99,19 +101,33 @@ def take(sizes: np.ndarray, blocks: int, quota: int, seed: int) -> np.ndarray:
     return out
 
 
+def deal(taken: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The words taken of each group of equal rows, dealt out to its rows as evenly as words can be."""
+    each = np.repeat(copies, copies)
+    place = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+    all_taken = np.repeat(taken, copies)
+    return all_taken // each + (place < all_taken % each)
+
+
 CELL = "source string, shard int, quota long, blocks long"
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST_ROUNDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row. `weights` repeat over the sources in code-point order, null last.
+    """doc_id, source, size, source_size, target, taken and order_key (of id and text) of every row. `weights` repeat over the sources in code-point order, null last.
 
     The sources themselves (a name and a size each) are held by the driver: a mixture's recipe.
     """
     spark = docs.sparkSession
     ship(spark)
     most_rounds = int(most)
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("order_key")), "mixing")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    order_key = F.xxhash64("doc_id", "text", F.lit(seed)).alias("order_key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order_key)
+    # rows of one name are counted where they are, and at most EQUAL_ROWS of them go to one shard
+    equal = rows.groupBy("doc_id", "source", "size", "order_key").agg(F.count("*").alias("n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUAL_ROWS))).alias("chunk")
+    place = F.when(F.col("chunk") == 0, F.col("order_key")).otherwise(F.xxhash64("order_key", "chunk")).alias("place")
+    sized = cut(equal.select("*", chunk).select("doc_id", "source", "size", "order_key", place, F.least(F.lit(EQUAL_ROWS).cast("long"), F.col("n") - EQUAL_ROWS * F.col("chunk")).alias("copies")), "mixing")
+    per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.sum("copies").alias("n")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     names, sizes = [r["source"] for r in per_source], np.array([r["size"] for r in per_source], dtype=np.int64)
     own_weights = np.array([weights[i % len(weights)] for i in range(len(names))], dtype=float)
@@ -121,8 +137,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     seats = apportion(goal, int(round(goal.sum() / block)), (most_rounds * -(-sizes // block)).astype(np.int64)) if len(names) else np.zeros(0, np.int64)
     table = spark.createDataFrame([(n, int(z), float(g), int(s)) for n, z, g, s in zip(names, sizes, goal, seats)], "source string, source_size long, target double, seats long")
 
-    sharded = sized.withColumn("shard", F.pmod("order_key", F.lit(shards)).cast("int"))
-    cells = sharded.groupBy("source", "shard").agg(F.sum("size").alias("size"))
+    sharded = sized.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
+    cells = sharded.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("size"))
     known = cells.join(table, cells["source"].eqNullSafe(table["source"])).select(cells["source"], "shard", "size", "seats")
 
     def quotas(group: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +154,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     cell_quotas = known.groupBy("source").applyInPandas(quotas, CELL)
 
     def select(key: tuple, rows: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order_key", "doc_id", "size"], ignore_index=True)
+        rows = rows.sort_values(["place", "doc_id", "size"], ignore_index=True)
+        copies = rows["copies"].to_numpy(dtype=np.int64)
+        words = rows["size"].to_numpy(dtype=np.int64) * copies
         taken = np.zeros(len(rows), dtype=np.int64)
         of = {None if pd.isna(s) else s: (int(q), int(b)) for s, q, b in zip(quota["source"], quota["quota"], quota["blocks"])}
         codes, found = pd.factorize(rows["source"], use_na_sentinel=False)
@@ -149,13 +167,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
             own = order[edges[k] : edges[k + 1]]
             q, b = of.get(source, (0, 0))
             name = 0 if source is None else int.from_bytes(source.encode()[:8], "big") + 1
-            taken[own] = take(rows["size"].to_numpy(dtype=np.int64)[own], b, q, [seed, int(key[0]), name])
-        return pd.DataFrame({"doc_id": rows["doc_id"], "source": rows["source"], "size": rows["size"], "taken": taken})
+            taken[own] = take(words[own], b, q, [seed, int(key[0]), name])
+        each = rows.loc[np.repeat(np.arange(len(rows)), copies), ["doc_id", "source", "size", "order_key"]].reset_index(drop=True)
+        return each.assign(taken=deal(taken, copies))
 
     # pandas would turn a nullable integer into a float
     sharded = sharded.withColumn("doc_id", F.col("doc_id").cast("string"))
-    taken = sharded.groupBy("shard").cogroup(cell_quotas.groupBy("shard")).applyInPandas(select, "doc_id string, source string, size long, taken long")
-    return taken.join(table, taken["source"].eqNullSafe(table["source"])).select(F.col("doc_id").cast("long").alias("doc_id"), taken["source"], "size", "source_size", "target", "taken")
+    taken = sharded.groupBy("shard").cogroup(cell_quotas.groupBy("shard")).applyInPandas(select, "doc_id string, source string, size long, order_key long, taken long")
+    return taken.join(table, taken["source"].eqNullSafe(table["source"])).select(F.col("doc_id").cast("long").alias("doc_id"), taken["source"], "size", "source_size", "target", "taken", "order_key")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,13 +185,17 @@ def resample(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The documents' own columns, each row as often as the mix takes it: taken / size copies, rounded up or down by a seeded draw.
 
     Whole rows stand for the words that the chosen blocks cover, so a source's words come near its quota and don't
-    meet it to the word. Rows with the same doc_id get the same number of copies, that of their mean. Rows without words
-    are never taken, as a mix deals out words.
+    meet it to the word. The draw is a row's own: by id, source and text, whatever ids are null or repeated. Rows that are
+    equal in all three have the same chances, those that the mix takes of them together, and draw each by itself (by
+    their place in the table, so a table that is laid out anew may keep others of them). Rows without words are
+    never taken, as a mix deals out words.
     """
-    own, copies, copy = (free_name(docs, n) for n in ("mix_id", "mix_copies", "mix_copy"))
-    rate = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("all_size"), F.sum("taken").alias("all_taken"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    often = rate.select(F.col("doc_id").alias(own), F.when(F.col("all_size") > 0, F.floor(F.col("all_taken") / F.col("all_size") + draw)).otherwise(0).cast("int").alias(copies))
-    # a hash table of copies, so that texts aren't sorted
-    joined = docs.join(often.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own))).where(F.col(copies) > 0)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*[f"`{c}`" for c in docs.columns])
+    own, rate, alone, place, copies, copy = (free_name(docs, n) for n in ("mix_key", "mix_rate", "mix_alone", "mix_place", "mix_copies", "mix_copy"))
+    name = lambda order_key, source: F.xxhash64(order_key, source)
+    mixed = mix(docs, seed=seed, **options).groupBy(name("order_key", "source").alias(own)).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("n"))
+    rates = cut(mixed.where("taken > 0").select(own, (F.col("taken") / F.col("size")).alias(rate), (F.col("n") == 1).alias(alone)), "mix-rates")
+    keyed = docs.withColumn(own, name(F.xxhash64("doc_id", "text", F.lit(seed)), F.col("source").cast("string"))).withColumn(place, F.rand(seed))
+    fixed = F.pmod(F.xxhash64(F.col(own), F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # a hash table of rates, so that texts aren't sorted
+    joined = keyed.join(rates.hint("shuffle_hash"), own).withColumn(copies, F.floor(F.col(rate) + F.when(F.col(alone), fixed).otherwise(F.col(place))).cast("int"))
+    return joined.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*[f"`{c}`" for c in docs.columns])

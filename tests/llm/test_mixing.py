@@ -121,3 +121,41 @@ def test_hot_source(spark, tmp_path):
     rows = [(i, "w " * (i % 9 + 1), "hot" if i % 3 else f"s{i % 7}") for i in range(3000)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     check(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("seed", [20240611, 7, 8])
+def test_resample_by_rows(spark, seed):
+    """A third of the ids null, some ids repeated with other texts, and a row that is there 600 times: every source's words come near its target."""
+    rows = [(None if i % 3 == 0 else i // 2, f"t{i} " * (i % 17 + 4), f"s{i % 4}", i) for i in range(2400)] + [(9999, "same " * 10, "s1", -1)] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(4)
+    got = [r.asDict() for r in M.resample(docs, seed=seed).collect()]
+    size = lambda text: len(WORD.findall(text))
+    sizes, taken, null_taken, null_size = (collections.Counter() for _ in range(4))
+    for i, text, source, _ in rows:
+        sizes[source] += size(text)
+        null_size[source] += size(text) * (i is None)
+    for r in got:
+        taken[r["source"]] += size(r["text"])
+        null_taken[r["source"]] += size(r["text"]) * (r["doc_id"] is None)
+    order = sorted(sizes)
+    goal = dict(zip(order, plain_targets([sizes[s] for s in order], [1, 2, 3, 1], sum(sizes.values()))))
+    for s in order:
+        assert abs(taken[s] - goal[s]) <= 0.1 * goal[s]
+        assert abs(null_taken[s] - null_size[s] * goal[s] / sizes[s]) <= 0.2 * null_size[s] * goal[s] / sizes[s] + 40
+    share = sum(r["n"] == -1 for r in got) / 600
+    assert abs(share - goal["s1"] / sizes["s1"]) < 0.15
+    assert max(collections.Counter(r["n"] for r in got if r["n"] >= 0).values()) <= 3
+
+
+def test_many_equal_rows_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(M, "EQUAL_ROWS", 7)
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 100 + [(2, "d " * 300, "s"), (3, "e " * 90, None)], "doc_id long, text string, source string")
+    got = M.mix(docs).collect()
+    assert len(got) == 102 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for s in ("s", None):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 40
+
+
+def test_resample_empty(none):
+    assert M.resample(none).collect() == []
