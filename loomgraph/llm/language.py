@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from loomgraph.llm.common import documents, segment_sums, steps, texts_of
+from loomgraph.llm.common import documents, free_name, segment_sums, steps, texts_of
 from loomgraph.session import ship
 
 BUCKETS = 1 << 16
@@ -166,6 +166,20 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred
     return docs.mapInArrow(run, schema)
 
 
+def keep_fitting(docs: DataFrame, least_fit: float) -> DataFrame:
+    """The documents' own columns, without rows whose text has no determinable language: no letter, or a fit below least_fit.
+
+    The classifier learns from the rows' own lang. Where no row has one, nothing can be learned and no text be said to
+    fit or not: then all rows with a letter stay.
+    """
+    model = train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    pred, score, fit = (free_name(docs, n) for n in ("_lang_pred", "_lang_score", "_lang_fit"))
+    found = identify(docs, model, names=(pred, score, fit))
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(fit) >= least_fit)).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = train(docs.where(~held_out()))

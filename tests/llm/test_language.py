@@ -63,3 +63,11 @@ def test_odd(spark, saved, saved_none, none, odd):
     assert L.op3_language(spark, saved_none).collect() == []
     blank = L.train(none)
     assert blank.languages == [] and {r["lang_pred"] for r in L.identify(odd, blank).collect()} == {"und"}
+
+
+def test_nothing_to_learn_from(spark, odd, none):
+    unlabelled = odd.selectExpr(*[f"cast(null as string) as {c}" if c == "lang" else c for c in odd.columns])
+    kept = L.keep_fitting(unlabelled, -3.0)
+    assert kept.columns == odd.columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted(r["text"] for r in odd.collect() if any(map(str.isalpha, r["text"] or "")))
+    assert L.keep_fitting(none, -3.0).collect() == []
