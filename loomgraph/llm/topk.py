@@ -16,13 +16,15 @@ The bound prunes as far as the vectors allow. Unrelated directions in many dimen
 same distance from every pivot, and then nearly every ring is open: work grows with queries x vectors.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components, and rows with
-a null vec_id, take no part; shorter vectors are taken as ending in zeros; rows that repeat a vec_id
+a null vec_id, take no part; nor do vectors whose scaled squared length reaches 2^62, as their scores wouldn't fit in 64
+bits (those of the others do, by Cauchy and Schwarz); an empty table gives no row; shorter vectors are taken as ending in zeros; rows that repeat a vec_id
 are candidates each, but not for that id's query, which is asked once (with the least of its
 vectors); equal scores go to the smaller vec_id; other columns are never looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from loomgraph.llm.hashing import mix64
 from loomgraph.session import cut, ship
 
 K, SCALE = 20, 64
-#: Vectors of a piece of a cell, pivots at most, and the query's stride.
+#: Vectors of a piece of a cell, pivots at most (one for each CELL_ROWS vectors, and half the root of their number at least), and the query's stride.
 CELL_ROWS, MOST_PIVOTS, STRIDE = 4096, 4096, 20
 #: Vectors that one annulus adds, queries of a block, and of a group that meets a piece.
 ANNULUS, BLOCK, QUERY_GROUP = 512, 256, 8192
@@ -116,6 +118,7 @@ def quantised(vectors: DataFrame, scale: int, column: str = "embedding") -> Data
     """(vec_id, vector): floor(scale * x) of every component, rows that take no part left out."""
     usable = F.expr(f"size({column}) > 0 and forall({column}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull()).where(usable)
+    rows = rows.where(F.expr(f"aggregate({column}, 0D, (s, x) -> s + pow(floor({scale} * cast(x as double)), 2)) < {2.0**62!r}"))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform({column}, x -> floor({scale} * cast(x as double)))").alias("vector"))
 
 
@@ -131,8 +134,8 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
         return spark.createDataFrame([], out_schema)
     dim, largest, component = int(shape["dim"]), float(shape["largest"]), int(shape["component"])
     kind = next(f"<i{b}" for b in (1, 2, 4, 8) if component < 2 ** (8 * b - 1) or b == 8)
-    reach, annulus, block = float(component) ** 2 * dim, ANNULUS, BLOCK
-    n_pivots = int(np.clip(shape["n"] // CELL_ROWS, 1, MOST_PIVOTS))
+    reach, annulus, block = min(float(component) ** 2 * dim, largest), ANNULUS, BLOCK
+    n_pivots = int(np.clip(max(shape["n"] // CELL_ROWS, math.isqrt(shape["n"]) // 2), 1, MOST_PIVOTS))
     groups = max(1, -(-shape["asked"] // QUERY_GROUP))
     sample = rows.orderBy(F.xxhash64("vec_id", "vector")).limit(max(n_pivots, k + 1)).collect()  # MOST_PIVOTS vectors, or a few more than k
     sample_ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
@@ -220,8 +223,17 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, stride: int = STRI
                 out.append((ids[top.query], top.ids, top.got))
         return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*out))})
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which groups of queries a piece meets at all."""
+        seen_pairs: set[tuple[int, int]] = set()
+        for batch in visit(batches):
+            seen_pairs.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen_pairs], pa.int32()) for k in range(2)], ["cell", "part"])
+
     visits = queries.mapInArrow(visit, "cell int, part int, ids binary, vectors binary, distances binary, beats binary")
-    parted = celled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))  # a piece meets each group of queries in a task of its own
+    # a piece meets each group of queries in a task of its own, and goes only where a query of the group visits it
+    groups_of = queries.mapInArrow(meet, "cell int, part int").groupBy("cell").agg(F.collect_set("part").alias("parts"))
+    parted = celled.join(groups_of, "cell").withColumn("part", F.explode("parts")).drop("parts")
     found = parted.groupBy("cell", "part").cogroup(visits.groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -87,3 +87,32 @@ def test_annuli_leave_out_what_cannot_win():
     finally:
         K.scores = plain
     assert sum(scored) <= 320  # of its own cluster
+
+
+def test_scores_beyond_64_bits(spark):
+    """Vectors whose scores could wrap take no part; the largest that take part are scored exactly."""
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [1e30, 1.0]), (3, [3e9, 3e9]), (4, [1e7, -1e7]), (20, [2.0**24, 2.0**24 - 1]), (21, [-(2.0**24), 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(K.top_k(df))
+    assert got == brute([r for r in rows if r[0] not in (2, 3)])
+    assert max(abs(r[3]) for r in got) > 2**53
+
+
+def test_a_piece_goes_where_it_is_visited(spark, monkeypatch):
+    """Twelve far clusters, a group of queries for each eight of them: pieces meet few of the groups."""
+    for name, value in {"CELL_ROWS": 50, "ANNULUS": 8, "BLOCK": 5, "QUERY_GROUP": 8}.items():
+        monkeypatch.setattr(K, name, value)
+    rng = np.random.default_rng(3)
+    vectors = np.eye(12)[rng.integers(0, 12, 1200)] * 50 + rng.normal(size=(1200, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3)
+    assert found(df) == brute(rows, 3)
+
+
+def test_a_small_table_has_several_pivots(spark, small, monkeypatch):
+    seen = []
+    plain = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: seen.append(value) or plain(value))
+    K.op10_top_k(spark, small)
+    n = spark.read.parquet(f"{small}/embeddings.parquet").count()
+    assert len(seen[0]) == int(n**0.5) // 2 > 5
