@@ -76,10 +76,10 @@ TABLES: dict[str, T.StructType] = {"file": FILE, "symbol": SYMBOL, "edge": EDGE,
 #: Columns that are unique within a table.
 UNIQUE = {"file": ("id", "path"), "symbol": ("id",), "edge": ("id",), "call_site": ("id",), "import_ref": ("id",), "diagnostic": ("id",)}
 #: What a table's rows are sorted by within files, so that row-group statistics serve as indexes.
-CLUSTERED = {"file": ("relative_path",), "symbol": ("file_id", "name"), "edge": ("source_id", "target_id")}
+CLUSTERED = {"file": ("relative_path",), "symbol": ("file_id", "name"), "edge": ("source_id", "target_id"), "call_site": ("file_id",), "import_ref": ("file_id",), "diagnostic": ("file_id",)}
 
-#: What tells a row's bucket; `id` in the other tables.
-BUCKETED = {"file": "id", "symbol": "file_id", "edge": "source_id"}
+#: What tells a row's bucket.
+BUCKETED = {"file": "id", "symbol": "file_id", "edge": "source_id", "call_site": "file_id", "import_ref": "file_id", "diagnostic": "file_id"}
 
 
 def empty_list() -> Column:

@@ -5,17 +5,19 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import text as X
 from loomgraph.operators import readmodel as R
+from loomgraph.operators.delta import ADDED, CHANGED, REMOVED, below, difference
 from loomgraph.operators.extract import extract_files
 from loomgraph.operators.upsert import Store
-from loomgraph.session import cut, scratch
+from loomgraph.session import cut, discard, scratch
 from loomgraph.sources import workspace as W
 
 LOG = logging.getLogger("loomgraph")
@@ -38,6 +40,7 @@ class WorkspaceResult:
     failed: int
     summary: str
     elapsed_ms: int
+    removed: int = 0
 
 
 class Indexer:
@@ -67,13 +70,13 @@ class Indexer:
 
     # -- writing
 
-    def _index(self, sources: DataFrame) -> DataFrame | None:
-        """The extracted files, committed; None if there are none. Of files that sources name twice the last one by seq counts."""
+    def _index(self, sources: DataFrame, removed: DataFrame | None = None) -> DataFrame | None:
+        """The extracted files, committed together with the removal of other paths; None if there are no files. Of files that sources name twice the last one by seq counts."""
         extracted = cut(extract_files(sources), "extracted")
-        if extracted.isEmpty():
-            return None
-        self.store.replace_files(extracted.where("error is null").drop("error"))
-        return extracted
+        none = extracted.isEmpty()
+        if not none or removed is not None:
+            self.store.replace_files(extracted.where("error is null").drop("error"), removed)
+        return None if none else extracted
 
     def index_file(self, path: str, root: str) -> IndexResult:
         began = time.time()
@@ -91,12 +94,13 @@ class Indexer:
             self.on_indexed()
         return IndexResult(relative, len(symbols), int(1000 * (time.time() - began)), symbols, message)
 
-    def index_sources(self, sources: DataFrame, batches: int = 1, progress: Callable[[int, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> WorkspaceResult:
+    def index_sources(self, sources: DataFrame, batches: int = 1, progress: Callable[[int, int], None] | None = None, cancelled: Callable[[], bool] | None = None, removed: DataFrame | None = None) -> WorkspaceResult:
         """Indexes all sources; a file that fails is counted and leaves the others alone.
 
         Each of `batches` parts (by a hash of the path) is a transaction of its own. Before each, progress
         is told the part and the parts, and cancelled may stop the run: what was committed stays. Sources are read
-        once; with several parts they are staged in shared storage, a folder a part.
+        once; with several parts they are staged in shared storage, a folder a part. Paths of `removed` go with the first
+        part's transaction.
         """
         began = time.time()
         self.initialize()
@@ -111,7 +115,7 @@ class Indexer:
             if progress is not None:
                 progress(part + 1, batches)
             own = sources if batches == 1 else parts.where(F.col("part") == part).drop("part")
-            extracted = self._index(own)
+            extracted = self._index(own, removed if part == 0 else None)
             if extracted is None:
                 continue
             for row in extracted.where("error is not null").select("path", "error").limit(100).collect():
@@ -125,12 +129,30 @@ class Indexer:
     def index_workspace(self, root: str, **options) -> WorkspaceResult:
         return self.index_sources(W.workspace(self.spark, root), **options)
 
-    def index_incremental(self, sources: DataFrame) -> WorkspaceResult:
-        """Indexes only the files whose text isn't the stored one."""
+    def index_incremental(self, sources: DataFrame, complete: bool = False, root: str | None = None, **options) -> WorkspaceResult:
+        """Indexes only the files whose text isn't the stored one.
+
+        complete: sources are all that there is below root (or below the roots that sources name), so stored files below it that
+        sources don't have are removed, with their symbols and edges, in the transaction of the first part. Files of other folders stay.
+        """
         self.initialize()
         stored = self.store.read("file").select("path", "hash")
         hashed = sources.withColumn("hash", X.content_hash(X.decoded(F.col("content"))))
-        return self.index_sources(hashed.join(stored, ["path", "hash"], "left_anti").select("path", "root", "content"))
+        changes = cut(difference(stored, hashed.select("path", "hash")), "changes")
+        wanted = changes.where(F.col("change").isin(ADDED, CHANGED)).select("path")
+        removed = None
+        if complete:
+            roots = [root] if root is not None else [r[0] for r in sources.select("root").distinct().collect()]  # the folders of a workspace
+            inside = reduce(Column.__or__, [below(F.col("path"), r) for r in roots], F.lit(False))
+            removed = changes.where(F.col("change") == REMOVED).where(inside).select("path")
+        n_removed = 0 if removed is None else removed.count()
+        result = self.index_sources(hashed.join(wanted, "path", "left_semi").select("path", "root", "content"), removed=removed if n_removed else None, **options)
+        discard(changes)
+        return replace(result, removed=n_removed)
+
+    def index_workspace_incremental(self, root: str, **options) -> WorkspaceResult:
+        """The workspace as it is now: changed files are indexed, and those that vanished leave the graph."""
+        return self.index_incremental(W.workspace(self.spark, root), complete=True, root=W.local_root(root), **options)
 
     # -- reading
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import schema as S
 from loomgraph.functions import text as X
+from loomgraph.operators import delta as D
 from loomgraph.operators import graph as G
+from loomgraph.operators import positions as P
 from loomgraph.operators import readmodel as R
+from loomgraph.operators import strong as C
 from loomgraph.operators import tree as T
 from loomgraph.operators import upsert as U
 from loomgraph.operators import validate as V
@@ -379,19 +382,147 @@ def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.violations(S.conform(rows, "file"), "file")
 
 
-@query("select unnest(['call_site', 'diagnostic', 'edge', 'file', 'import_ref', 'symbol']) as name, cast(0 as bigint) as n_violations")
+@query(f"""select 'file' as name, count(*) as n, cast(0 as bigint) as n_violations from fx_file union all select 'symbol', count(*), 0 from fx_symbol union all select 'edge', count(*), 0 from fx_symbol
+union all select 'call_site', count(*), 0 from (select distinct * from fx_call) x union all select 'import_ref', count(*), 0 from (select distinct * from fx_call) x union all select 'diagnostic', count(*), 0 from events""")
 def schema_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of a fresh store, and the rules that their (no) rows break."""
+    """All six tables written from the derived graph in one transaction of a store that was initialised twice; their rows, and the rules that they break."""
+    c = Corpus(spark, sf_dir)
+    symbols = _symbols(c)
+    files = _files(c).withColumns({"path": F.concat(F.lit(ROOT + "/"), "relative_path"), "loc": F.lit(1), "hash": F.lit("h")})
+    name = lambda kind, key: F.concat(F.lit(f"{kind}-"), F.col(key).cast("string"))
+    calls = c.calls().distinct().select(F.concat_ws("-", F.lit("call"), F.col("src").cast("string"), F.col("dst").cast("string")).alias("id"), name("file", "src").alias("file_id"), name("symbol", "src").alias("caller_symbol_id"), name("symbol", "dst").alias("callee_symbol_id"), name("file", "dst").alias("import_path"))
+    found = c.table("events").select(name("event", "event_id").alias("id"), name("file", "user_id").alias("file_id"), F.col("event_type").alias("severity"), F.col("props").alias("message"))
+    rows = {"file": files, "symbol": symbols, "edge": edges_of(symbols), "call_site": calls, "import_ref": calls, "diagnostic": found}
     store = U.Store(spark, scratch(spark, "store"))
     store.initialize()
     store.initialize()
-    counts = [S.violations(df, name).agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("name"), "n_violations") for name, df in sorted(store.snapshot().items())]
+    store.transaction(lambda now: rows)
+    now = store.snapshot()
+    counts = [now[name].agg(F.count("*").alias("n")).crossJoin(S.violations(now[name], name).agg(F.count("*").alias("n_violations"))).select(F.lit(name).alias("name"), "n", "n_violations") for name in store.tables()]
     out = counts[0]
     for more in counts[1:]:
         out = out.unionByName(more)
     return out
 
 
+HALVES_SQL = """s as (select relative_path as path, case when file_key % 5 = 0 then 'old' else 'same' end as h from fx_file where file_key % 3 <> 0),
+c as (select relative_path as path, case when file_key % 5 = 0 then 'new' else 'same' end as h from fx_file where file_key % 4 <> 0)"""
+
+
+def _halves(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping parts of the files, as a store holds them and as they are now: every fifth has changed."""
+    files = c.files().withColumn("path", F.concat(F.lit(ROOT + "/"), "relative_path"))
+    hashed = lambda rows, fresh: rows.withColumn("hash", F.when(F.col("file_key") % 5 == 0, fresh).otherwise("same"))
+    return hashed(files.where("file_key % 3 <> 0"), "old"), hashed(files.where("file_key % 4 <> 0"), "new")
+
+
+@query(f"""{WITH}, {HALVES_SQL} select '{ROOT}/' || coalesce(s.path, c.path) as path, s.h as old_hash, c.h as new_hash,
+case when s.path is null then 'added' when c.path is null then 'removed' when s.h = c.h then 'same' else 'changed' end as change from s full join c on s.path = c.path""")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, now = _halves(Corpus(spark, sf_dir))
+    return D.difference(stored, now)
+
+
+@query(f"""{WITH}, {HALVES_SQL}, k as (select file_key, case when file_key % 5 = 0 then 'new' else 'same' end as hash from fx_file where file_key % 4 <> 0),
+n as (select file_key, count(*) as n from fx_symbol group by file_key)
+select f.relative_path, k.hash, coalesce(n.n, 0) as n_symbols, coalesce(n.n, 0) as n_edges,
+ (select count(*) from (select distinct src, dst from fx_call) x join k a on a.file_key = x.src join k b on b.file_key = x.dst where x.src = f.file_key and x.src <> x.dst) as n_calls,
+ case when f.file_key % 3 <> 0 then 1 else 0 end::bigint as n_diagnostics
+from fx_file f join k on k.file_key = f.file_key left join n on n.file_key = f.file_key""")
+def snapshot_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of one part of the files, brought to what is there now: changed files replaced, vanished ones gone with symbols, edges, calls and diagnostics."""
+    c = Corpus(spark, sf_dir)
+    stored, now = _halves(c)
+    found = _symbols(c).groupBy("file_id").agg(F.collect_list(F.struct("name", "kind", "range.*")).alias("found"))
+    rows = lambda part: part.join(found, F.col("id") == F.col("file_id"), "left").select("path", "relative_path", F.lit("typescript").alias("language"), F.lit(1).alias("loc"), "hash", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"), "id", F.lit(0).cast("long").alias("seq"))
+    store = U.Store(spark, scratch(spark, "store"))
+    store.initialize()
+    store.replace_files(rows(stored))
+    # a later pass: calls between files, a diagnostic in each file
+    file = lambda key: F.concat(F.lit("file-"), F.col(key).cast("string"))
+    known = c.files().where("file_key % 3 <> 0 or file_key % 4 <> 0").select("id")
+    calls = c.calls().distinct().where("src <> dst").select(file("src").alias("source_id"), file("dst").alias("target_id"))
+    calls = calls.join(known.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(known.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    calls = calls.select(F.concat_ws("-", F.lit("call"), "source_id", "target_id").alias("id"), "source_id", "target_id", F.lit("call").alias("kind"))
+    store.transaction(lambda tables: {"edge": tables["edge"].unionByName(S.conform(calls, "edge")), "diagnostic": S.conform(stored.select(F.concat(F.lit("d-"), "id").alias("id"), F.col("id").alias("file_id")), "diagnostic")})
+    changes = cut(D.difference(store.read("file"), now), "changes")
+    wanted = changes.where(F.col("change").isin(D.ADDED, D.CHANGED)).select("path")
+    replaced = rows(now.join(wanted, "path", "left_semi"))
+    kept_calls = cut(store.read("edge").where("kind = 'call'"), "calls")  # what a batch's files called is found anew by the later pass
+    store.replace_files(replaced, changes.where(F.col("change") == D.REMOVED).select("path"))
+    tables = store.snapshot()
+    again = kept_calls.join(tables["edge"].select("id"), "id", "left_anti").select(*tables["edge"].columns)
+    ends = tables["file"].select("id")
+    again = again.join(ends.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ends.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    symbols = tables["symbol"].groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_symbols"))
+    edges = tables["edge"].select("source_id", "kind").unionByName(again.select("source_id", "kind")).groupBy(F.col("source_id").alias("id")).agg(F.count_if(F.col("kind") != "call").alias("n_edges"), F.count_if(F.col("kind") == "call").alias("n_calls"))
+    diagnostics = tables["diagnostic"].groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n_diagnostics"))
+    joined = tables["file"].select("id", "relative_path", "hash").join(symbols, "id", "left").join(edges, "id", "left").join(diagnostics, "id", "left")
+    return joined.select("relative_path", "hash", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_symbols", "n_edges", "n_calls", "n_diagnostics")])
+
+
+# ---------------------------------------------------------------- places and calls
+
+#: Symbols over several lines that nest and overlap, and the calls of a file: by name of its own symbols, or of any part.
+NESTED_SQL = """ns as (select file_key, 'symbol-' || file_key || '-' || start_line as id, name, 2 * start_line as a, 2 * start_line + (file_key + 3 * start_line) % 9 as b from fx_symbol),
+pc as (select l_orderkey as file_key, l_linenumber, min(l_partkey) as part, (min(l_quantity)::bigint * 7 + l_linenumber) % 16 as line, count(*) over () as n from lineitem group by l_orderkey, l_linenumber),
+calls as (select 'call-' || c.file_key || '-' || l_linenumber as id, c.file_key, line, replace(p_name, ' ', '_') || '_' || p_partkey as callee
+ from pc c join part on p_partkey = case when l_linenumber % 2 = 0 then part else (part * 31 + l_linenumber) % (select count(*) from part) end)"""
+
+
+def _nested_symbols(c: Corpus) -> DataFrame:
+    start = F.col("range.start_line")
+    key = F.regexp_extract("file_id", "[0-9]+", 0).cast("long")
+    zero = F.lit(0).cast("long")
+    nested = F.struct((2 * start).alias("start_line"), zero.alias("start_col"), (2 * start + (key + 3 * start) % 9).alias("end_line"), zero.alias("end_col"))
+    return _symbols(c).withColumn("range", nested)
+
+
+def _calls_in_lines(c: Corpus) -> DataFrame:
+    lines = c.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), ((F.min("l_quantity").cast("long") * 7 + F.col("l_linenumber")) % 16).alias("line"))
+    parts = c.table("part").select("p_partkey", F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string")).alias("callee"))
+    other = (F.col("part") * 31 + F.col("l_linenumber")) % F.lit(parts.count())
+    called = lines.withColumn("p_partkey", F.when(F.col("l_linenumber") % 2 == 0, F.col("part")).otherwise(other)).join(parts, "p_partkey")
+    return called.select(F.concat_ws("-", F.lit("call"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.concat(F.lit("file-"), F.col("l_orderkey").cast("string")).alias("file_id"), "line", F.lit(0).cast("long").alias("col"), "callee")
+
+
+@query(f"""{WITH}, {NESTED_SQL},
+caller as (select id, caller from (select c.id, s.id as caller, row_number() over (partition by c.id order by s.a desc, s.b, s.id) as n from calls c join ns s on s.file_key = c.file_key and c.line between s.a and s.b) x where n = 1),
+up as (select id, pa, pb from (select s.id, p.a as pa, p.b as pb, row_number() over (partition by s.id order by p.a desc, p.b, p.id) as n
+ from ns s join ns p on p.file_key = s.file_key and p.a <= s.a and p.b >= s.b and not (p.a = s.a and p.b = s.b)) x where n = 1),
+near as (select id, callee_id from (select c.id, s.id as callee_id, row_number() over (partition by c.id order by pa is not null desc, pa desc nulls last, s.a desc, s.id) as n
+ from calls c join ns s on s.file_key = c.file_key and s.name = c.callee left join up on up.id = s.id where pa is null or c.line between pa and pb) x where n = 1),
+alone as (select name, min(ns.id) as callee_id from ns left join up on up.id = ns.id where pa is null group by name having count(*) = 1)
+select c.id, 'file-' || c.file_key as file_id, cast(c.line as bigint) as line, caller as caller_symbol_id, coalesce(near.callee_id, alone.callee_id) as callee_symbol_id, '{{}}' as metadata
+from calls c left join caller on caller.id = c.id left join near on near.id = c.id left join alone on alone.name = c.callee""")
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with the symbol around them and the one that they call, written to the table of call sites and read from there."""
+    c = Corpus(spark, sf_dir)
+    calls, symbols = _calls_in_lines(c), _nested_symbols(c)
+    at = F.struct(*[F.col(n).alias(m) for n, m in zip(("line", "col", "line", "col"), S.RANGE_FIELDS)])
+    found = P.resolve_calls(calls, symbols).join(calls.select("id", "file_id", at.alias("range")), "id")
+    store = U.Store(spark, scratch(spark, "store"))
+    store.initialize()
+    store.transaction(lambda now: {"call_site": found})
+    return store.read("call_site").select("id", "file_id", F.col("range.start_line").alias("line"), "caller_symbol_id", "callee_symbol_id", "metadata")
+
+
+@query(f"""{WITH}, {NESTED_SQL}, d as (select event_id, user_id as file_key, event_id % 20 as line, event_type from events)
+select 'diagnostic-' || event_id as id, 'file-' || file_key as file_id, symbol_id, event_type as severity from (
+ select d.*, s.id as symbol_id, row_number() over (partition by event_id order by s.a desc, s.b, s.id) as n from d left join ns s on s.file_key = d.file_key and d.line between s.a and s.b) x where n = 1""")
+def diagnostic_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as diagnostics at lines of files, each with the innermost symbol around it, through the table of diagnostics."""
+    c = Corpus(spark, sf_dir)
+    line = F.col("event_id") % 20
+    zero = F.lit(0).cast("long")
+    place = F.struct(line.alias("start_line"), zero.alias("start_col"), line.alias("end_line"), zero.alias("end_col"))
+    told = c.table("events").select(F.concat(F.lit("diagnostic-"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("file-"), F.col("user_id").cast("string")).alias("file_id"), F.col("event_type").alias("severity"), place.alias("range"))
+    store = U.Store(spark, scratch(spark, "store"))
+    store.initialize()
+    store.transaction(lambda now: {"diagnostic": P.diagnostics_of_symbols(told, _nested_symbols(c))})
+    return store.read("diagnostic").select("id", "file_id", "symbol_id", "severity")
+
+
 # ---------------------------------------------------------------- messages
 
 
@@ -451,6 +582,16 @@ def short_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cycles(Corpus(spark, sf_dir).calls(), 4)
 
 
+@query(f"""with recursive {WITH.removeprefix('with ')}, walk(a, b) as (select src, dst from fx_call union select walk.a, fx_call.dst from walk join fx_call on fx_call.src = walk.b),
+both_ as (select x.a as node, least(x.a, min(x.b)) as component from walk x join walk y on x.a = y.b and x.b = y.a group by x.a),
+named as (select p_partkey as node, coalesce(component, p_partkey) as component from part left join both_ on node = p_partkey)
+select node, component, count(*) over (partition by component) as size from named""")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles of calls: each part with the least part of its strongly connected component, and the component's size."""
+    c = Corpus(spark, sf_dir)
+    return C.strong_components(c.table("part").select(F.col("p_partkey").alias("node")), c.calls())
+
+
 @query("""select cast(user_id as varchar) as path, max(ts) as last_modified, max_by(event_type, (ts, event_type)) as last_author, count(*) filter (ts > timestamp '2024-01-31 00:00:00' - interval 30 days) as change_count_30d
 from events group by user_id""")
 def git_recency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,3 +217,118 @@ def test_a_run_is_timed_and_logged(spark, tmp_path, workspace, caplog):
         told = indexer.index_sources(bad)
     assert result.elapsed_ms > 0 and told.elapsed_ms > 0 and told.failed == 1
     assert "indexed src/hello.ts: 2 symbols" in caplog.text and "failed to index /w/b.md: no content" in caplog.text
+
+
+FOUND = "array<struct<name: string, kind: string, start_line: long, start_col: long, end_line: long, end_col: long>>"
+INCOMING = f"path string, relative_path string, language string, loc long, hash string, found {FOUND}, seq long"
+
+
+def incoming(spark, *names, symbols=1):
+    rows = [(f"/w/{n}", n, "typescript", 1, "h", [(f"s{k}", "class", k, 0, k, 1) for k in range(symbols)], 0) for n in names]
+    return spark.createDataFrame(rows, INCOMING)
+
+
+def test_vanished_files_leave_the_graph(spark, tmp_path, workspace):
+    from loomgraph.sources import workspace as W
+
+    indexer = Indexer(spark, str(tmp_path / "db"))
+    indexer.index_workspace(str(workspace))
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "far.ts").write_text("class Far {}\n")
+    indexer.index_workspace(str(other))
+    now = indexer.store.snapshot()
+    hello = now["file"].where("relative_path = 'src/hello.ts'").first()["id"]
+    empty = now["file"].where("relative_path = 'src/empty.ts'").first()["id"]
+    far = now["symbol"].where("name = 'Far'").first()["id"]
+    wave = now["symbol"].where("name = 'hello'").first()["id"]
+    # edges from and to what will vanish, and what a later pass found in it
+    edges = spark.createDataFrame([("e1", empty, wave, "call"), ("e2", wave, far, "call"), ("e3", empty, hello, "import"), ("e4", empty, far, "call")], "id string, source_id string, target_id string, kind string")
+    sites = spark.createDataFrame([("c1", hello), ("c2", empty), ("c3", None)], "id string, file_id string")
+    indexer.store.transaction(lambda t: {"edge": t["edge"].unionByName(S.conform(edges, "edge")), "call_site": S.conform(sites, "call_site"), "diagnostic": S.conform(sites, "diagnostic")})
+
+    (workspace / "src/hello.ts").unlink()
+    (workspace / "notes.md").write_text("# other\n")
+    assert indexer.index_incremental(W.workspace(spark, str(workspace))).removed == 0
+    assert indexer.store.read("file").count() == 4
+    told = indexer.index_workspace_incremental(str(workspace), batches=2)
+    assert (told.indexed, told.removed) == (0, 1)
+    now = indexer.store.snapshot()
+    assert sorted(r["relative_path"] for r in now["file"].collect()) == ["far.ts", "notes.md", "src/empty.ts"]
+    assert [r["name"] for r in now["symbol"].collect()] == ["Far"]
+    assert sorted(r["id"] for r in now["edge"].where("kind <> 'structural'").collect()) == ["e4"]
+    assert now["edge"].where("kind = 'structural'").count() == 1
+    for name in ("call_site", "diagnostic"):
+        assert sorted(r["id"] for r in now[name].collect()) == ["c2", "c3"]
+    for path in [*workspace.rglob("*.ts"), workspace / "notes.md"]:
+        path.unlink()
+    assert indexer.index_workspace_incremental(str(workspace)).removed == 2
+    assert [r["relative_path"] for r in indexer.get_all_files().collect()] == ["far.ts"]
+
+
+def test_a_living_writer_keeps_its_lock(spark, tmp_path):
+    """A writer that takes longer than a lock may be old renews it; another one is refused meanwhile."""
+    import time
+
+    store, other = (U.Store(spark, str(tmp_path / "db"), stale_seconds=2) for _ in range(2))
+    store.initialize()
+    told = []
+
+    def slow(tables):
+        time.sleep(5)
+        with pytest.raises(RuntimeError, match="another writer"):
+            other.replace_files(incoming(spark, "b.ts"))
+        told.append(True)
+        return {"file": tables["file"]}
+
+    store.transaction(slow)
+    assert told
+    other.replace_files(incoming(spark, "b.ts"))
+    assert other.read("file").count() == 1
+
+
+def test_a_lock_that_was_taken_over_commits_nothing(spark, tmp_path):
+    store, other = (U.Store(spark, str(tmp_path / "db")) for _ in range(2))
+    store.initialize()
+
+    def robbed(tables):
+        other._fs.delete(other._path(f"{other.path}/_LOCK"), False)  # as if it had been found stale
+        other.replace_files(incoming(spark, "b.ts"))
+        return {"file": tables["file"]}
+
+    with pytest.raises(RuntimeError, match="taken over"):
+        store.transaction(robbed)
+    assert [r["relative_path"] for r in store.read("file").collect()] == ["b.ts"]
+    with other._locked():
+        with pytest.raises(RuntimeError):
+            store.replace_files(incoming(spark, "c.ts"))
+    store.replace_files(incoming(spark, "c.ts"))
+    assert store.read("file").count() == 2
+
+
+def test_paths_are_unique_across_buckets(spark, tmp_path):
+    store = U.Store(spark, str(tmp_path / "db"))
+    store.initialize()
+    store.replace_files(incoming(spark, "a.ts"))
+    held = store.read("file").first()["id"]
+    of = lambda i: spark.range(1).select(U.bucket_of(F.lit(i), 16)).first()[0]
+    other = next(f"x{k}" for k in range(100) if of(f"x{k}") != of(held))
+    row = spark.createDataFrame([(other, "/w/a.ts", "a.ts", "typescript", 1, "h")], "id string, path string, relative_path string, language string, loc long, hash string")
+    with pytest.raises(U.ConstraintError, match="path is not unique"):
+        store.transaction(lambda t: {"file": S.conform(row, "file")}, {"file": [of(other)]})
+    assert store.read("file").count() == 1
+
+
+def test_buckets_grow_with_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(U, "BUCKET_FILES", 3)
+    store = U.Store(spark, str(tmp_path / "db"), buckets=2)
+    store.initialize()
+    store.replace_files(incoming(spark, *[f"f{i}.ts" for i in range(9)], symbols=2))
+    store.replace_files(incoming(spark, "f1.ts", "f9.ts", symbols=3))
+    now = store.snapshot()
+    assert {len(v) for v in store.layout().values()} == {8}
+    assert (now["file"].count(), now["symbol"].count(), now["edge"].count()) == (10, 22, 22)
+    assert store.of_file("symbol", now["file"].where("relative_path = 'f9.ts'").first()["id"]).count() == 3
+    store.vacuum()
+    store.rebuild(3)
+    assert {len(v) for v in store.layout().values()} == {3} and store.read("symbol").count() == 22
