@@ -78,6 +78,9 @@ UNIQUE = {"file": ("id", "path"), "symbol": ("id",), "edge": ("id",), "call_site
 #: What a table's rows are sorted by within files, so that row-group statistics serve as indexes.
 CLUSTERED = {"file": ("relative_path",), "symbol": ("file_id", "name"), "edge": ("source_id", "target_id"), "call_site": ("file_id",), "import_ref": ("file_id",), "diagnostic": ("file_id",)}
 
+#: Columns with Bloom filters: those that rows are looked up by beside their bucket's.
+SKIPPED = {"file": ("path", "relative_path"), "symbol": ("id", "fqn"), "edge": ("target_id",), "call_site": ("callee_symbol_id",), "diagnostic": ("symbol_id",)}
+
 #: What tells a row's bucket.
 BUCKETED = {"file": "id", "symbol": "file_id", "edge": "source_id", "call_site": "file_id", "import_ref": "file_id", "diagnostic": "file_id"}
 

@@ -16,6 +16,7 @@ from loomgraph.functions import text as X
 from loomgraph.operators import readmodel as R
 from loomgraph.operators.delta import ADDED, CHANGED, REMOVED, below, difference
 from loomgraph.operators.extract import extract_files
+from loomgraph.operators.textindex import SymbolIndex
 from loomgraph.operators.upsert import Store
 from loomgraph.session import cut, discard, scratch
 from loomgraph.sources import workspace as W
@@ -160,7 +161,7 @@ class Indexer:
         return R.all_files(self.store.read("file"))
 
     def find_file_id(self, path: str) -> str | None:
-        row = self.store.read("file").where(F.col("path") == F.lit(path)).select("id").orderBy("id").first()
+        row = self.store.lookup("file", "path", path).select("id").orderBy("id").first()
         return None if row is None else row["id"]
 
     def views(self, prefix: str = "") -> list[str]:
@@ -173,6 +174,12 @@ class Indexer:
         tables = self.store.snapshot()
         return R.symbols_for_file(tables["file"], tables["symbol"], relative_path)
 
+    def search(self, words: str, most: int = 20, misspelt: bool = False) -> DataFrame:
+        """The best symbols for the words, through the stored index, which is brought up to the store first."""
+        index = SymbolIndex(self.store)
+        index.refresh()
+        return index.search_misspelt(words, most) if misspelt else index.search(words, most)
+
     def get_files_with_symbols(self, root: str | None = None) -> DataFrame:
         tables = self.store.snapshot()
         return R.files_with_symbols(tables["file"], tables["symbol"], root)
