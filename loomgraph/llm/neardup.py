@@ -13,7 +13,9 @@ are one point, and point sets known to be connected are not compared again.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated
 rows share their component; component_id is the smallest doc_id (null doc_ids are larger than any,
-and a component of null doc_ids alone has a null id); other columns are never looked at.
+and a component of null doc_ids alone has a null id); a text of any length is read whole, by one task; an empty
+table gives no row; other columns are never looked at. `keep_first` takes rows that are equal in all columns that have a
+hash (maps and variants have none) as one.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ intersected and united as the query says, and only the candidates are verified w
 expression. A rule without mandatory trigrams scans all texts.
 
 Defined results: null and empty texts hold no secret; repeated rows are scanned each by themselves;
-texts are scanned whole, whatever their length; other columns are never looked at.
+texts are scanned whole, whatever their length; spans of two kinds at one place are both kept, in the kinds'
+order; an empty table gives no row; other columns are never looked at.
 """
 
 from __future__ import annotations

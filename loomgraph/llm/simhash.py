@@ -9,7 +9,8 @@ fingerprints of one key only. What stays equal after that is decided by counting
 Defined results: null and empty texts, and texts of blanks, have the fingerprint of all zeros and are
 alike among themselves; the likeness of two fingerprints is the cosine that their differing bits
 stand for, 0 at least; rows with equal doc_id follow one another by text, null doc_ids come first;
-the next document of the last one is the first; other columns are never looked at.
+the next document of the last one is the first; a text of any length is read whole, by one task; an empty table
+gives no row; other columns are never looked at.
 """
 
 from __future__ import annotations

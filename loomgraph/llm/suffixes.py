@@ -25,7 +25,10 @@ Documents keep their bytes' offsets throughout, and strings are judged on the in
 
 Defined results: null text is empty, texts shorter than `size` lose nothing; null doc_ids come before
 all others; rows that share a doc_id are ordered by a hash of their text, and rows equal in both are
-one document, each with its result; an empty table gives no row; other columns are never looked at.
+one document, each with its result, so a text that is repeated under null ids is not removed; an empty table gives no row;
+other columns are never looked at. Runs of windows that are equal as a whole are known by place, length and a 64-bit
+hash of all bytes, and windows across boundaries by two such hashes: among n different ones that agree in the rest, a
+false match has the odds n * n / 2^65.
 """
 
 from __future__ import annotations

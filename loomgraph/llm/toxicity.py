@@ -13,7 +13,8 @@ Defined results: null and empty texts have no feature and the probabilities that
 without label aren't learned from; a category with one value only, or no labelled row at all, gets
 its share of ones (0 without rows) as probability everywhere; repeated rows are scored each by
 themselves; a label row with a null in any category is left out of training; features that tell equally much go by
-bucket; other columns of documents and labels are never looked at.
+bucket; a text of any length is read whole; an empty table of documents gives no row; other columns of documents and
+labels are never looked at.
 """
 
 from __future__ import annotations
