@@ -6,8 +6,8 @@ normalised bytes, so the running sum of piece lengths, read through that alignme
 piece's span of source bytes.
 
 Defined results: null and empty text give no ids, no spans and an empty decoded text; repeated rows
-are encoded each by themselves; a text of any length is encoded whole, by one task; equal prefixes of the character
-map go by the longest, as merges of equal score go by the first; an empty table gives no row; other columns are left
+are encoded each by themselves; a text of any length is encoded whole, by one task; ties of merges are the
+library's; an empty table gives no row; other columns are left
 alone and never looked at.
 """
 
