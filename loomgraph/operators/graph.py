@@ -178,9 +178,11 @@ def similar_vectors(vectors: DataFrame, query: list[float], most: int = 10, key:
 
 
 def mermaid(edges: DataFrame, most: int = 500) -> str:
-    """A flow chart of at most this many edges, as text."""
-    rows = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).orderBy("src", "dst").limit(most).collect()
-    return "\n".join(["flowchart LR", *(f'  {_node(a)}["{a}"] --> {_node(b)}["{b}"]' for a, b in rows)])
+    """A flow chart of at most this many edges, as text; a last line tells how many were left out."""
+    named = edges.select(F.col("src").cast("string"), F.col("dst").cast("string"))
+    rows = named.orderBy("src", "dst").limit(most + 1).collect()
+    rest = [f"  %% {named.count() - most} more edges"] if len(rows) > most else []
+    return "\n".join(["flowchart LR", *(f'  {_node(a)}["{a}"] --> {_node(b)}["{b}"]' for a, b in rows[:most]), *rest])
 
 
 def _node(name: str) -> str:

@@ -7,6 +7,7 @@ Labels move by one edge and then by a jump. A node of one edge in is on a chain:
 length with each round until it stands at a node where edges meet; there, what a node's greatest label has learned
 holds for the node too. So rounds follow the logarithm of a chain's length, and beside it the number of meeting places on a
 path. A node holds two labels and two pointers; no pairs of nodes are kept. Nodes without an edge into or out of them are trimmed.
+When LOCAL_EDGES edges or fewer are left, the driver walks them: rounds of tiny tables would take longer.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from loomgraph.session import cut, discard
 
 #: Trimming steps before labels are dealt: a chain is left to the labels, which part it in few rounds.
 TRIMS = 2
+#: Edges that the driver takes to finish.
+LOCAL_EDGES = 1 << 16
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -49,7 +52,43 @@ def _round(state: DataFrame, edges: DataFrame) -> DataFrame:
     return now.select("node", "into", "out", "up", "down", ((F.col("into") != F.col("was.into")) | (F.col("out") != F.col("was.out"))).alias("moved"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _walked(edges: list[tuple]) -> list[tuple]:
+    """(node, root) of every end of a few edges: depth-first, with the lowest place on the stack that a node reaches back to."""
+    to: dict = {}
+    for a, b in edges:
+        to.setdefault(a, []).append(b)
+    place, low, held, stack, found = {}, {}, set(), [], []
+    for start in to:
+        walk = [] if start in place else [(start, iter(to[start]))]
+        if walk:
+            place[start] = low[start] = len(place)
+            stack.append(start)
+            held.add(start)
+        while walk:
+            node, rest = walk[-1]
+            after = next(rest, None)
+            if after is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == place[node]:
+                    while True:
+                        member = stack.pop()
+                        held.discard(member)
+                        found.append((member, node))
+                        if member == node:
+                            break
+            elif after not in place:
+                place[after] = low[after] = len(place)
+                stack.append(after)
+                held.add(after)
+                walk.append((after, iter(to.get(after, ()))))
+            elif after in held:
+                low[node] = min(low[node], place[after])
+    return found
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, component (its least node) and size, for every row of nodes (node) and every end of an edge (src, dst).
 
     A null end makes no edge; edges that are there twice, or that lead to their own node, change nothing.
@@ -58,7 +97,14 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     now = cut(_trimmed(edges.where("src <> dst").select("src", "dst").distinct()), "strong-edges")
     found = None
     turn = 0
-    while not now.isEmpty():
+    left = now.count()
+    while left:
+        if left <= local_edges:
+            rows = [tuple(r) for r in now.select("src", "dst").collect()]
+            kind = now.schema["src"].dataType.simpleString()
+            walked = now.sparkSession.createDataFrame(_walked(rows), f"node {kind}, root {kind}")
+            found = walked if found is None else found.unionByName(walked)
+            break
         state = cut(_labels(now, turn), "strong-labels")
         while not state.where("moved").isEmpty():
             after = cut(_round(state, now), "strong-labels")
@@ -71,6 +117,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         within = now.join(open_.withColumnRenamed("node", "src"), "src").join(ends, "dst").where((F.col("into") == F.col("dst_into")) & (F.col("out") == F.col("dst_out")))
         before, now = now, cut(_trimmed(within.select("src", "dst")), "strong-edges")
         discard(before)
+        left = now.count()
         turn += 1
     rooted = all_nodes.withColumn("root", F.col("node")) if found is None else all_nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size"))

@@ -590,7 +590,8 @@ select node, component, count(*) over (partition by component) as size from name
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circles of calls: each part with the least part of its strongly connected component, and the component's size."""
     c = Corpus(spark, sf_dir)
-    return C.strong_components(c.table("part").select(F.col("p_partkey").alias("node")), c.calls())
+    # few edges for the driver, so that labels do most of it
+    return C.strong_components(c.table("part").select(F.col("p_partkey").alias("node")), c.calls(), local_edges=500)
 
 
 @query("""select cast(user_id as varchar) as path, max(ts) as last_modified, max_by(event_type, (ts, event_type)) as last_author, count(*) filter (ts > timestamp '2024-01-31 00:00:00' - interval 30 days) as change_count_30d

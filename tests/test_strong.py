@@ -21,7 +21,9 @@ def plain(nodes, edges):
 
 
 def check(spark, nodes, edges):
-    got = C.strong_components(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "src long, dst long"))
+    tables = spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "src long, dst long")
+    got = C.strong_components(*tables, local_edges=0)
+    assert sorted(map(tuple, C.strong_components(*tables).collect())) == sorted(map(tuple, got.collect()))
     assert {r["node"]: (r["component"], r["size"]) for r in got.collect()} == plain(nodes, edges)
     return got
 
