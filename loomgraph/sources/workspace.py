@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.sources.files import is_mounted, open_listed, register
 
 SOURCES = "path string, root string, content binary"
 #: The path of a listed file without its scheme, as roots are written.
@@ -37,9 +39,13 @@ def taken(paths: DataFrame, root: str) -> DataFrame:
 def contents(listed: DataFrame) -> DataFrame:
     """path, root, content of listed files.
 
-    The driver holds their paths, as a file source's own listing does; only these files are opened.
+    Only these files are opened: by the tasks that hold their paths, where the workers can (and one that has gone since is left
+    out), else by Spark's file source, for which the driver holds the paths.
     """
     spark = listed.sparkSession
+    some = listed.select("path").first()
+    if some is not None and is_mounted(spark, some["path"]):
+        return open_listed(listed.select(local_path().alias("path"), "root").distinct())
     rows = listed.distinct().collect()
     out = spark.createDataFrame([], SOURCES)
     for root in sorted({r["root"] for r in rows}):
@@ -50,12 +56,28 @@ def contents(listed: DataFrame) -> DataFrame:
 
 
 def workspace(spark: SparkSession, root: str, included: tuple[str, ...] = X.INCLUDED) -> DataFrame:
-    """path, root, content of every file under root that discovery takes: listed, filtered, and only then opened."""
-    return contents(listing(spark, root, included))
+    """path, root, content of every file under root that discovery takes: listed, filtered, and only then opened.
+
+    Where the workers can open the folder themselves, its partitions are listed and read by them (`files`); in other file
+    systems Spark lists the paths, which leaves out names that begin with a dot or an underscore.
+    """
+    if not is_mounted(spark, root):
+        return contents(listing(spark, root, included))
+    register(spark)
+    spread = str(2 * spark.sparkContext.defaultParallelism)
+    files = spark.read.format("workspace_files").option("spread", spread).load(local_root(root))
+    endings = f"[.]({'|'.join(included)})$"
+    return files if included == X.INCLUDED else files.where(F.col("path").rlike(endings))
 
 
 def single_files(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
-    """path, root, content of the named files; they may lie outside root."""
+    """path, root, content of the named files; they may lie outside root. One that isn't there is an error."""
+    if all(is_mounted(spark, p) for p in paths):
+        gone = [p for p in paths if not os.path.isfile(local_root(p))]
+        if gone:
+            raise FileNotFoundError(f"no file {gone[0]}")
+        named = spark.createDataFrame([(local_root(p), root.rstrip("/")) for p in paths], "path string, root string")
+        return open_listed(named)
     files = spark.read.format("binaryFile").load(paths)
     return files.select(local_path().alias("path"), F.lit(root.rstrip("/")).alias("root"), "content")
 

@@ -1,0 +1,128 @@
+"""The workspace as a data source, and runs over it that are watched and cancelled."""
+
+import os
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.plans.indexer import Indexer
+from loomgraph.sources import files
+from loomgraph.sources import workspace as W
+
+NAMES = ["a.ts", "src/b.tsx", "src/__init__.py", "src/.hidden/c.js", "src/deep/er/d.md", "_under/e.mjs", ".eslintrc.cjs"]
+OTHERS = ["node_modules/x.ts", "src/dist/y.ts", ".git/z.py", "src/build/deep/q.js", "src/out/r.ts", "src/notes.txt", "src/ts", "src/B.TS"]
+
+
+@pytest.fixture()
+def root(tmp_path):
+    for name in NAMES + OTHERS:
+        path = tmp_path / "w" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"// {name}\nconst x = 1;\n")
+    return tmp_path / "w"
+
+
+def below(root, df):
+    return sorted(r["path"].removeprefix(f"{root}/") for r in df.collect())
+
+
+@pytest.mark.parametrize("spread", ["1", "3", "64"])
+def test_every_file_once(spark, root, spread):
+    files.register(spark)
+    df = spark.read.format("workspace_files").option("spread", spread).load(str(root))
+    assert below(root, df) == sorted(NAMES)
+    assert {bytes(r["content"]).decode().split("\n")[0].removeprefix("// ") for r in df.collect()} == set(NAMES)
+    assert {r["root"] for r in df.collect()} == {str(root)}
+    bare = spark.read.format("workspace_files").option("opened", "false").option("spread", spread).load(str(root))
+    assert below(root, bare) == sorted(NAMES) and bare.where("content is not null").isEmpty()
+
+
+def test_excluded_folders_are_not_entered(root, monkeypatch):
+    opened, scandir = [], os.scandir
+    monkeypatch.setattr(files.os, "scandir", lambda p: opened.append(str(p)) or scandir(p))
+    reader = files.FilesReader(str(root), 2, True)
+    found = [p for part in reader.partitions() for p in files.walk(part, reader.wanted)]
+    assert sorted(p.removeprefix(f"{root}/") for p in found) == sorted(NAMES)
+    assert {p.removeprefix(str(root)) for p in opened} == {"", "/src", "/src/.hidden", "/src/deep", "/src/deep/er", "/_under"}
+
+
+def test_large_folders_are_dealt_out(spark, root, monkeypatch):
+    for i in range(40):
+        (root / "src" / f"n{i}.ts").write_text("")
+    monkeypatch.setattr(files, "PART_FILES", 8)
+    reader = files.FilesReader(str(root), 64, True)
+    parts = reader.partitions()
+    dealt = [sorted(files.walk(part, reader.wanted)) for part in parts]
+    assert sum(map(len, dealt)) == len({p for d in dealt for p in d}) == 47
+    assert max(map(len, dealt)) < 20 and len(parts) >= 6
+
+
+def test_filters_reach_the_source(spark, root, monkeypatch):
+    df = W.workspace(spark, str(root))
+    assert below(root, df.where(F.col("path") == f"{root}/src/b.tsx")) == ["src/b.tsx"]
+    assert below(root, df.where(F.col("path").isin(f"{root}/a.ts", f"{root}/src/deep/er/d.md", None))) == ["a.ts", "src/deep/er/d.md"]
+    assert below(root, df.where(F.col("path").startswith(f"{root}/src/")).where(F.col("path").endswith(".py"))) == ["src/__init__.py"]
+    assert below(root, df.where("path like '%e%' and content is not null").where(F.col("path").startswith(f"{root}/_"))) == ["_under/e.mjs"]
+    opened, scandir = [], os.scandir
+    monkeypatch.setattr(files.os, "scandir", lambda p: opened.append(str(p)) or scandir(p))
+    reader = files.FilesReader(str(root), 64, True)
+    assert list(reader.pushFilters([files.In(("path",), (f"{root}/src/deep/er/d.md",))])) == []
+    assert [p for part in reader.partitions() for p in files.walk(part, reader.wanted)] == [f"{root}/src/deep/er/d.md"]
+    assert {p.removeprefix(str(root)) for p in opened} == {"", "/src", "/src/deep", "/src/deep/er"}
+
+
+def test_odd_folders(spark, root, tmp_path):
+    os.symlink(root, root / "src/deep/circle")
+    os.symlink(root / "src/deep", root / "again")
+    os.symlink(root / "nowhere", root / "broken.ts")
+    assert below(root, W.workspace(spark, str(root))) == sorted([*NAMES, "again/er/d.md"])
+    with pytest.raises(Exception, match="no folder"):
+        W.workspace(spark, str(tmp_path / "none")).collect()
+    with pytest.raises(FileNotFoundError):
+        W.single_files(spark, [str(root / "none.ts")], str(root))
+    assert below(root, W.single_files(spark, [str(root / "src/__init__.py"), str(root / "src/ts")], str(root))) == ["src/__init__.py", "src/ts"]
+    listed = spark.createDataFrame([(f"file:{root}/a.ts", str(root)), (f"file:{root}/gone.ts", str(root))], "path string, root string")
+    assert below(root, W.contents(listed)) == ["a.ts"]
+
+
+def test_files_are_counted(spark, root, tmp_path):
+    told = []
+    indexer = Indexer(spark, str(tmp_path / "db"))
+    done = indexer.index_workspace(str(root), batches=2, on_files=told.append)
+    assert (done.indexed, done.failed, done.cancelled) == (7, 0, False)
+    assert told == sorted(told) and told[-1] == 7
+    assert any(0 < n < 7 for n in told)
+
+
+def test_cancelled_within_a_part(spark, root, tmp_path):
+    indexer = Indexer(spark, str(tmp_path / "db"))
+    assert indexer.index_workspace(str(root)).indexed == 7
+    before = indexer.store.layout()
+
+    @F.udf("binary")
+    def slow(path):
+        time.sleep(30)
+        return b"class Late {}"
+
+    sources = W.workspace(spark, str(root)).withColumn("content", slow("path"))
+    timer = threading.Timer(6, indexer.cancel)
+    began = time.time()
+    timer.start()
+    done = indexer.index_sources(sources)
+    timer.join()
+    assert done.cancelled and done.indexed == 0 and time.time() - began < 25
+    assert indexer.store.layout() == before
+    assert indexer.store.read("symbol").where("name = 'Late'").isEmpty()
+    assert indexer.index_workspace(str(root)).indexed == 7  # the next run isn't cancelled, and no lock is left
+
+
+def test_only_changed_files_are_opened_again(spark, root, tmp_path):
+    indexer = Indexer(spark, str(tmp_path / "db"))
+    indexer.index_workspace_incremental(str(root))
+    (root / "a.ts").write_text("class Fresh {}\n")
+    os.remove(root / "src/b.tsx")
+    done = indexer.index_workspace_incremental(str(root))
+    assert (done.indexed, done.removed) == (1, 1)
+    assert indexer.store.read("symbol").where("name = 'Fresh'").count() == 1
