@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import schema as S
@@ -17,6 +17,7 @@ from loomgraph.operators import strong as C
 from loomgraph.operators import tree as T
 from loomgraph.operators import upsert as U
 from loomgraph.operators import validate as V
+from loomgraph.operators import vectorgraph as A
 from loomgraph.operators import textindex as N
 from loomgraph.operators.extract import edges_of, extract_files, extract_plain_files, read_sources, symbols_of, with_ids
 from loomgraph.session import cut, scratch
@@ -719,6 +720,18 @@ def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.similar_vectors(Corpus(spark, sf_dir).table("embeddings"), [float(i % 7 - 3) for i in range(1, 65)], 10).select("vec_id")
 
 
+@query("""with e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null), q as (select * from e where vec_id % 100 = 0),
+  s as (select q.vec_id as query_id, e.vec_id, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) as cosine from q, e where q.vec_id <> e.vec_id)
+  select query_id, vec_id, cast(row_number() over (partition by query_id order by round(cosine, 12) desc, vec_id) as int) as rank from s qualify rank <= 10""")
+def similar_vectors_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each hundredth one, by small-world graphs: approximate, and the exact ones where the walk misses none."""
+    vectors = Corpus(spark, sf_dir).table("embeddings")
+    graph = A.build(vectors, 64)
+    found = A.search(graph, vectors.where("vec_id % 100 = 0"), 64, most=11).where("id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("int")
+    return found.select("query_id", F.col("id").alias("vec_id"), rank.alias("rank")).where("rank <= 10")
+
+
 @query(f"""select f.relative_path from fx_file f join fx_symbol s on s.file_key = f.file_key where s.kind = 'class' and f.relative_path like '%.tsx' group by f.relative_path having count(*) >= 2""")
 def many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one glob with several classes."""
