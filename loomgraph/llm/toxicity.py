@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import documents, steps, texts_of
 from loomgraph.llm.hashing import Rolling, word_spans
-from loomgraph.session import cut, ship
+from loomgraph.session import cut, discard, ship
 
 BUCKETS_BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -126,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most_l
     """Fits the chain. categories: name -> SQL expression of a 0/1 value over the columns of labels, in chain order.
 
     A fold is told by a hash of the doc_id, so repeated rows are in one fold. What a fold's predictions come from,
-    features included, is chosen and fitted without that fold.
+    features included, is chosen and fitted without that fold. At most most_labelled rows are fitted, those of the least
+    hashes of their ids (and, where ids are repeated, of their features): first of labels, then of documents that have one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -147,6 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most_l
     kept = [f"category_{k}" for k in range(len(names))]
     fold_of = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")
     described = cut(found.select("doc_id", "text", fold_of, *kept).mapInArrow(describe, "doc_id long, buckets array<int>, fold int, " + ", ".join(f"{k} double" for k in kept)), "labelled")
+    if described.count() > most_labelled:  # ids that many rows share: the bound holds for rows of documents too
+        wide = described
+        described = cut(wide.orderBy(F.xxhash64("doc_id", "buckets", *kept)).limit(most_labelled), "labelled")
+        discard(wide)
     totals = [described.where(F.col("fold") != f).agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kept]).first() for f in (-1, *range(folds))]
     if not totals[0]["n"]:
         return Chain(np.zeros(0, np.int64), names, [Linear(np.zeros(0), np.zeros(k), -30.0) for k in range(len(names))])
@@ -171,6 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most_l
     rows_of = rows_of.iloc[np.lexsort((rows_of["buckets"].map(lambda b: bytes(np.asarray(b))).to_numpy(), rows_of["doc_id"]))].reset_index(drop=True)
     cols = np.concatenate([np.zeros(0, np.int64), *rows_of["buckets"]]).astype(np.int64)
     rows = np.repeat(np.arange(len(rows_of)), rows_of["buckets"].map(len))
+    for table in (described, counted):
+        discard(table)
     return chained(rows, cols, rows_of[kept].to_numpy(dtype=float), rows_of["fold"].to_numpy(), [np.searchsorted(union, c) for c in chosen], Chain(chosen[0], names))
 
 

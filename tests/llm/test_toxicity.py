@@ -123,3 +123,16 @@ def test_against_a_plain_chain(spark, small):
     chain = T.train(docs, labels, T.CATEGORIES, most_features=40)
     got = {r["doc_id"]: (r["p_poor"], r["p_toxic"]) for r in T.classify(docs, chain).collect()}
     assert np.abs(np.array([got[r["doc_id"]] for r in rows]) - want).max() < 1e-6
+
+
+def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    seen, chained = [], T.chained
+    monkeypatch.setattr(T, "chained", lambda rows, cols, y, *rest: seen.append(len(y)) or chained(rows, cols, y, *rest))
+    texts = [(7, f"awful words number {i}") for i in range(500)] + [(i, "kind words") for i in range(100, 140)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0, 1)] + [(i, 1, 0) for i in range(100, 140)], "doc_id long, quality int, toxic int")
+    chain = T.train(docs, labels, T.CATEGORIES, most_labelled=300)
+    T.train(docs, labels, T.CATEGORIES, most_labelled=600)
+    assert seen == [300, 540]
+    got = {r["doc_id"]: r["p_toxic"] for r in T.classify(docs, chain).collect()}
+    assert len(got) == 41 and all(0 <= p <= 1 for p in got.values())
