@@ -332,3 +332,19 @@ def test_buckets_grow_with_the_files(spark, tmp_path, monkeypatch):
     store.vacuum()
     store.rebuild(3)
     assert {len(v) for v in store.layout().values()} == {3} and store.read("symbol").count() == 22
+
+
+def test_little_disk_beside_the_rows(spark, tmp_path):
+    """Bloom filters are as large as their rows need, and no shuffle file outlives its write."""
+    import os
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for d in local.localDirs() for _, _, names in os.walk(d.getPath()) for n in names if n.startswith("shuffle_")}
+    store = U.Store(spark, str(tmp_path / "db"), buckets=2)
+    store.initialize()
+    before = shuffles()
+    store.replace_files(incoming(spark, *[f"f{i}.ts" for i in range(50)], symbols=3))
+    assert not shuffles() - before
+    size = sum(f.stat().st_size for f in (tmp_path / "db").rglob("*.parquet"))
+    assert size < 1 << 19
+    assert store.read("symbol").count() == store.read("edge").count() == 150
