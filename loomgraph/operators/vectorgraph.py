@@ -27,6 +27,8 @@ SHARD_ROWS, QUERY_ROWS = 8_192, 2_048
 DEGREE, LONG = 16, 2
 #: How many of the best a walk keeps. Recall and work grow with it.
 BEAM = 128
+#: Rows whose exact scores are computed at once.
+EXACT_ROWS = 1 << 16
 
 
 def _counts(column: Column, dimensions: int) -> Column:
@@ -129,10 +131,11 @@ def _last_null(key: str | None) -> tuple[bool, int]:
     return (key is None, int(key or 0))
 
 
-def search(graph: DataFrame, queries: DataFrame, dimensions: int, most: int = 10, key: str = "vec_id", column: str = "embedding", beam: int = BEAM) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, dimensions: int, most: int = 10, key: str = "vec_id", column: str = "embedding", beam: int = BEAM, exact: bool = False) -> DataFrame:
     """query_id, rank, id, cosine of each query's `most` best rows, and scored: how many rows were compared with the query.
 
-    Each shard is walked by blocks of QUERY_ROWS queries or so; a block and a shard meet in one task.
+    Each shard is walked by blocks of QUERY_ROWS queries or so; a block and a shard meet in one task. With exact, the
+    walk's last score is the bound of a check of the shard's other rows (work grows with queries x rows), so none is missed.
     """
     ship(graph.sparkSession)
     shards = (graph.agg(F.max("shard")).first()[0] or 0) + 1
@@ -142,7 +145,7 @@ def search(graph: DataFrame, queries: DataFrame, dimensions: int, most: int = 10
     held = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(_found(rows, wanted, most, beam), ignore_index=True) if len(rows) and len(wanted) else _none()
+        return pd.concat(_found(rows, wanted, most, beam, exact), ignore_index=True) if len(rows) and len(wanted) else _none()
 
     found = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(lambda wanted, rows: meet(rows, wanted), "query_id long, id long, cosine double, scored long")
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc_nulls_last("id"))
@@ -155,7 +158,7 @@ def _none() -> pd.DataFrame:
     return pd.DataFrame({"query_id": pd.Series(dtype="Int64"), "id": pd.Series(dtype="Int64"), "cosine": pd.Series(dtype=float), "scored": pd.Series(dtype="int64")})
 
 
-def _found(rows: pd.DataFrame, wanted: pd.DataFrame, most: int, beam: int) -> Iterator[pd.DataFrame]:
+def _found(rows: pd.DataFrame, wanted: pd.DataFrame, most: int, beam: int, whole: bool = False) -> Iterator[pd.DataFrame]:
     rows = rows.sort_values("place", kind="stable").reset_index(drop=True)
     x, near = directions(rows["vector"]), np.stack(rows["near"].to_numpy())
     ids = [i[:most] for i in rows["ids"]]  # of equal vectors the smaller keys come first
@@ -166,7 +169,11 @@ def _found(rows: pd.DataFrame, wanted: pd.DataFrame, most: int, beam: int) -> It
         places, score, scored = walk(x, near, q, most, beam)
         of, at = np.nonzero(score > -np.inf)
         place = places[of, at]
-        exact = np.einsum("ij,ij->i", _exact(rows["vector"].iloc[place]), _exact(some["query"].iloc[of]))
+        if whole:
+            of, at, place = _missed(x, q, places, score, most)
+            scored = np.full(len(some), len(x))
+        slices = [slice(b, b + EXACT_ROWS) for b in range(0, len(of), EXACT_ROWS)]
+        exact = np.concatenate([np.einsum("ij,ij->i", _exact(rows["vector"].iloc[place[b]]), _exact(some["query"].iloc[of[b]])) for b in slices])
         told = np.where(at == 0, scored[of], 0)
         n = copies[place]
         first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
@@ -176,6 +183,23 @@ def _found(rows: pd.DataFrame, wanted: pd.DataFrame, most: int, beam: int) -> It
         yield pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy()[of], n), "id": keys, "cosine": np.repeat(np.round(exact, 12), n), "scored": every})
 
 
+def _missed(x: np.ndarray, q: np.ndarray, places: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, its number, place) of the rows of x that a walk found and of those it missed: all that reach its last score.
+
+    What lies nearer to the bound than single precision tells stays, and is ranked by its exact score.
+    """
+    full = (score > -np.inf).sum(axis=1) >= most
+    bound = np.where(full, score[:, : most].min(axis=1), -np.inf) - x.shape[1] * 2.0**-22
+    keep = np.zeros((len(q), len(x)), dtype=bool)
+    for a in range(0, len(x), 8_192):
+        keep[:, a : a + 8_192] = q @ x[a : a + 8_192].T >= bound[:, None]
+    of, at = np.nonzero(score > -np.inf)
+    keep[of, places[of, at]] = True
+    of, place = np.nonzero(keep)
+    first = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, dtype=bool)
+    return of, np.where(first, 0, 1), place
+
+
 def _exact(lists: pd.Series) -> np.ndarray:
     x = np.stack(lists.to_numpy()).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)

@@ -79,3 +79,19 @@ def test_copies_do_not_hide_others(spark):
     # many copies beside the best rows, and as the best rows
     q = table(spark, [[1.0, 0.0, 0.0]], first=10_000)
     assert [r["id"] for r in A.search(A.build(vectors, 3, shard_rows=500), q, 3, most=5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_exact_search_misses_none(spark):
+    """Random directions, narrow walks and shards: with exact, all distances' own answer."""
+    x = np.random.default_rng(8).normal(size=(4000, 32))
+    vectors = table(spark, x)
+    graph = A.build(vectors, 32, shard_rows=1500)
+    asked = vectors.where("vec_id % 40 = 0")
+    true = {i * 40: row.tolist() for i, row in enumerate(nearest(x.astype(np.float32), x[::40].astype(np.float32), 10))}
+    answers = {}
+    for exact in (False, True):
+        found = {}
+        for r in A.search(graph, asked, 32, most=10, beam=10, exact=exact).orderBy("rank").collect():
+            found.setdefault(r["query_id"], []).append(r["id"])
+        answers[exact] = found
+    assert answers[False] != true and answers[True] == true
