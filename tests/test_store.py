@@ -348,3 +348,25 @@ def test_little_disk_beside_the_rows(spark, tmp_path):
     size = sum(f.stat().st_size for f in (tmp_path / "db").rglob("*.parquet"))
     assert size < 1 << 19
     assert store.read("symbol").count() == store.read("edge").count() == 150
+
+
+def test_whole_tables_are_written_one_after_another(spark, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    store = U.Store(spark, str(tmp_path / "db"), buckets=2)
+    store.initialize()
+    at_work, most, lock, plain = [0], [0], threading.Lock(), S.violations
+
+    def watched(df, name):
+        with lock:
+            at_work[0] += 1
+            most[0] = max(most[0], at_work[0])
+        time.sleep(0.5)
+        with lock:
+            at_work[0] -= 1
+        return plain(df, name)
+
+    monkeypatch.setattr(S, "violations", watched)
+    store.transaction(lambda now: now)
+    assert most[0] == 1
