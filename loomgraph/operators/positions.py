@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut
+
 
 def _start() -> Column:
     return F.struct("range.start_line", "range.start_col")
@@ -68,8 +70,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     of the same file's, declared at the top or within a symbol that holds the call, the one of the innermost scope
     (then the last to begin, then the least id); else the only top-level symbol of that name in other files; else null.
     """
-    caller = enclosing(calls.withColumnRenamed("id", "place"), symbols).select(F.col("place").alias("id"), F.col("symbol_id").alias("caller_symbol_id"))
-    up = parents(symbols)
+    # each step is written, so that the shuffle files of one are there at a time
+    caller = cut(enclosing(calls.withColumnRenamed("id", "place"), symbols).select(F.col("place").alias("id"), F.col("symbol_id").alias("caller_symbol_id")), "callers")
+    up = cut(parents(symbols), "parents")
     bounds = _usable(symbols).select(F.col("id").alias("parent_id"), F.col("start").alias("scope_start"), F.col("end").alias("scope_end"))
     declared = symbols.select("id", "name", "file_id", _start().alias("start")).join(up, "id", "left").join(bounds, "parent_id", "left").withColumnRenamed("id", "symbol_id")
     at = F.struct(F.col("line").alias("start_line"), F.coalesce("col", F.lit(0)).alias("start_col"))
@@ -79,7 +82,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     depth = F.struct(F.col("parent_id").isNotNull().alias("inner"), "scope_start", "start")
     # the greatest of these, and of equal ones the least id
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(depth.desc(), F.asc("symbol_id"))))
-    local = ranked.where("n = 1").select("id", F.col("symbol_id").alias("local_id"))
+    local = cut(ranked.where("n = 1").select("id", F.col("symbol_id").alias("local_id")), "callees")
     only = declared.where("parent_id is null").groupBy("name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("global_id")).where("n = 1").drop("n")
     out = calls.select("id", F.col("callee").alias("name")).join(caller, "id", "left").join(local, "id", "left").join(only, "name", "left")
     return out.select("id", "caller_symbol_id", F.coalesce("local_id", "global_id").alias("callee_symbol_id"))

@@ -74,3 +74,11 @@ def test_scopes(spark):
     df = spark.createDataFrame([c[:5] for c in calls], "id string, file_id string, line long, col long, callee string")
     got = {r["id"]: (r["caller_symbol_id"], r["callee_symbol_id"]) for r in P.resolve_calls(df, symbols).collect()}
     assert got == {c[0]: c[5:] for c in calls}
+
+
+def test_steps_of_calls_are_written(spark):
+    """The last join alone is left to shuffle: the steps before it are tables."""
+    calls = spark.range(3).selectExpr("'c' || id as id", "'f' as file_id", "id as line", "0L as col", "'a' as callee")
+    symbols = spark.range(3).selectExpr("'s' || id as id", "'a' as name", "'f' as file_id", "named_struct('start_line', id, 'start_col', 0L, 'end_line', id + 1, 'end_col', 0L) as range")
+    plan = P.resolve_calls(calls, symbols)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") <= 6
