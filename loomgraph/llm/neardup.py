@@ -21,6 +21,7 @@ hash (maps and variants have none) as one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import documents, free_name, steps, texts_of
 from loomgraph.llm.components import components
 from loomgraph.llm.hashing import mix64
+from loomgraph.llm.resemblance import SHINGLE as FIVE
 from loomgraph.llm.resemblance import alike_components
 from loomgraph.llm.simhash import column_sums
 from loomgraph.session import cut, ship
@@ -292,7 +294,7 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents' own columns, of each component of `resemblance` one row.
+    """The documents' own columns, of each component of `resemblance` one row; the trees find candidates, beside its bands.
 
     That of the smallest doc_id stays, null ids last, then of the least key (id, hash of the text, hash of all
     columns); rows that are equal in all columns are one. Rows without doc_id, and different texts under one doc_id,
@@ -301,7 +303,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     key = free_name(docs, "_kept")
     keyed = docs.withColumn(key, row_key(docs))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key))
-    alike = alike_components(keyed, key)
+    alike = alike_components(keyed, key, partial(fingerprint, shingle=FIVE), lambda points: components(links(cut(points, "points"))))
     found = alike.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")[key].alias(key))
     repeated = alike.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key).join(found, key, "left_semi")
     own = [f"`{c}`" for c in docs.columns]

@@ -3,7 +3,8 @@
 The resemblance of two texts is the Jaccard index of their sets of SHINGLE-word shingles (a shorter text
 is one shingle); a component joins texts that a chain of pairs of LEAST or more connects. Texts of
 one set are one point. MinHash values in BANDS bands of ROWS find candidates: a pair of 0.8 shares no band
-with a probability of 0.00007, and one of more less often. Points that share bands, directly or by others, are
+with a probability of 0.00007, and one of more less often. Components of near fingerprints (op6's vantage-point trees) are
+one band more. Points that share bands, directly or by others, are
 a cluster, and there the sets themselves are compared, so that nothing below LEAST links.
 
 A cluster of up to MOST_SHINGLES shingles is compared by one task. A larger one is dealt out to blocks of that size,
@@ -19,7 +20,7 @@ an empty table has no component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -151,8 +152,12 @@ def links(banded: DataFrame, sets: DataFrame, most: int | None = None) -> DataFr
     return united.select(F.col("u").alias("point"), "root")
 
 
-def alike_components(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, the key and the root of every row; rows of one key (a string) are to have one text."""
+def alike_components(docs: DataFrame, key: str, prints: Callable[[str], int], near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, the key and the root of every row; rows of one key (a string) are to have one text.
+
+    prints gives a text's fingerprint, near the (u, root) components of a table of distinct ones (fp): points of one
+    such component are candidates as those of one band are.
+    """
     ship(docs.sparkSession)
     names = [f"band_{k}" for k in range(BANDS)]
 
@@ -161,7 +166,7 @@ def alike_components(docs: DataFrame, key: str) -> DataFrame:
             sets = shingle_sets(texts_of(batch))
             points = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             banded = [pa.array(np.ascontiguousarray(column)) for column in bands(sets).view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(points), *banded], ["doc_id", "row", "point", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(points), pa.array(np.array([prints(t) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)), *banded], ["doc_id", "row", "point", "fp", *names])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -169,9 +174,13 @@ def alike_components(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "point", "n", "shingles"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("row"))
-    rows = cut(own.mapInArrow(sketch, f"doc_id long, row string, point long, {', '.join(f'{n} long' for n in names)}"), "sketches")
+    rows = cut(own.mapInArrow(sketch, f"doc_id long, row string, point long, fp long, {', '.join(f'{n} long' for n in names)}"), "sketches")
     # rows of one point have the same bands
     banded = rows.groupBy("point").agg(*[F.min(n).alias(n) for n in names]).select("point", F.explode(F.array(*names)).alias("band"))
+    # and the fingerprints that lie near each other, directly or by others, are a band too
+    printed = rows.groupBy("point").agg(F.min("fp").alias("fp"))
+    rooted = printed.join(near(printed.select("fp").distinct()), F.col("fp") == F.col("u"), "left").select("point", F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("band"))
+    banded = cut(banded.unionByName(rooted), "bands")
     shared = banded.groupBy("band").agg(F.min("point").alias("least"), F.max("point").alias("most")).where("least < most")
     candidates = banded.join(shared, "band").where("point <> least").select(F.col("point").alias("u"), F.col("least").alias("v"))
     reached = components(candidates)

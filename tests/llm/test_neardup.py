@@ -98,3 +98,15 @@ def test_shards_of_several_leaves(spark, monkeypatch, most_guests):
         mine.setdefault(roots.get(p, p), []).append(p)
         theirs.setdefault(w, []).append(p)
     assert groups(mine.values()) == groups(theirs.values())
+
+
+def test_trees_find_candidates_of_the_stage(spark, monkeypatch):
+    """Near fingerprints alone bring two texts together: no band does here, and the exact check follows."""
+    from loomgraph.llm import resemblance as R
+
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(f"x{k}" for k in range(400))]
+    plain = R.bands
+    monkeypatch.setattr(R, "bands", lambda sets: plain([np.unique(np.append(s, np.uint64(7919) * np.uint64(len(s)))) for s in sets]) + np.array([[len(s) * 31] for s in sets], dtype=np.uint64))
+    kept = N.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2]
