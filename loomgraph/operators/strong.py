@@ -6,7 +6,11 @@ both labels, so edges between nodes that don't are dropped, and the rest begins
 Labels move by one edge and then by a jump. A node of one edge in is on a chain: it has a pointer up its chain, which doubles its
 length with each round until it stands at a node where edges meet; there, what a node's greatest label has learned
 holds for the node too. So rounds follow the logarithm of a chain's length, and beside it the number of meeting places on a
-path. A node holds two labels and two pointers; no pairs of nodes are kept. Nodes without an edge into or out of them are trimmed.
+path. A node holds two labels and two pointers; no pairs of nodes are kept.
+Before labels are dealt, the edges are contracted as long as that shrinks them. A node without an edge into or out of it goes. One
+that has a single edge in, or a single edge out, goes too, and edges lead from what was before it to what was behind it: one less than
+there were. No two neighbours go in one step, so a step takes a share of such nodes, and steps follow the logarithm of their
+number. Afterwards the steps are undone, last one first: a node lies in the component that holds both a node before it and one behind it.
 When LOCAL_EDGES edges or fewer are left, the driver walks them: rounds of tiny tables would take longer.
 """
 
@@ -17,17 +21,50 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut, discard
 
-#: Trimming steps before labels are dealt: a chain is left to the labels, which part it in few rounds.
-TRIMS = 2
 #: Edges that the driver takes to finish.
 LOCAL_EDGES = 1 << 16
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    for _ in range(TRIMS):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    return edges
+#: Contraction goes on while a step leaves no greater share of the edges than this.
+SHRINKS = 0.9
+
+
+def _leaving(edges: DataFrame, step: int) -> DataFrame:
+    """node, bare: the nodes that a step takes, those without an edge in or out (bare) and of those with one edge in or out none beside another."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("dst").alias("node"), one.alias("in"), none.alias("out")).unionByName(edges.select(F.col("src").alias("node"), none.alias("in"), one.alias("out")))
+    fewest = ends.groupBy("node").agg(F.least(F.sum("in"), F.sum("out")).alias("fewest")).where("fewest <= 1")
+    able = fewest.select("node", (F.col("fewest") == 0).alias("bare"), F.struct(F.xxhash64("node", F.lit(step)), "node").alias("draw"))
+    drawn = able.where("not bare")
+    pairs = edges.join(drawn.select(F.col("node").alias("src"), F.col("draw").alias("src_draw")), "src").join(drawn.select(F.col("node").alias("dst"), F.col("draw").alias("dst_draw")), "dst")
+    lost = pairs.select(F.when(F.col("src_draw") < F.col("dst_draw"), F.col("src")).otherwise(F.col("dst")).alias("node"))
+    return able.join(lost, "node", "left_anti").select("node", "bare")
+
+
+def _sides(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, before and node, behind: the edges between the nodes that went and those that stayed; the bare ones have no need of them."""
+    before = flagged.where("not dst_bare and src_bare is null").select(F.col("dst").alias("node"), F.col("src").alias("before"))
+    behind = flagged.where("not src_bare and dst_bare is null").select(F.col("src").alias("node"), F.col("dst").alias("behind"))
+    return before, behind
+
+
+def _contracted(edges: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """The edges after a step, and those before it with src_bare and dst_bare: null if that end stays."""
+    gone = cut(_leaving(edges, step), "strong-gone")
+    flagged = edges
+    for end in ("src", "dst"):
+        flagged = flagged.join(gone.select(F.col("node").alias(end), F.col("bare").alias(f"{end}_bare")), end, "left")
+    flagged = cut(flagged.select("src", "dst", "src_bare", "dst_bare"), "strong-step")
+    discard(gone)
+    before, behind = _sides(flagged)
+    past = before.join(behind, "node").where("before <> behind").select(F.col("before").alias("src"), F.col("behind").alias("dst"))
+    kept = flagged.where("src_bare is null and dst_bare is null").select("src", "dst")
+    return cut(kept.unionByName(past).distinct(), "strong-edges"), flagged
+
+
+def _undone(roots: DataFrame, flagged: DataFrame) -> DataFrame:
+    """roots (node, root; a node without a row is its own) with the nodes that a step took."""
+    before, behind = _sides(flagged)
+    rooted = lambda side, end: side.join(roots.withColumnRenamed("node", end), end, "left").select("node", F.coalesce("root", end).alias("root"))
+    return roots.unionByName(rooted(before, "before").join(rooted(behind, "behind"), ["node", "root"]).distinct())
 
 
 def _labels(edges: DataFrame, turn: int) -> DataFrame:
@@ -94,32 +131,42 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOC
     A null end makes no edge; edges that are there twice, or that lead to their own node, change nothing.
     """
     all_nodes = nodes.select("node").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("node"))).where("node is not null").distinct()
-    now = cut(_trimmed(edges.where("src <> dst").select("src", "dst").distinct()), "strong-edges")
-    found = None
+    now = cut(edges.where("src <> dst").select("src", "dst").distinct(), "strong-edges")
+    kind = now.schema["src"].dataType.simpleString()
+    roots = now.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
+    steps = []
     turn = 0
     left = now.count()
     while left:
+        shrinks = True
+        while shrinks and left > local_edges:
+            before, (now, flagged) = now, _contracted(now, len(steps))
+            discard(before)
+            steps.append(flagged)
+            was, left = left, now.count()
+            shrinks = left <= SHRINKS * was
         if left <= local_edges:
-            rows = [tuple(r) for r in now.select("src", "dst").collect()]
-            kind = now.schema["src"].dataType.simpleString()
-            walked = now.sparkSession.createDataFrame(_walked(rows), f"node {kind}, root {kind}")
-            found = walked if found is None else found.unionByName(walked)
+            walked = _walked([tuple(r) for r in now.select("src", "dst").collect()])
+            roots = roots.unionByName(now.sparkSession.createDataFrame([(node, root) for node, root in walked if node != root], roots.schema))
             break
         state = cut(_labels(now, turn), "strong-labels")
         while not state.where("moved").isEmpty():
             after = cut(_round(state, now), "strong-labels")
             discard(state)
             state = after
-        settled = state.where("into = out").select("node", F.col("into.at").alias("root"))
-        found = settled if found is None else found.unionByName(settled)
+        roots = roots.unionByName(state.where("into = out").select("node", F.col("into.at").alias("root")).where("node <> root"))
         open_ = state.where("into <> out").select("node", "into", "out")
         ends = open_.select(F.col("node").alias("dst"), F.col("into").alias("dst_into"), F.col("out").alias("dst_out"))
         within = now.join(open_.withColumnRenamed("node", "src"), "src").join(ends, "dst").where((F.col("into") == F.col("dst_into")) & (F.col("out") == F.col("dst_out")))
-        before, now = now, cut(_trimmed(within.select("src", "dst")), "strong-edges")
+        before, now = now, cut(within.select("src", "dst"), "strong-edges")
         discard(before)
         left = now.count()
         turn += 1
-    rooted = all_nodes.withColumn("root", F.col("node")) if found is None else all_nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for flagged in reversed(steps):
+        before, roots = roots, cut(_undone(roots, flagged), "strong-roots")
+        discard(before)
+        discard(flagged)
+    rooted = all_nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size"))
     return rooted.join(sizes, "root").select("node", "component", "size")
 

@@ -51,3 +51,31 @@ def test_empty_and_nulls(spark):
     assert [tuple(r) for r in C.strong_components(nodes, none).collect()] == [(1, 1, 1)]
     half = spark.createDataFrame([(1, None), (None, 2)], "src long, dst long")
     assert sorted(tuple(r) for r in C.strong_components(nodes, half).collect()) == [(1, 1, 1), (2, 2, 1)]
+
+
+def test_chains_are_contracted(spark, monkeypatch):
+    """A ladder of circles whose labels would need a round for each meeting place: contraction takes it in few steps, and no round of labels."""
+    steps, hops = [], []
+    plain_step, plain_round = C._contracted, C._round
+    monkeypatch.setattr(C, "_contracted", lambda *a: steps.append(1) or plain_step(*a))
+    monkeypatch.setattr(C, "_round", lambda *a: hops.append(1) or plain_round(*a))
+    ladder = [(3 * i, 3 * i + 1) for i in range(40)] + [(3 * i + 1, 3 * i + 2) for i in range(40)] + [(3 * i, 3 * i + 2) for i in range(40)] + [(3 * i + 2, 3 * i + 3) for i in range(40)]
+    edges = ladder + [(120, 0)] + [(500 + i, 501 + i) for i in range(60)] + [(119, 500), (700, 701), (701, 700), (560, 700)]
+    nodes, table = spark.createDataFrame([(9,), (999,)], "node long"), spark.createDataFrame(edges, "src long, dst long")
+    got = C.strong_components(nodes, table, local_edges=0)
+    assert {r["node"]: (r["component"], r["size"]) for r in got.collect()} == plain([9, 999], edges)
+    assert not hops and len(steps) < 25
+
+
+def test_dense_parts_go_by_labels(spark, monkeypatch):
+    """Nodes of three edges each way can't be contracted; a chain, circles and pendants around them are."""
+    hops = []
+    plain_round = C._round
+    monkeypatch.setattr(C, "_round", lambda *a: hops.append(1) or plain_round(*a))
+    draw = random.Random(5)
+    dense = [(o + a, o + (a * 7 + k * 11 + draw.randrange(2)) % 30) for o in (0, 100, 200) for a in range(30) for k in range(4)]
+    edges = dense + [(3, 50), (50, 51), (51, 9), (5, 110), (120, 60), (60, 210), (220, 300), (300, 301), (301, 220), (400, 1)]
+    nodes, table = spark.createDataFrame([], "node long"), spark.createDataFrame(edges, "src long, dst long")
+    got = C.strong_components(nodes, table, local_edges=0)
+    assert {r["node"]: (r["component"], r["size"]) for r in got.collect()} == plain([], edges)
+    assert hops
