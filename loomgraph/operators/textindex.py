@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import name_tokens
 from loomgraph.operators.upsert import Store, bucket_of
+from loomgraph.session import shuffle_width, shuffles_dropped
 
 #: Buckets of tokens and of trigrams, and segments before a merge.
 BUCKETS, MOST_SEGMENTS = 32, 8
+#: Tasks that write a bucket.
+PARTS = 4
 #: Saturation of repeated words, and weight of a name's length.
 K1, B = 1.2, 0.75
 #: Edits between a misspelt word and one that stands in for it, and how many may.
@@ -34,7 +37,7 @@ GRAMS = "gram string, token string"
 
 def tokens(name: Column | str) -> Column:
     """The words of a name, repeats included."""
-    return F.filter(name_tokens(name), lambda t: t != "")
+    return F.array_remove(name_tokens(name), "")
 
 
 def grams(token: Column | str) -> Column:
@@ -44,10 +47,29 @@ def grams(token: Column | str) -> Column:
 
 
 def postings(symbols: DataFrame) -> DataFrame:
-    """POSTINGS of symbols (id, file_id, name)."""
-    named = symbols.select("id", "file_id", "name", tokens("name").alias("words")).where(F.size("words") > 0)
-    each = named.select(F.explode("words").alias("token"), "id", "file_id", "name", F.size("words").alias("length"))
-    return each.groupBy("token", "id", "file_id", "name", "length").agg(F.count("*").cast("int").alias("times")).select(*[c.split()[0] for c in POSTINGS.split(", ")])
+    """POSTINGS of symbols (id, file_id, name), whose ids are unique; each comes of its symbol's row alone."""
+    named = symbols.select("id", "file_id", "name", tokens("name").alias("words"))
+    # the outer one, as else a filter on the words is put below, which parts each name once more
+    each = named.select("*", F.posexplode_outer("words").alias("at", "token")).where(F.array_position("words", F.col("token")) == F.col("at") + 1)
+    times = F.size("words") - F.size(F.array_remove("words", F.col("token")))
+    return each.select("token", "id", "file_id", "name", times.alias("times"), F.size("words").alias("length"))
+
+
+def _changed(now: DataFrame, was: DataFrame) -> DataFrame:
+    """file_id of the files whose symbols (id, file_id, name) are others now than they were.
+
+    A file's symbols are told apart by 128 bits of their hashes, joined by exclusive or: a row that both have leaves nothing. So each
+    task of a scan hands on a row a file, not its symbols.
+    """
+    both = now.withColumn("side", F.lit(1)).unionByName(was.withColumn("side", F.lit(-1)))
+    told = both.groupBy("file_id").agg(F.bit_xor(F.xxhash64("id", "name")).alias("h"), F.bit_xor(F.xxhash64(F.lit("symbol"), "id", "name")).alias("g"), F.sum("side").alias("more"))
+    return told.where("h <> 0 or g <> 0 or more <> 0").select("file_id")
+
+
+def _counted(rows: DataFrame) -> tuple[int, int]:
+    """Symbols and words of postings: those of one length have that many words each."""
+    by_length = [(r["length"], r["words"]) for r in rows.groupBy("length").agg(F.sum("times").alias("words")).collect()]
+    return sum(words // length for length, words in by_length), sum(words for _, words in by_length)
 
 
 def bm25(hits: DataFrame, n_symbols: int, n_words: int, words: str, most: int) -> DataFrame:
@@ -101,16 +123,17 @@ class SymbolIndex:
                 was = self._live(state).select("id", "file_id", "name").distinct() if state["segments"] else now.where("false")
             else:
                 was = self.store.read("symbol", old_layout, touched).select("id", "file_id", "name")
-            both = now.withColumn("side", F.lit(1)).unionByName(was.withColumn("side", F.lit(-1)))
-            changed = both.groupBy("file_id", "id", "name").agg(F.sum("side").alias("side")).where("side <> 0").select("file_id").distinct()
             number = max(state["segments"], default=0) + 1
             self._clear(number)
-            changed.coalesce(1).write.parquet(f"{self.path}/files/s={number}")
+            with shuffles_dropped(self.spark):
+                _changed(now, was).write.parquet(f"{self.path}/files/s={number}")
             files = self.spark.read.schema("file_id string").parquet(f"{self.path}/files/s={number}")
-            counted = lambda rows: rows.select(F.size(tokens("name")).cast("long").alias("n")).where("n > 0").agg(F.count("*").alias("symbols"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-            more, less = (counted(side.join(files, "file_id", "left_semi")) for side in (now, was))
-            self._segment(postings(now.join(files, "file_id", "left_semi")), number)
-            state = {"segments": [*state["segments"], number], "layout": layout, "symbols": state["symbols"] + more["symbols"] - less["symbols"], "words": state["words"] + more["words"] - less["words"]}
+            fresh = now.join(files, "file_id", "left_semi") if state["segments"] else now
+            with shuffles_dropped(self.spark):
+                self._segment(postings(fresh), number)
+            more = _counted(self._read({"segments": [number]}, "postings", POSTINGS, None))
+            less = _counted(postings(was.join(files, "file_id", "left_semi"))) if state["segments"] else (0, 0)
+            state = {"segments": [*state["segments"], number], "layout": layout, "symbols": state["symbols"] + more[0] - less[0], "words": state["words"] + more[1] - less[1]}
             if len(state["segments"]) > MOST_SEGMENTS:
                 self._clear(number + 1)
                 self._segment(self._live(state), number + 1)
@@ -120,8 +143,13 @@ class SymbolIndex:
             return True
 
     def _segment(self, rows: DataFrame, number: int) -> None:
-        for name, table, key in (("postings", rows, "token"), ("grams", rows.select("token").distinct().select(F.explode(grams("token")).alias("gram"), "token"), "gram")):
-            table.withColumn("b", bucket_of(F.col(key), BUCKETS)).repartition(BUCKETS, "b").sortWithinPartitions("b", key).write.partitionBy("b").parquet(f"{self.path}/{name}/s={number}")
+        def write(name: str, table: DataFrame, key: str, of: str) -> None:
+            # a word that most names share, and so its bucket, goes to PARTS tasks
+            table.withColumn("b", bucket_of(F.col(key), BUCKETS)).repartition(max(BUCKETS, shuffle_width(self.spark)), "b", bucket_of(F.col(of), PARTS)).sortWithinPartitions("b", key).write.partitionBy("b").parquet(f"{self.path}/{name}/s={number}")
+
+        write("postings", rows, "token", "id")
+        words = self._read({"segments": [number]}, "postings", POSTINGS, None).select("token").distinct()  # as written: their column of tokens alone is read
+        write("grams", words.select(F.explode(grams("token")).alias("gram"), "token"), "gram", "token")
 
     def _clear(self, number: int) -> None:
         """What a crashed refresh left of a segment that no pointer names."""

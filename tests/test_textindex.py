@@ -112,3 +112,24 @@ def test_lookups_skip(spark, tmp_path):
     assert 0 < rows_read(store.edges_to(target)) <= 40000
     assert rows_read(store.edges_to("f" * 64)) <= 20000
     assert rows_read(store.read("edge")) == 80000
+
+
+def test_a_refresh_hands_on_files_and_spreads_a_common_word(spark, tmp_path):
+    """Symbols that `deal` put together are written where they are; files are compared by a row each; a word that all names share has several tasks."""
+    store = U.Store(spark, str(tmp_path / "db"), buckets=4)
+    store.initialize()
+    rows = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("id"), F.concat(F.lit("f"), (F.col("id") % 500).cast("string")).alias("file_id"), F.concat(F.lit("read_read_n"), F.col("id") % 7, F.when(F.col("id") % 2 == 0, "_read").otherwise("")).alias("name"), (F.col("id") % 500).alias("key"))
+    rows = rows.withColumns({"fqn": F.col("name"), "kind": F.lit("function"), "range": F.struct(*[F.lit(0).cast("long").alias(n) for n in S.RANGE_FIELDS]), "language": F.lit("typescript")})
+    dealt = store.deal(rows, "symbol")
+    index = N.SymbolIndex(store)
+    for part, n in (("key % 2 = 0", 1500), ("true", 3000), ("key % 5 <> 0", 2400)):
+        store.transaction(lambda now: {"symbol": S.empty(spark, "symbol")}, dealt={"symbol": dealt.where(part)})
+        assert store.read("symbol").count() == n and store.read("symbol").select("id").exceptAll(rows.where(part).select("id")).isEmpty()
+        assert index.refresh() and index.state()["symbols"] == n
+        same(index, "read n3")
+    listed = [spark.read.parquet(f"{index.path}/files/s={s}").count() for s in index.state()["segments"]]
+    assert listed == [250, 250, 100]
+    assert spark.read.parquet(f"{index.path}/postings/s=1").where("token = 'read'").select(F.input_file_name()).distinct().count() > 1
+    assert {tuple(r) for r in spark.read.parquet(f"{index.path}/postings/s=1").where("token = 'read'").select("times", "length").distinct().collect()} == {(3, 4)}
+    plan = N._changed(rows, rows.where("false"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(file_id#\d+, \d+\)", plan) and not re.search(r"hashpartitioning\(file_id#\d+, \w+#", plan)
