@@ -370,3 +370,91 @@ def test_whole_tables_are_written_one_after_another(spark, tmp_path, monkeypatch
     monkeypatch.setattr(S, "violations", watched)
     store.transaction(lambda now: now)
     assert most[0] == 1
+
+
+def whole(store):
+    """All rows of a store but for the times of indexing."""
+    return {name: sorted(map(str, df.drop("last_indexed").collect())) for name, df in store.snapshot().items()}
+
+
+def filled(spark, path):
+    """A store with edges and diagnostics across its files; and a batch, with paths to remove."""
+    store = U.Store(spark, path, buckets=8)
+    store.initialize()
+    store.replace_files(incoming(spark, *[f"f{i}.ts" for i in range(40)], symbols=2))
+    ids = {r["relative_path"]: r["id"] for r in store.read("file").collect()}
+    symbols = {r["fqn"]: r["id"] for r in store.read("symbol").collect()}
+    ends = [(symbols[f"f{i}.ts:s0"], symbols[f"f{(i * 7 + 3) % 40}.ts:s1"]) for i in range(40)] + [(ids[f"f{i}.ts"], ids[f"f{(i * 3 + 1) % 40}.ts"]) for i in range(40)]
+    edges = spark.createDataFrame([(f"call-{i}", a, b, "call") for i, (a, b) in enumerate(ends)], "id string, source_id string, target_id string, kind string")
+    found = spark.createDataFrame([(f"d-{n}", i) for n, i in ids.items()] + [("d-none", None)], "id string, file_id string")
+    rows = {"edge": edges, "diagnostic": found}
+    gone = spark.createDataFrame([(f"/w/f{i}.ts",) for i in range(0, 40, 5)] + [("/w/f1.ts",), ("/w/none.ts",)], "path string")
+    return store, rows, incoming(spark, *[f"f{i}.ts" for i in (*range(1, 50, 4), 48)], symbols=3), gone
+
+
+def test_a_piecewise_batch_gives_what_one_transaction_does(spark, tmp_path, monkeypatch):
+    one, rows, batch, gone = filled(spark, str(tmp_path / "one"))
+    one.transaction(lambda t: {name: t[name].unionByName(S.conform(df, name)) for name, df in rows.items()})
+    before = one.snapshot()
+    latest = U.latest_per_path(batch, before["file"]).localCheckpoint()
+    left = before["file"].join(gone, "path", "left_semi").join(latest.select("path"), "path", "left_anti").select("id").localCheckpoint()
+    plain = {name: sorted(map(str, df.drop("last_indexed").collect())) for name, df in U.replaced_graph(before, latest, gone=left).items()}
+    one.replace_files(batch, gone)
+    assert {name: rows for name, rows in whole(one).items() if name in plain} == plain
+
+    pieces, commits = filled(spark, str(tmp_path / "pieces"))[0], []
+    monkeypatch.setattr(U, "PIECE_BYTES", 1)
+    monkeypatch.setattr(U, "PIECE_FILES", 6)
+    commit = U.Store._commit
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "pieces").rglob("*.parquet"))
+
+    def watched(self, *args, **kwargs):
+        commit(self, *args, **kwargs)
+        commits.append(size())
+
+    monkeypatch.setattr(U.Store, "_commit", watched)
+    pieces.add(rows, piecewise=True)
+    assert len(commits) > 4
+    pieces.vacuum()
+    held = size()
+    commits.clear()
+    pieces.replace_files(batch, gone, piecewise=True)
+    assert whole(pieces) == whole(one)
+    assert len(commits) > 8 and max(commits) < 1.5 * held
+
+
+def test_a_piecewise_batch_that_ends_early_leaves_no_edge_to_what_is_gone(spark, tmp_path, monkeypatch):
+    store, rows, batch, gone = filled(spark, str(tmp_path / "db"))
+    store.add(rows)
+    before = whole(store)
+    assert len(before["edge"]) == 160 and len(before["diagnostic"]) == 41
+    monkeypatch.setattr(U, "PIECE_BYTES", 1)
+    commit, left = U.Store._commit, [11]
+
+    def failing(self, *args, **kwargs):
+        left[0] -= 1
+        if not left[0]:
+            raise KeyError("crash")
+        commit(self, *args, **kwargs)
+
+    monkeypatch.setattr(U.Store, "_commit", failing)
+    with pytest.raises(KeyError):
+        store.replace_files(batch, gone, piecewise=True)
+    now = store.snapshot()
+    there = now["symbol"].select("id").unionByName(now["file"].select("id")).select(F.col("id").alias("target_id"))
+    assert now["edge"].join(there, "target_id", "left_anti").count() == 0
+    files = {r["id"] for r in now["file"].collect()}
+    assert {r["file_id"] for r in now["symbol"].collect()} <= files and len(files) < 48
+    left[0] = 1000
+    store.replace_files(batch, gone, piecewise=True)  # again, to its end
+    assert store.read("file").count() == 40 - 6 + 4 and store.read("symbol").count() == 3 * 14 + 2 * (38 - 14)  # two of those to remove are replaced
+
+
+def test_ids_of_symbols_and_edges_have_128_bits(spark, tmp_path):
+    store = U.Store(spark, str(tmp_path / "db"), buckets=2)
+    store.initialize()
+    store.replace_files(incoming(spark, *[f"f{i}.ts" for i in range(2000)], symbols=5))
+    for name in ("symbol", "edge"):
+        assert {len(r["id"]) for r in store.read(name).select("id").collect()} == {32}
+        size = sum(f.stat().st_size for f in (tmp_path / "db" / name).rglob("*.parquet"))
+        assert size < 60 * 10_000, (name, size)
