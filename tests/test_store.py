@@ -458,3 +458,14 @@ def test_ids_of_symbols_and_edges_have_128_bits(spark, tmp_path):
         assert {len(r["id"]) for r in store.read(name).select("id").collect()} == {32}
         size = sum(f.stat().st_size for f in (tmp_path / "db" / name).rglob("*.parquet"))
         assert size < 60 * 10_000, (name, size)
+
+
+def test_many_ids_are_not_broadcast(spark):
+    """A batch of many files takes few bytes as it is written, so that Spark would take its ids through the driver."""
+    place = F.struct(F.lit("f").alias("name"), F.lit("function").alias("kind"), *[F.lit(0).cast("long").alias(n) for n in S.RANGE_FIELDS])
+    batch = lambda n: spark.range(n).select(F.concat(F.lit("file-"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("/w/f"), F.col("id").cast("string")).alias("path"), F.lit("f").alias("relative_path"), F.lit("typescript").alias("language"), F.lit(1).alias("loc"), F.lit("h").alias("hash"), F.array(place).alias("found"), F.lit(0).cast("long").alias("seq"))
+    tables = {"file": S.conform(batch(3).drop("found"), "file").cache(), "symbol": S.empty(spark, "symbol"), "edge": S.empty(spark, "edge")}
+    for n in (2, U.FEW_IDS + 1):
+        kept = U.kept_graph(tables, U.cut(batch(n), "many"))["file"]
+        assert ("BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()) == (n == 2)
+        assert kept.count() == max(0, 3 - n)
