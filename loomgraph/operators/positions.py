@@ -1,8 +1,8 @@
 """From a place in a file to the symbol around it, and from a call to what it calls.
 
 Ranges and places meet in an equi-join on (file, level, cell): a range of n lines lies in one or two cells of 2^level >= n
-lines, and a place in one cell of each level that is there. So a range gives two rows at most, however long it is, a place
-one for each level (32 at most), and a file of many places is spread over its cells.
+lines, and a place in one cell of each level that is there. Levels go by STEP, so that short ranges share one. So a range gives
+two rows at most, however long it is, a place one for each level (16 at most), and a file of many places is spread over its cells.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut
 
+#: Levels from one to the next: a cell has 16 lines at the first, and 16 times the last one's at each further one.
+STEP = 4
+
 
 def _start() -> Column:
     return F.struct("range.start_line", "range.start_col")
@@ -26,7 +29,8 @@ def _usable(ranges: DataFrame) -> DataFrame:
 
 def _celled(ranges: DataFrame) -> DataFrame:
     lines = F.col("end.end_line") - F.col("start.start_line") + 1
-    level = F.when(lines <= 1, 0).otherwise(F.length(F.bin(lines - 1))).cast("int")
+    bits = F.length(F.bin(F.greatest(lines - 1, F.lit(0))))
+    level = F.least(STEP * F.ceil(bits / STEP), F.lit(63)).cast("int")  # a shift by 64 is none
     shifted = ranges.withColumn("level", level)
     first, last = (F.expr(f"shiftright({c}, level)") for c in ("start.start_line", "end.end_line"))
     return shifted.withColumn("cell", F.explode(F.array_distinct(F.array(first, last))))
@@ -39,7 +43,7 @@ def enclosing(places: DataFrame, ranges: DataFrame, proper: bool = False) -> Dat
     proper: places are ranges' own beginnings with their `end`, and a range counts only if it holds the whole and is larger.
     """
     celled = _celled(_usable(ranges))
-    levels = sorted(r[0] for r in celled.select("level").distinct().collect())  # 32 at most
+    levels = sorted(r[0] for r in celled.select("level").distinct().collect())  # 16 at most
     if not levels:
         return places.select("place", F.lit(None).cast(ranges.schema["id"].dataType).alias("symbol_id"))
     spread = places.where("line is not null").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("cell", F.expr("shiftright(line, level)"))

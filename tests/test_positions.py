@@ -82,3 +82,16 @@ def test_steps_of_calls_are_written(spark):
     symbols = spark.range(3).selectExpr("'s' || id as id", "'a' as name", "'f' as file_id", "named_struct('start_line', id, 'start_col', 0L, 'end_line', id + 1, 'end_col', 0L) as range")
     plan = P.resolve_calls(calls, symbols)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Join") <= 6
+
+
+def test_short_ranges_share_a_level(spark):
+    """A place is written once for each level, so ranges of up to 16 lines, as most are, have one; what is found stays that of every pair."""
+    ranges = [(f"r{i:03}", f"f{i % 3}", (7 * i) % 400, (7 * i) % 400 + (i * i) % (3, 16, 40, 5000)[i % 4]) for i in range(300)] + [("far", "f0", 0, 2**62)]
+    rows = spark.createDataFrame([(i, f, (a, 0, b, 0)) for i, f, a, b in ranges], "id string, file_id string, range struct<start_line: long, start_col: long, end_line: long, end_col: long>")
+    levels = lambda df: sorted(r[0] for r in P._celled(P._usable(df)).select("level").distinct().collect())
+    assert levels(rows.where("range.end_line - range.start_line < 16")) == [4]
+    assert levels(rows) == [4, 8, 12, 16, 63]
+    places = [(f"p{i}", f"f{i % 3}", 11 * i % 450, 0) for i in range(120)]
+    found = P.enclosing(spark.createDataFrame(places, "place string, file_id string, line long, col long"), rows)
+    expected = {p: min(((-a, b, i) for i, g, a, b in ranges if g == f and (a, 0) <= (line, 0) <= (b, 0)), default=(0, 0, None))[2] for p, f, line, _ in places}
+    assert {r["place"]: r["symbol_id"] for r in found.collect()} == expected
